@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import formdup, survivor, textform
+from corvane.llm import formdup, neardup, survivor, textform
 from corvane.session import table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
@@ -37,6 +37,27 @@ def p2_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textform.normalise(titles(spark, sf_dir), "title").distinct()
 
 
+# -- 3: near-duplicate items ---------------------------------------------------------------------
+
+NEAR = 0.7
+
+
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = neardup.words_of(F.col("parsed.raw_title"), F.col("parsed.release_group"), F.col("path"))
+    return table(spark, sf_dir, "media_item").select("id", words.alias("words"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose word sets have a similarity of at least 0.7."""
+    pairs = neardup.pairs_of(*neardup.similar_sets(_item_words(spark, sf_dir), "id", "words", NEAR))
+    return pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the group of near-duplicates it belongs to and its number of links."""
+    return neardup.groups_of(*neardup.similar_sets(_item_words(spark, sf_dir), "id", "words", NEAR))
+
+
 # -- 4: duplicates hidden by formatting ----------------------------------------------------------
 
 
@@ -80,7 +101,7 @@ def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.filter("probability > 0.5").select(F.col("entity").alias("content_id"), "field", "value", F.round("probability", 6).alias("probability"), "stated", "denied")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p4_found, p4_records, p6_found, p6_merged, p6_truth)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p6_found, p6_merged, p6_truth)}
 
 _LINES = r"""
 with told as (
