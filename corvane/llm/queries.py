@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import formdup, neardup, survivor, textform
+from corvane.llm import formdup, neardup, subjects, survivor, textform
 from corvane.session import table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
@@ -101,7 +101,24 @@ def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.filter("probability > 0.5").select(F.col("entity").alias("content_id"), "field", "value", F.round("probability", 6).alias("probability"), "stated", "denied")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p6_found, p6_merged, p6_truth)}
+# -- 9: subject areas ----------------------------------------------------------------------------
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents of each subject, and how much of them is about it."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p6_found, p6_merged, p6_truth, p9_found, p9_corpus)}
 
 _LINES = r"""
 with told as (
