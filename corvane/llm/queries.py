@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import formdup, neardup, subjects, survivor, textform
+from corvane.llm import entity, formdup, neardup, subjects, survivor, textform
 from corvane.session import table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
@@ -72,6 +72,31 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formdup.collapse(table(spark, sf_dir, "raw_scan"), "line_id", "line").select(F.col("first").alias("first_id"), "copies")
 
 
+# -- 5: items and films --------------------------------------------------------------------------
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "media_item").filter("media_type = 'Movie'").select("id", F.col("parsed.raw_title").alias("title"), F.col("parsed.year").alias("year"))
+    films = table(spark, sf_dir, "tmdb_movie").select("id", "title", "original_title", F.expr("try_cast(regexp_extract(release_date, '(?:^|[^0-9])((?:18|19|20)[0-9]{2})(?:[^0-9]|$)', 1) as int)").alias("year"))
+    return entity.match(items, films, "id", "id", "year", "year", ["title"], ["title", "original_title"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Film items and the film they are a file of."""
+    return _matches(spark, sf_dir).select(F.col("left_key").alias("item_id"), F.col("right_key").alias("tmdb_id"))
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Film items, their film and the confidence of the match."""
+    return _matches(spark, sf_dir).select(F.col("left_key").alias("item_id"), F.col("right_key").alias("tmdb_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p5_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item for each film and one film for each item, so that the total confidence is the greatest."""
+    kept = entity.one_to_one(_matches(spark, sf_dir).select(F.col("left_key").alias("left"), F.col("right_key").alias("right"), "confidence"))
+    return kept.select(F.col("left").alias("item_id"), F.col("right").alias("tmdb_id"), F.round("confidence", 6).alias("confidence"))
+
+
 # -- 6: best representative ----------------------------------------------------------------------
 
 
@@ -118,7 +143,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p6_found, p6_merged, p6_truth, p9_found, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p9_found, p9_corpus)}
 
 _LINES = r"""
 with told as (
