@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import entity, formdup, neardup, subjects, survivor, textform
+from corvane.llm import entity, formdup, mixing, neardup, packing, subjects, survivor, textform, tokens
 from corvane.session import table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
@@ -126,6 +126,46 @@ def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.filter("probability > 0.5").select(F.col("entity").alias("content_id"), "field", "value", F.round("probability", 6).alias("probability"), "stated", "denied")
 
 
+# -- 7: filling containers -----------------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, specs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec")
+    names = [r[0] for r in specs.select("tokenizer").distinct().collect()]
+    return packing.pack(tokens.count_tokens(docs, "doc_id", "text", names), specs, docs.count()), specs
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of one that is larger than a container, with its container, for each spec."""
+    packed, _ = _packed(spark, sf_dir)
+    return packed.select("spec_id", "bin_id", F.col("key").alias("doc_id"), "part", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each spec are."""
+    return packing.fill_report(*_packed(spark, sf_dir)).withColumn("used", F.round("used", 6))
+
+
+# -- 8: mixing sources ---------------------------------------------------------------------------
+
+MIX_TOKENIZER = "gpt2"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", [MIX_TOKENIZER], keep=["source"])
+    return mixing.mix(spark, sized, table(spark, sf_dir, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: documents of each source by the slot of their block and their place in the stream of the source."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens that each source reaches in the mix, beside its target."""
+    return _mixed(spark, sf_dir)[1].withColumn("reached_share", F.round("reached_share", 6))
+
+
 # -- 9: subject areas ----------------------------------------------------------------------------
 
 
@@ -143,7 +183,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p9_found, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_corpus)}
 
 _LINES = r"""
 with told as (
