@@ -99,25 +99,24 @@ def streamed(sized: DataFrame, n_items: int, bucket_items: int = BUCKET_ITEMS) -
     return rows.withColumn("inside", inside).join(before, ["source", "bucket"]).select("source", "key", "tokens", (F.col("base") + F.col("inside")).alias("at"))
 
 
-def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int | None = None, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int = 4096, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(slot, source, place, key, copy, tokens) of the mix, and (source, target_share, reached_share, tokens, documents, most_copies).
 
     sized: (key, source, tokens), keys unique; rows without a key, source or tokens take no part.  targets: (source,
     target_share, max_repeats), a small table; of sources named twice the first by share counts.  Read in the order of slot,
-    source and place, the mix holds every source's share to within a block and a document at any point.  A source's
+    source and place, the mix holds every source's share at any point.  A source's
     documents are all used as often as each other, give or take one.  Sources without documents are reported with 0.
-    Documents are never split: the last one of a source is used if more than half of it is within the quota.  block: its
-    size in tokens, by default the largest document's.
+    Documents are never split: the last one of a source is used if more than half of it is within the quota.  A source is
+    off its share by less than a block and the longest document, as that begins in one block and may end in a later one.
     """
     sized = cut(sized.filter("key is not null and source is not null and tokens > 0").select("key", "source", F.col("tokens").cast("bigint").alias("tokens")))
     wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.filter("source is not null").orderBy(F.desc("target_share")).collect()[::-1]}
-    found = {r["source"]: (r["n"], r["docs"], r["most"]) for r in sized.filter(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"), F.max("tokens").alias("most")).collect()}
-    block = block or max([1, *(m for _, _, m in found.values())])
-    available = {s: n for s, (n, _, _) in found.items()}
+    found = {r["source"]: (r["n"], r["docs"]) for r in sized.filter(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
+    available = {s: n for s, (n, _) in found.items()}
     p = plan(available, {s: x for s, (x, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total)
     rows = [(s, float(p.quota[s]), available[s], p.weights[s], p.slots[s], sum(p.weights.values())) for s in p.quota]
     table = spark.createDataFrame(rows, "source string, quota double, available bigint, weight int, slots array<int>, period int")
-    streams = streamed(sized, sum(d for _, d, _ in found.values())).join(F.broadcast(table), "source")
+    streams = streamed(sized, sum(d for _, d in found.values())).join(F.broadcast(table), "source")
     middle = F.col("at") + F.col("tokens") / 2
     last = F.floor((F.col("quota") - middle) / F.col("available")).cast("int")
     used = streams.filter(middle <= F.col("quota")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
