@@ -57,11 +57,12 @@ def route(hashes: np.ndarray, starts: np.ndarray, t: float, keys: np.ndarray, co
     h, f, place = hashes[order], freq[order], _ranges(sizes)
     need = np.ceil(t * sizes - 1e-9).astype(np.int64)
     first = sizes - need + 1
-    inside = place < first[row]
-    paired = inside & (f >= hot) & (need[row] >= 2)
-    rows, out = [row[inside & ~paired]], [h[inside & ~paired]]
-    at = np.flatnonzero(paired)
-    later = first[row[at]] - place[at]  # the second word lies among one more of the first words
+    second = sizes - np.maximum(need, 2) + 1  # where two words are common, the first of them lies here
+    rare = f < hot
+    single = (place < first[row]) & (rare | (need[row] < 2))
+    rows, out = [row[single]], [h[single]]
+    at = np.flatnonzero((place < second[row]) & ~rare)
+    later = second[row[at]] - place[at]  # the other one lies among one more of the first words
     left, right = np.repeat(at, later), np.repeat(at, later) + 1 + _ranges(later)
     rows.append(row[left])
     with np.errstate(over="ignore"):

@@ -1,6 +1,7 @@
 """Subject areas of documents by a seeded non-negative factorisation of the document-term matrix.
 
-The matrix counts the terms of every document.  It is factored by alternating multiplicative updates
+The matrix counts the terms of every document, on a logarithmic scale, so no long text outweighs the others.
+It is factored by alternating multiplicative updates
 (Kullback-Leibler objective) into document mixtures and component-term weights.  The components of the
 subjects are seeded by the hand-labelled documents, which also act as a prior in every update; further components,
 seeded by documents without a subject and by all documents, take the words of no subject.  So component i
@@ -221,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str =
                 terms_, counts = batch.column(0), batch.column(1)
                 lengths = np.diff(terms_.offsets.to_numpy(zero_copy_only=False))
                 starts = np.concatenate([[0], np.cumsum(lengths)])
-                t, c = terms_.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(float)
+                t, c = terms_.flatten().to_numpy(zero_copy_only=False), 1 + np.log(counts.flatten().to_numpy(zero_copy_only=False))
                 for a, b in _chunks(lengths):
                     at = slice(starts[a], starts[b])
                     if starts[b] > starts[a]:
