@@ -1,5 +1,5 @@
 """Registered queries, by subject."""
 
-from corvane.plans import records
+from corvane.plans import library, records
 
-MODULES = [records]
+MODULES = [records, library]
