@@ -45,32 +45,37 @@ def folder_clusters(items: DataFrame) -> DataFrame:
     return items.groupBy(parent(path).alias("dir")).agg(((F.count_if(video) >= 3) & (F.count_if(video & scoring.is_episode_name(path)) >= 2)).alias("cluster"))
 
 
-def judged(items: DataFrame) -> DataFrame:
-    """Items with their preferred title, year, season and episode, trust, provenance, scores and version key."""
+#: Columns that judged() adds, beside id, path, media_type and file_size.
+JUDGED = ["title", "origin", "year", "season", "episode", "trust", "metadata_confidence", "quality_score", "version_quality", "completeness", "effective", "provenance", "version_key", "full_hash"]
+
+
+def judged(items: DataFrame, *more: Column) -> DataFrame:
+    """Items with their preferred title, year, season and episode, trust, provenance, scores and version key.
+
+    Repeated deliveries count once.  The wide structs are reduced to a few plain columns in the scan, before anything is
+    shuffled.  more: other columns to carry.
+    """
     p, s, state = F.col("parsed"), F.col("scraped"), F.col("identity_resolution.confirmation_state")
     trust_p, trust_s = scoring.clamp(p["confidence"]), scoring.scraped_authority(s["confidence"], s["source"], state)
     blank = lambda c: F.when(F.trim(c) != "", c)
-    wide = items.withColumn("dir", parent(F.col("path"))).join(folder_clusters(items), "dir", "left")
-    wide = wide.withColumns(
-        {
-            "title": scoring.preferred(blank(p["raw_title"]), trust_p, blank(s["title"]), trust_s),
-            "year": scoring.preferred(p["year"], trust_p, s["year"], trust_s)["value"],
-            "season": scoring.preferred(p["season"], trust_p, s["season_number"], trust_s)["value"],
-            "episode": scoring.preferred(p["episode"], trust_p, s["episode_number"], trust_s)["value"],
-            "trust": scoring.identity_trust(state),
-            "provenance": scoring.provenance(F.col("media_type"), F.col("path"), F.coalesce("cluster", F.lit(False))),
-        }
-    )
     quality, content = F.col("quality"), F.col("content_evidence")
-    wide = wide.withColumns(
-        {
-            "metadata_confidence": F.coalesce(F.col("title.confidence"), trust_s, trust_p, scoring.f32(0.0)),
-            "quality_score": F.coalesce(F.col("quality.quality_score"), F.lit(0.0)),
-            "version_quality": scoring.version_quality(p, quality, content),
-            "completeness": scoring.completeness(F.col("media_type"), F.col("path"), quality, content, F.col("provenance")),
-        }
-    )
-    return wide.withColumn("effective", scoring.total(F.col("quality_score"), F.col("version_quality"), F.col("completeness"), 0.35 * F.col("metadata_confidence").cast("double"), 0.45 * F.col("trust").cast("double"))).withColumn("version_key", version_key())
+    narrow = items.select(
+        "id", "path", "media_type", "file_size",
+        scoring.preferred(blank(p["raw_title"]), trust_p, blank(s["title"]), trust_s).alias("t"),
+        scoring.preferred(p["year"], trust_p, s["year"], trust_s)["value"].alias("year"),
+        scoring.preferred(p["season"], trust_p, s["season_number"], trust_s)["value"].alias("season"),
+        scoring.preferred(p["episode"], trust_p, s["episode_number"], trust_s)["value"].alias("episode"),
+        scoring.identity_trust(state).alias("trust"), F.coalesce(trust_s, trust_p, scoring.f32(0.0)).alias("known_trust"),
+        F.coalesce(quality["quality_score"], F.lit(0.0)).alias("quality_score"), scoring.version_quality(p, quality, content).alias("version_quality"),
+        scoring.completeness(F.col("media_type"), F.col("path"), quality, content, F.lit("feature")).alias("completeness"),
+        *[s[c].alias(f"s_{c}") for c in ("tmdb_id", "musicbrainz_id", "openlibrary_id", "year")], F.col("hash.full_hash").alias("full_hash"), *more,
+    ).distinct()
+    wide = narrow.withColumn("dir", parent(F.col("path"))).join(folder_clusters(items.select("id", "path").distinct()), "dir", "left")
+    wide = wide.withColumns({"title": F.col("t.value"), "origin": F.col("t.origin"), "provenance": scoring.provenance(F.col("media_type"), F.col("path"), F.coalesce("cluster", F.lit(False)))})
+    wide = wide.withColumns({"metadata_confidence": F.coalesce("t.confidence", "known_trust"), "completeness": F.col("completeness") + scoring.pick(F.col("provenance"), scoring.PROVENANCE_BONUS)})
+    effective = scoring.total(F.col("quality_score"), F.col("version_quality"), F.col("completeness"), 0.35 * F.col("metadata_confidence").cast("double"), 0.45 * F.col("trust").cast("double"))
+    carried = [c for c in narrow.columns[narrow.columns.index("full_hash") + 1 :]]
+    return wide.withColumns({"effective": effective, "version_key": version_key()}).select("id", "path", "media_type", "file_size", *JUDGED, *carried)
 
 
 def version_key() -> Column:
@@ -80,15 +85,15 @@ def version_key() -> Column:
     by_id = F.when(
         F.col("trust") >= scoring.f32(scoring.ID_TRUST),
         F.when(
-            F.col("scraped.tmdb_id").isNotNull(),
-            F.when(F.col("media_type").isin("TvShow", "Strm"), F.concat(F.lit("tmdb:tv:"), F.col("scraped.tmdb_id").cast("string"), F.lit(":"), episode, F.lit(":"), F.col("provenance"))).otherwise(
-                F.concat(F.lit("tmdb:movie:"), F.col("scraped.tmdb_id").cast("string"), F.lit(":"), F.coalesce(F.col("scraped.year").cast("string"), year))
+            F.col("s_tmdb_id").isNotNull(),
+            F.when(F.col("media_type").isin("TvShow", "Strm"), F.concat(F.lit("tmdb:tv:"), F.col("s_tmdb_id").cast("string"), F.lit(":"), episode, F.lit(":"), F.col("provenance"))).otherwise(
+                F.concat(F.lit("tmdb:movie:"), F.col("s_tmdb_id").cast("string"), F.lit(":"), F.coalesce(F.col("s_year").cast("string"), year))
             ),
         )
-        .when(F.col("scraped.musicbrainz_id").isNotNull(), F.concat(F.lit("musicbrainz:"), F.col("scraped.musicbrainz_id")))
-        .when(F.col("scraped.openlibrary_id").isNotNull(), F.concat(F.lit("openlibrary:"), F.col("scraped.openlibrary_id"))),
+        .when(F.col("s_musicbrainz_id").isNotNull(), F.concat(F.lit("musicbrainz:"), F.col("s_musicbrainz_id")))
+        .when(F.col("s_openlibrary_id").isNotNull(), F.concat(F.lit("openlibrary:"), F.col("s_openlibrary_id"))),
     )
-    return F.coalesce(by_id, F.concat(F.lit("fallback:"), F.col("title.value"), F.lit("|"), year, F.lit("|"), episode, F.lit(":"), F.col("provenance")))
+    return F.coalesce(by_id, F.concat(F.lit("fallback:"), F.col("title"), F.lit("|"), year, F.lit("|"), episode, F.lit(":"), F.col("provenance")))
 
 
 def version_groups(rated: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def version_groups(rated: DataFrame) -> DataFrame:
     maxima combined before the shuffle, so a series with a third of all items is no burden.
     """
     order = F.struct("effective", "quality_score", "trust", "metadata_confidence", "file_size", F.col("id").alias("id"), "completeness")
-    full = F.col("hash.full_hash")
+    full = F.col("full_hash")
     out = rated.filter("version_key is not null").groupBy("version_key").agg(
         F.count("*").alias("n"), F.max(order).alias("best"), F.count(full).alias("hashed"), F.min(full).alias("low"), F.max(full).alias("high"),
         F.min("completeness").alias("least_completeness"), F.max("metadata_confidence").alias("most_confidence"), F.max("file_size").alias("largest"),

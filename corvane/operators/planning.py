@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import templates, titles
-from corvane.functions.paths import extension, parent, stem
+from corvane.functions.paths import extension, let, parent, stem
+from corvane.session import cut
 
 # Folders of the kinds.
 ROOTS = {"Movie": "Movies", "TvShow": "TV Shows", "Strm": "TV Shows", "Music": "Music", "Novel": "Books"}
@@ -25,14 +26,18 @@ def rename_plan(items: DataFrame, by_kind: dict[str, str] = templates.TEMPLATES,
     ext = extension(F.col("path"))
     made = F.concat(templates.clean_name(name), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
     target = F.concat(parent(F.col("path")), F.lit("/"), made)
-    return items.select("id", F.col("path").alias("old_path"), target.alias("new_path")).filter("new_path is not null and new_path <> old_path")
+    # exploding a list of one or none filters without a second copy of the expression
+    kept = let(target, lambda t: F.when(t.isNotNull() & (t != F.col("path")), F.array(t)).otherwise(F.array().cast("array<string>")))
+    return items.select("id", F.col("path").alias("old_path"), F.explode(kept).alias("new_path"))
 
 
 def conflicts(plans: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Plans with the number of others that want their target, and whether it exists and is not moved away itself.
 
-    Targets are counted in an aggregate and joined back, so a target wanted by very many is no hot window.
+    Targets are counted in an aggregate and joined back, so a target wanted by very many is no hot window.  The plans are
+    read three times, so they are checkpointed.
     """
+    plans = cut(plans)
     wanted = plans.groupBy("new_path").agg(F.count("*").alias("wanted"))
     out = plans.join(wanted, "new_path")
     if existing is None:

@@ -183,8 +183,8 @@ pref as (select *, ptitle is not null or stitle is not null has_title, case when
 @query(_ITEM + _TRUST + 'select id, title, origin, y "year", sn season, ep episode from pref')
 def preferred_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each item the title, year, season and episode to trust, looked up or parsed, and where the title is from."""
-    rated = dedup.judged(items(spark, sf_dir))
-    return rated.select("id", F.col("title.value").alias("title"), F.col("title.origin").alias("origin"), "year", "season", "episode")
+    rated = dedup.judged(table(spark, sf_dir, "media_item"))
+    return rated.select("id", "title", "origin", "year", "season", "episode")
 
 
 # -- duplicates ----------------------------------------------------------------------------------
@@ -246,7 +246,7 @@ k as (select *, coalesce(case when trust >= 0.82::float then case when s.tmdb_id
 @query(_ITEM + _KEYS + "select id, version_key, pv provenance from k")
 def version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key that the versions of one work share, and where each item stands."""
-    return dedup.judged(items(spark, sf_dir)).select("id", "version_key", "provenance")
+    return dedup.judged(table(spark, sf_dir, "media_item")).select("id", "version_key", "provenance")
 
 
 @query(
@@ -256,13 +256,13 @@ def version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works of which there are several versions."""
-    return dedup.version_groups(dedup.judged(items(spark, sf_dir))).select("version_key", "n")
+    return dedup.version_groups(dedup.judged(table(spark, sf_dir, "media_item"))).select("version_key", "n")
 
 
 @query()
 def version_keeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version to keep of each work, by its effective score."""
-    return dedup.version_groups(dedup.judged(items(spark, sf_dir))).withColumn("keep_score", F.round("keep_score", 6)).withColumn("least_completeness", F.round("least_completeness", 6))
+    return dedup.version_groups(dedup.judged(table(spark, sf_dir, "media_item"))).withColumn("keep_score", F.round("keep_score", 6)).withColumn("least_completeness", F.round("least_completeness", 6))
 
 
 # -- lookups -------------------------------------------------------------------------------------
@@ -374,8 +374,8 @@ def content_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = dedup.judged(items(spark, sf_dir))
-    return rated.select("id", "path", "media_type", F.col("title.value").alias("title"), "year", "season", "episode", F.col("scraped.episode_name").alias("ep_name"), F.col("scraped.artist").alias("artist"), F.col("scraped.album").alias("album"), F.col("scraped.author").alias("author"), F.col("parsed.media_suffix").alias("media_suffix"))
+    more = [F.col("scraped.episode_name").alias("ep_name"), *[F.col(f"scraped.{c}").alias(c) for c in ("artist", "album", "author")], F.col("parsed.media_suffix").alias("media_suffix")]
+    return dedup.judged(table(spark, sf_dir, "media_item"), *more)
 
 
 @query()
