@@ -220,7 +220,18 @@ kept as (
 vals as (unpivot (select content_id, item_index, c, mtime, title, "year", rating, overview from j) on title, "year", rating, overview into name field value value),
 best as (select content_id, field, item_index, value from vals where trim(value) <> '' qualify row_number() over (partition by content_id, field order by c desc nulls last, mtime desc nulls last, item_index desc) = 1)
 """
+_WORD_SETS = r"""
+with recursive item as (select distinct id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', parsed.raw_title, parsed.release_group, path)), '[\p{L}\p{N}]+'))) w from media_item where id is not null),
+word as (select id, len(w) n, unnest(w) x from item),
+pair as (select a.id a_id, b.id b_id, count(*) c from word a join word b on a.x = b.x and a.id < b.id group by 1, 2 having count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double >= 0.7::double),
+class as (select id, min(id) over (partition by w) class_id from item where len(w) > 0),
+link as (select distinct a.class_id a, b.class_id b from pair join class a on a.id = a_id join class b on b.id = b_id where a.class_id <> b.class_id),
+both_ways as (select a, b from link union select b, a from link),
+reach as (select class_id a, class_id b from class union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+"""
 ORACLE = {
+    "p3_found": _WORD_SETS + "select a_id, b_id from pair",
+    "p3_groups": _WORD_SETS + "select id, (select min(b) from reach where a = class_id) group_id, (select count(*) from both_ways l where l.a = class_id) n_links from class",
     "p4_found": _LINES + "select first_id, line_id copy_id from grouped where line_id > first_id",
     "p4_records": _LINES + "select first_id, count(*) copies from grouped group by first_id",
     "p6_found": _ITEMS + "select content_id, field, item_index from kept union all select content_id, field, item_index from best",
