@@ -350,7 +350,18 @@ def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- content -------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    r"""with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) x, unnest(range(len(string_split_regex(text, '\r?\n')))) pos from documents where source = 'subtitle' and text is not null),
+t as (select doc_id, pos, replace(trim(x), '\N', ' ') t from l),
+c as (select doc_id, pos, case when regexp_matches(t, '^\d{2}:\d{2}:\d{2}|^\d+$') then '' else trim(replace(regexp_replace(t, '\{[^}]+\}|<[^>]+>', '', 'g'), '&nbsp;', ' ')) end line from t),
+k as (select *, row_number() over (partition by doc_id order by pos) n from c where strlen(line) >= 2 and not (line like '[%' and line like '%]')),
+p as (select *, lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(line), '^[-:|"'']+|[-:|"'']+$', '', 'g'), '[._]+', ' ', 'g'), '\s+', ' ', 'g'))) form,
+  case when regexp_matches(lower(line), 'previously on|last time on|前情提要|上集回顾') then 4 when regexp_matches(lower(line), 'you are watching|you''re watching|from the series') then 3
+    when regexp_matches(line, '(?i)S\d{1,2}E\d{1,3}|(?:Episode|EP|E)\s*\d{1,3}|第\s*\d{1,3}\s*集') then 2 else 1 end signal, case when length(line) between 4 and 48 then 2 else 1 end readable from k where n <= 64),
+o as (select *, row_number() over (partition by doc_id order by signal desc, readable desc, strlen(line), n) r from p),
+d as (select *, row_number() over (partition by doc_id, form order by r) copy from o where form <> '')
+select doc_id, (row_number() over (partition by doc_id order by r) - 1)::int pos, line from d where copy = 1 qualify row_number() over (partition by doc_id order by r) <= 12"""
+)
 def telling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most telling lines of each subtitle text, in order."""
     docs = table(spark, sf_dir, "documents").filter("source = 'subtitle'")
@@ -378,7 +389,22 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.judged(table(spark, sf_dir, "media_item"), *more)
 
 
-@query()
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+-\s+', ' - ', 'g'), '\s+-\s*$', '', 'g'), '^\s*-\s+', '', 'g'), '  +', ' ', 'g')"
+
+
+@query(
+    _ITEM
+    + _TRUST
+    + r""", n as (select id, path, lower(regexp_extract(path, '[^/]\.([^./]*)$', 1)) ext, regexp_replace(path, '/?[^/]*$', '') dir, lpad(sn::varchar, greatest(2, length(sn::varchar))::int, '0') s2, lpad(ep::varchar, greatest(2, length(ep::varchar))::int, '0') e2, title, y, s, media_type from pref),
+m as (select *, case when media_type = 'Movie' then coalesce(title, '') || ' (' || coalesce(y::varchar, '') || ')' when media_type in ('TvShow', 'Strm') then coalesce(title, '') || ' - S' || coalesce(s2, '') || 'E' || coalesce(e2, '') || ' - ' || coalesce(s.episode_name, '')
+    when media_type = 'Music' then coalesce(s.artist, '') || ' - ' || coalesce(s.album, '') || ' - ' || coalesce(title, '') when media_type = 'Novel' then coalesce(s.author, '') || ' - ' || coalesce(title, '') end raw from n),
+c as (select *, """
+    + _CLEAN.format(_CLEAN.format(_CLEAN.format(r"regexp_replace(regexp_replace(regexp_replace(raw, '\(\s*\)', '', 'g'), '\[\s*\]', '', 'g'), '  +', ' ', 'g')")))
+    + r""" x from m),
+d as (select id, path old_path, dir || '/' || nullif(regexp_replace(regexp_replace(trim(replace(regexp_replace(x, '(^|[^A-Za-z0-9])S(E\d{2}\b)', '\1\2', 'g'), '..', '.')), '[\s.]+$', ''), '^[\s.]+', ''), '') || case when ext <> '' then '.' || ext else '' end new_path from c),
+p as (select * from d where new_path is not null and new_path <> old_path)
+select id, old_path, new_path, count(*) over (partition by new_path) wanted, new_path in (select path from item where path is not null) and new_path not in (select old_path from p where old_path is not null) occupied from p"""
+)
 def rename_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New names by the templates of each kind, with how many want each and whether it is taken."""
     return planning.conflicts(planning.rename_plan(_named(spark, sf_dir)), items(spark, sf_dir, "path")).select("id", "old_path", "new_path", "wanted", "occupied")
@@ -398,7 +424,28 @@ def organize_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.organize_plan(_named(spark, sf_dir), "/library")
 
 
-@query()
+def _tag(name: str, value: str) -> str:
+    escaped = f"({value})::varchar"
+    for raw, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
+        escaped = f"replace({escaped}, '{raw}', '{to}')"
+    return f"'  <{name}>' || {escaped} || '</{name.split(' ')[0]}>'"
+
+
+_EPISODE_TITLE = "case when epi then coalesce(s.episode_name, s.title) else s.title end"
+_TAGS = [
+    _tag("title", _EPISODE_TITLE), f"case when epi then {_tag('showtitle', 's.title')} end", _tag("originaltitle", "s.title_original"),
+    *[f"case when epi then {_tag(t, f's.{t}_number')} end" for t in ("season", "episode")], *[f"case when music then {_tag(t, f's.{t}')} end" for t in ("artist", "album")],
+    _tag("year", "s.year"), _tag("plot", "s.overview"), _tag("thumb", "s.poster_url"), *[_tag(f'uniqueid type="{t}"', f"s.{t}_id") for t in ("tmdb", "musicbrainz", "openlibrary")],
+]
+
+
+@query(
+    _ITEM
+    + """, t as (select id, scraped s, media_type = 'TvShow' and scraped.episode_number is not null epi, media_type = 'Music' music, case media_type when 'Movie' then 'movie' when 'TvShow' then case when scraped.episode_number is not null then 'episodedetails' else 'tvshow' end when 'Music' then 'music' end root from item where scraped is not null)
+select id, concat_ws(chr(10), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', '<' || root || '>', """
+    + ", ".join(_TAGS)
+    + ", '</' || root || '>') as text from t where root is not null"
+)
 def sidecar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of a metadata file for each looked-up item."""
     rows = items(spark, sf_dir, "id", "media_type", "scraped")
@@ -408,7 +455,7 @@ def sidecar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _ITEM
     + """select count(*) items, count(parsed) parsed, count_if(media_type = 'TvShow') tv, count_if(parsed.parse_source = 'Context') from_context, count(scraped) scraped, count(hash) hashed, count(hash.full_hash) hashed_in_full,
-  count(quality) probed, sum(file_size) bytes from item"""
+  count(quality) probed, sum(file_size)::bigint bytes from item"""
 )
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items each stage of the pipeline has reached."""
@@ -422,7 +469,7 @@ def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.search(rows, "harbor", paths.file_name(F.col("path")), F.col("a"), F.col("b")).select("id", "path")
 
 
-@query(_ITEM + "select regexp_replace(path, '/?[^/]*$', '') dir, count(*) files, sum(file_size) bytes, min(path) first, max(path) last from item group by 1")
+@query(_ITEM + "select regexp_replace(path, '/?[^/]*$', '') dir, count(*) files, sum(file_size)::bigint bytes, min(path) first, max(path) last from item group by 1")
 def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folders with what they hold."""
     return planning.tree(items(spark, sf_dir, "id", "path", "file_size"))
