@@ -73,7 +73,7 @@ def judged(items: DataFrame, *more: Column) -> DataFrame:
     wide = narrow.withColumn("dir", parent(F.col("path"))).join(folder_clusters(items.select("id", "path").distinct()), "dir", "left")
     wide = wide.withColumns({"title": F.col("t.value"), "origin": F.col("t.origin"), "provenance": scoring.provenance(F.col("media_type"), F.col("path"), F.coalesce("cluster", F.lit(False)))})
     wide = wide.withColumns({"metadata_confidence": F.coalesce("t.confidence", "known_trust"), "completeness": F.col("completeness") + scoring.pick(F.col("provenance"), scoring.PROVENANCE_BONUS)})
-    effective = scoring.total(F.col("quality_score"), F.col("version_quality"), F.col("completeness"), 0.35 * F.col("metadata_confidence").cast("double"), 0.45 * F.col("trust").cast("double"))
+    effective = F.round(scoring.total(F.col("quality_score"), F.col("version_quality"), F.col("completeness"), 0.35 * F.col("metadata_confidence").cast("double"), 0.45 * F.col("trust").cast("double")), 9)
     carried = [c for c in narrow.columns[narrow.columns.index("full_hash") + 1 :]]
     return wide.withColumns({"effective": effective, "version_key": version_key()}).select("id", "path", "media_type", "file_size", *JUDGED, *carried)
 

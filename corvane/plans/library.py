@@ -259,7 +259,43 @@ def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.version_groups(dedup.judged(table(spark, sf_dir, "media_item"))).select("version_key", "n")
 
 
-@query()
+def _suffix_sql(x: str) -> str:
+    return " + ".join(f"case when regexp_matches(lower(coalesce({x}, '')), '{'|'.join(parts)}') then {points}::double else 0 end" for parts, points in scoring.SUFFIX_BONUS)
+
+
+def _release_sql(x: str) -> str:
+    return "case " + " ".join(f"when regexp_matches(lower(coalesce({x}, '')), '{'|'.join(parts)}') then {points}::double" for parts, points in scoring.RELEASE_TIERS) + " else 0 end"
+
+
+_SUBS, _TRACKS = "coalesce(ce.subtitles, [])", "coalesce(ce.container.track_titles, [])"
+_FORCED = "(contains(lower(coalesce({0}, '')), 'forced') and not contains(lower(coalesce({0}, '')), 'full'))"
+_COMMENT = "contains(lower(coalesce({0}, '')), 'commentary')"
+_OWN = f"len(list_filter({_TRACKS}, lambda t: not {_COMMENT.format('t')}))"
+_FULL = f"len(list_filter({_SUBS}, lambda t: not {_FORCED.format('t.track_title')} and not {_COMMENT.format('t.track_title')}))"
+_EFFECTIVE = (
+    _KEYS
+    + f""", sc as (select *, coalesce(quality.quality_score, 0) q, coalesce(case when has_title then case when origin = 'Scraped' then coalesce(stt, 0::float) else coalesce(pt, 0::float) end end, stt, pt, 0::float) mc,
+  case when quality.video_bitrate is null then 0 else least(quality.video_bitrate::double / 4e6::double, 1.1::double) end + case when quality.audio_bitrate is null then 0 else least(quality.audio_bitrate::double / 512e3::double, 0.35::double) end
+  + case when quality.duration_secs >= 1200 then 0.18::double else 0 end + case lower(trim(quality.resolution_label)) when '2160p' then 0.65 when '4k' then 0.65 when '1440p' then 0.4 when '1080p' then 0.24 when '720p' then 0.08 else 0 end::double
+  + case when regexp_matches(lower(quality.video_codec), '265|hevc') then 0.12::double else 0 end + case when regexp_matches(lower(quality.audio_codec), 'truehd|dts-hd|atmos') then 0.2::double when contains(lower(quality.audio_codec), 'dts') then 0.1::double else 0 end
+  + {" + ".join(_suffix_sql(f"p.{c}") for c in ("media_suffix", "source", "resolution"))} + {" + ".join(_release_sql(f"p.{c}") for c in ("media_suffix", "source"))}
+  + case when len({_SUBS}) > 0 then 0.22::double + greatest(least(len({_SUBS}), 3)::double - 1, 0) * 0.05::double else 0 end
+  + case when len(list_filter({_SUBS}, lambda t: lower(coalesce(t.language, '')) in ('zh','zho','chi','chs','cht','en','eng'))) > 0 then 0.08::double else 0 end
+  + case when abs(ce.runtime_secs - quality.duration_secs) <= 3 then 0.08::double when abs(ce.runtime_secs - quality.duration_secs) >= 90 then -0.18::double else 0 end
+  + case when {_OWN} >= 2 then 0.16::double when {_OWN} = 1 then 0.06::double else 0 end + case when len(coalesce(ce.container.stream_languages, [])) >= 2 then 0.08::double else 0 end + case when {_FULL} >= 2 then 0.12::double else 0 end vq,
+  case when regexp_matches(lower(path), '/sample/| sample|-sample') then -1.25::double else 0 end + case when regexp_matches(lower(path), '/extras/|/featurettes/|/behind the scenes/|/specials/|特别篇|花絮') then -0.85::double else 0 end
+  + case when len({_SUBS}) > 0 and len(list_filter({_SUBS}, lambda t: not {_FORCED.format('t.track_title')})) = 0 then -0.55::double when len({_SUBS}) > 0 then 0.18::double else 0 end
+  + case when len(list_filter(coalesce(ce.risk_flags, []), lambda f: contains(lower(f), 'failed'))) > 0 then -0.15::double else 0 end + case when abs(ce.runtime_secs - quality.duration_secs) >= 180 then -0.4::double else 0 end
+  + case when media_type = 'Movie' and quality.duration_secs < 2400 then -0.75::double when media_type in ('TvShow', 'Strm') and quality.duration_secs < 600 then -0.55::double else 0 end
+  + case pv when 'season_cluster' then 0.14 when 'season' then 0.08 when 'loose' then 0.02 when 'extras' then -0.65 else 0 end::double compl from k),
+ef as (select *, round(q + vq + compl + 0.35::double * mc::double + 0.45::double * trust::double, 9) effective from sc),
+r as (select *, row_number() over (partition by version_key order by effective desc, q desc, trust desc, mc desc, file_size desc nulls last, id desc) rn, count(*) over g n, count(hash.full_hash) over g h, min(hash.full_hash) over g lo, max(hash.full_hash) over g hi,
+  min(compl) over g least_completeness, max(mc) over g most_confidence, max(file_size) over g largest from ef where version_key is not null window g as (partition by version_key))
+"""
+)
+
+
+@query(_ITEM + _EFFECTIVE + "select version_key, n, id keep_id, round(effective, 6) keep_score, round(least_completeness, 6) least_completeness, most_confidence, largest from r where rn = 1 and n > 1 and not (h = n and lo = hi)")
 def version_keeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version to keep of each work, by its effective score."""
     return dedup.version_groups(dedup.judged(table(spark, sf_dir, "media_item"))).withColumn("keep_score", F.round("keep_score", 6)).withColumn("least_completeness", F.round("least_completeness", 6))
