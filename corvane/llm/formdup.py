@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import cut
+
 FIELD = "array<struct<name:string,value:string>>"
 
 
@@ -76,8 +78,9 @@ def copies(df: DataFrame, key: str, line: str, hot_rows: int = 100_000) -> DataF
     """(first, copy) for every row that is a copy of one with a smaller key.
 
     hot_rows: from so many rows on, a digest's group is joined by broadcast; there are at most rows / hot_rows such.
+    Lines are parsed once; their digests and structures are checkpointed, as the groups and the joins read them.
     """
-    rows = digests(df, key, line).filter("key is not null")
+    rows = cut(digests(df, key, line).filter("key is not null"))
     groups = rows.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.min("structure").alias("low"), F.max("structure").alias("high")).filter("n > 1")
     sure = groups.filter("low = high").select("root", "first", "n")
     plain = rows.select("key", "root").join(sure.filter(F.col("n") < hot_rows).drop("n"), "root")
