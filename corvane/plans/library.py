@@ -151,6 +151,28 @@ def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode(titles.variants(F.col("t"))).alias("p", "variant")).select("id", "variant", (F.col("p") + 1).cast("bigint").alias("pos"))
 
 
+@query(
+    _ITEM
+    + r""", q as (select id, trim(replace(replace(replace(parsed.raw_title, '.', ' '), '_', ' '), '  ', ' ')) t from item where media_type = 'Music' and parsed.raw_title is not null),
+d as (select id, t, unnest([' - ', ' – ', ' — ']) d, unnest([0, 1, 2]) p from q),
+c as (select id, p, trim(t[:instr(t, d) - 1]) artist, trim(t[instr(t, d) + 3:]) title from d where instr(t, d) > 0),
+k as (select id, (row_number() over (partition by id order by p) - 1)::int pos, artist, title from c where artist <> '' and title <> ''),
+w as (select id, t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') ws from q where id not in (select id from k))
+select * from k union all select id, 0, case when len(ws) >= 2 then ws[1] else t end, case when len(ws) >= 2 then array_to_string(ws[2:], ' ') else t end from w"""
+)
+def music_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artists and titles under which music items are looked up."""
+    rows = items(spark, sf_dir, "id", "media_type", F.col("parsed.raw_title").alias("t")).filter("media_type = 'Music' and t is not null")
+    return rows.select("id", F.posexplode(titles.artist_and_title(F.col("t"))).alias("pos", "q")).select("id", "pos", "q.artist", "q.title")
+
+
+@query()
+def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms to look each item up by: of its title, of titles seen in its content, and of its folders."""
+    rows = items(spark, sf_dir, "id", "path", F.col("parsed.raw_title").alias("t"), F.col("content_evidence.title_candidates").alias("seen"))
+    return rows.select("id", F.posexplode(titles.query_plan(F.col("t"), F.col("seen"), paths.ancestors(F.col("path"), 4))).alias("pos", "form"))
+
+
 # -- scores --------------------------------------------------------------------------------------
 
 _SCORES = """select id, h * 0.4::double + v * 0.3::double + r * 0.2::double + a * 0.1::double score,
@@ -337,12 +359,33 @@ def first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.first_source(answers, "content_id", "source", ["LocalNfo", "Tmdb", "MusicBrainz", "OpenLibrary", "AiAssist", "Guess"])
 
 
-@query()
+def _bare_sql(x: str) -> str:
+    form = f"trim(replace(replace(replace({x}, '.', ' '), '_', ' '), '  ', ' '))"
+    noise = ", ".join(f"'{w}'" for w in titles.QUERY_NOISE)
+    return f"array_to_string(list_filter(string_split_regex({form}, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '' and lower(x) not in ({noise})), ' ')"
+
+
+@query(
+    _ITEM
+    + f""", q as (select id, parsed.year y, content_evidence.title_candidates seen, {_bare_sql("trim(parsed.raw_title)")} bare from item where media_type = 'Movie' and trim(parsed.raw_title) <> ''),
+f as (select id, y, lower(bare) own, [lower(bare), lower(array_to_string(list_filter(string_split(bare, ' '), lambda x: not regexp_matches(x, '^(19|20)[0-9]{{2}}$') and not regexp_matches(lower(x), '^s[0-9]{{2}}e[0-9]{{2}}$')), ' '))] forms,
+  list_filter(list_transform(coalesce(seen, []), lambda x: lower({_bare_sql("x").replace("lambda x:", "lambda v:").replace("x <> ''", "v <> ''").replace("lower(x) not", "lower(v) not")})), lambda x: x <> '') shown from q),
+m as (select distinct id, title, original_title, try_cast(release_date[:4] as int) cy, vote_average from tmdb_movie),
+c as (select id cid, cy, vote_average, lower({_bare_sql("title")}) theirs, coalesce(lower({_bare_sql("original_title")}), '') orig from m),
+met as (select distinct f.id, c.cid from (select id, y, unnest(list_distinct(forms)) form from f) f join (select cid, cy, unnest(list_distinct([theirs, orig])) form from c) c on f.form = c.form and f.form <> '' and (f.y is null or c.cy is null or abs(f.y - c.cy) <= 1)),
+j as (select f.*, c.*, list_position(list_transform(shown, lambda s: s = theirs or s = orig), true) hit from met join f using (id) join c using (cid)),
+g as (select id, cid, (case when own <> '' and (theirs = own or orig = own) then 1.2::double when own <> '' and (contains(theirs, own) or contains(own, theirs) or (orig <> '' and contains(orig, own))) then 0.7::double else 0 end
+  + case when y is null or cy is null then 0 when y = cy then 0.45::double when abs(y - cy) = 1 then 0.12::double else -0.25::double end
+  + 0.18::double * len(list_filter(case when hit > 0 then shown[:hit - 1] else shown end, lambda s: contains(theirs, s) or contains(s, theirs) or (orig <> '' and contains(orig, s)))) + case when hit > 0 then 0.48::double else 0 end
+  + case when vote_average >= 7 then 0.05::double else 0 end)::float score from j),
+r as (select *, row_number() over w rank, (score - lead(score) over w)::float gap from g window w as (partition by id order by score desc, cid))
+select id, cid tmdb_id, round(score::double, 5) score, rank, round(gap::double, 5) gap from r where rank <= 5"""
+)
 def film_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five films of the catalogue for each film item by the forms of its title, with their scores."""
     asked = items(spark, sf_dir, "id", F.col("parsed.raw_title").alias("title"), F.col("parsed.year").alias("year"), F.col("parsed.season").alias("season"), "media_type", F.col("content_evidence.title_candidates").alias("seen")).filter("media_type = 'Movie'")
     films = table(spark, sf_dir, "tmdb_movie").select("id", "title", F.col("original_title").alias("original"), F.expr("try_cast(substring(release_date, 1, 4) as int)").alias("year"), F.col("vote_average").alias("rating")).distinct()
-    return linking.lookups(asked, films).select("id", F.col("c_id").alias("tmdb_id"), F.round("score", 5).alias("score"), "rank", F.round("gap", 5).alias("gap"))
+    return linking.lookups(asked, films).select("id", F.col("c_id").alias("tmdb_id"), F.round(F.col("score").cast("double"), 5).alias("score"), "rank", F.round(F.col("gap").cast("double"), 5).alias("gap"))
 
 
 @query(

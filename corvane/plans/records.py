@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions import evidence
+from corvane.operators.dedup import ranked
 from corvane.operators.nested import json_pieces, pivot, struct_pieces
 from corvane.session import table
 
@@ -50,6 +52,13 @@ def p1_subtitle_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("owner", "item_id").drop("parent_pos").distinct()
 
 
+def subtitle_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three subtitle streams of each probe to read first: by language, kind of track, and marks."""
+    streams = p1_streams(spark, sf_dir).filter("codec_type = 'subtitle'")
+    order = evidence.subtitle_priority(F.col("tags_language"), F.col("tags_title"), F.col("disposition_default"), F.col("disposition_forced"))
+    return ranked(streams.withColumn("order", order), ["probe_id"], [F.desc("order"), F.col("pos")], 3).select("probe_id", "pos", "rank", "tags_language")
+
+
 _FLAT = """
 with item as (select distinct * from media_item),
 flat as (
@@ -85,9 +94,14 @@ ORACLE = {
   try_cast(e->>'width' as bigint) width, try_cast(e->>'height' as bigint) height, try_cast(e->>'bit_rate' as bigint) bit_rate,
   coalesce(e->>'$.tags.language', e->>'$.tags.LANGUAGE') tags_language, coalesce(e->>'$.tags.title', e->>'$.tags.TITLE') tags_title,
   try_cast(e->>'$.disposition.default' as bigint) disposition_default, try_cast(e->>'$.disposition.forced' as bigint) disposition_forced from stream""",
+    "subtitle_choices": "with "
+    + _STREAMS
+    + """, s as (select probe_id, pos, coalesce(e->>'$.tags.language', e->>'$.tags.LANGUAGE') lang, lower(coalesce(e->>'$.tags.title', e->>'$.tags.TITLE', '')) title, coalesce(try_cast(e->>'$.disposition.default' as int), 0) d, coalesce(try_cast(e->>'$.disposition.forced' as int), 0) f from stream where e->>'codec_type' = 'subtitle')
+select probe_id, pos, rank, lang tags_language from (select *, row_number() over (partition by probe_id order by case when lower(lang) in ('chi', 'zho', 'zh', 'chs', 'cht') then 3 when lower(lang) in ('eng', 'en') then 2 else 1 end desc,
+  case when title like '%forced%' or title like '%commentary%' then 0 when title like '%full%' then 2 else 1 end desc, d desc, 1 - f desc, pos) rank from s) where rank <= 3""",
     "p1_subtitle_plans": """with item as (select distinct id, rename_plan.subtitle_plans p from media_item where len(rename_plan.subtitle_plans) > 0),
 placed as (select id, unnest(p) e, unnest(range(len(p))) pos from item)
 select distinct id item_id, pos, e.old_path old_path, e.new_path new_path from placed where e is not null""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_streams": p1_streams, "p1_subtitle_plans": p1_subtitle_plans}
+QUERIES = {"p1_found": p1_found, "p1_streams": p1_streams, "p1_subtitle_plans": p1_subtitle_plans, "subtitle_choices": subtitle_choices}
