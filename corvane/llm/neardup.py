@@ -204,24 +204,23 @@ def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
     return between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
-def groups_of(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
+def groups_of(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, group_id, n_links): connected groups of records; group_id is the smallest class id, n_links counts links of the class.
 
-    Labels are passed along links and halved by pointer jumping until none changes; each round is checkpointed.
+    Labels are passed along links, and distances halved by pointer jumping, until no label changes; each round is checkpointed.
     """
     edges = links.select("a", "b")
     edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
     label = cut(label)
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         passed = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "low").alias("low"))
         jumped = passed.join(label.select(F.col("node").alias("low"), F.col("label").alias("far")), "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new"))
         jumped = cut(jumped)
         changed = jumped.filter("new <> label").limit(1).count()
         label = jumped.select("node", F.col("new").alias("label"))
-        if not changed:
-            break
     degree = edges.groupBy("a").agg(F.count("*").alias("n_links")).select(F.col("a").alias("class_id"), "n_links")
     named = members.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     return named.select("id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

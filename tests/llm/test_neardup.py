@@ -62,6 +62,13 @@ def test_groups(spark):
     assert {r.id: r.group_id for r in groups_of(links, members).collect()} == {i: find(i) for i in root}
 
 
+def test_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(70)], "a bigint, b bigint")
+    members = spark.createDataFrame([(i, i) for i in range(71)] + [(500, 3), (600, 600)], "id bigint, class_id bigint")
+    got = {r.id: (r.group_id, r.n_links) for r in groups_of(links, members).collect()}
+    assert {g for i, (g, _) in got.items() if i != 600} == {0} and got[600] == (600, 0) and got[500] == (0, 2) and got[0] == (0, 1)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2**12 - 1), st.integers(1, 20)), max_size=120))
 def test_trie_holds_every_pair_in_budget(rows):
