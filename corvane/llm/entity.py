@@ -2,8 +2,9 @@
 
 Every distinct reading (title and year) of either table becomes a few sort keys: the title, the title from its
 end, both of them behind the year, and the title without one of its words.  All readings are sorted by key over
-the cluster and a window slides over them; the readings of a partition's end see those of the next one's beginning.  In
-the window, readings of the two sides are compared: first by years, numbers and letter sketches in arrays, then by
+the cluster and each left reading is compared with the right readings that stand next to it, on both sides, those of the
+neighbouring partitions among them.  So the window is counted in readings of the other side, and the many spellings of a
+popular title don't use it up.  Pairs are compared first by years and letter sketches in arrays, then by numbers and
 edit distance.  The confidence weighs the similarities of title, year and kind of name.  Then each record on the left
 takes its best match; `one_to_one` also gives each record on the right to one on the left, so that the total
 confidence is the greatest.
@@ -205,43 +206,52 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
     """(left, left_year, right, right_year, kind, confidence): readings of the two sides that match, each pair once.
 
-    rows: distinct (side, name, year, kind).  window: how many following readings each is compared with, by each key.
-    Edges of partitions: the first `window` readings of every partition, at most window times the partitions, are
-    broadcast and follow the readings of the partition before.
+    rows: distinct (side, name, year, kind).  window: with how many right readings before it, and how many after it, each
+    left reading is compared, by each key.  Left readings don't count, so many spellings of one entity push none out.
+    Edges of partitions: the first and the last `window` right readings of every partition, at most twice window times the
+    partitions, are broadcast and stand beside the readings of the other partitions.
     """
     import pyarrow as pa
 
     ordered = cut(_keyed(rows).repartitionByRange("sort").sortWithinPartitions("sort", "side", "name", "year"))
+    columns = ["sort", "name", "year", "kind", "mark"]
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, part = window, TaskContext.get().partitionId()
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last = TaskContext.get().partitionId(), [], []
         for batch in batches:
-            if left > 0 and batch.num_rows:
-                first = batch.slice(0, left)
-                left -= first.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([part] * first.num_rows, pa.int32()), *first.columns], names=["part", *first.schema.names])
+            found = [r for r in zip(*[batch.column(c).to_pylist() for c in ["side", *columns]], strict=True) if r[0] == 1]
+            first += found[: window - len(first)]
+            last = [*last, *found][-window:]
+        rows_ = [(part, at, i, *r[1:]) for at, side in enumerate((first, last)) for i, r in enumerate(side)]
+        cols = list(zip(*rows_, strict=True)) or [()] * 8
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "at", "i", *columns])
 
-    begin = ordered.mapInArrow(heads, f"part int, sort string, {READING}, mark bigint").toArrow().sort_by([("part", "ascending"), ("sort", "ascending"), ("side", "ascending"), ("name", "ascending"), ("year", "ascending")])
-    columns = ["part", "sort", "side", "name", "year", "kind", "mark"]
-    sent = rows.sparkSession.sparkContext.broadcast({c: begin[c].to_pylist() for c in columns})
+    edge = ordered.mapInArrow(ends, "part int, at int, i int, sort string, name string, year int, kind int, mark bigint").toArrow().sort_by([("part", "ascending"), ("at", "ascending"), ("i", "ascending")])
+    sent = rows.sparkSession.sparkContext.broadcast({c: edge[c].to_pylist() for c in ["part", "at", *columns]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, edges = TaskContext.get().partitionId(), sent.value
         done: set[tuple] = set()
-
-        def pairs(block: dict[str, list], upto: int) -> Iterator[pa.RecordBatch]:
-            side, mark = np.array(block["side"], np.int8), np.array(block["mark"], np.int64).view(np.uint64)
-            year = np.array([-1 if y is None else y for y in block["year"]], np.int64)
-            group = np.array([s[0] for s in block["sort"]])
-            name, kind = block["name"], block["kind"]
+        beside = lambda keep: {c: [edges[c][i] for i in keep] for c in columns}
+        right = beside([i for i, p in enumerate(edges["part"]) if p < part and edges["at"][i] == 1][-window:])
+        start, waiting = 0, []  # the number of right readings dropped; left readings, and how many right ones stand before each
+
+        def pairs(left: pa.RecordBatch, before: np.ndarray) -> pa.RecordBatch:
+            name, years = left.column("name").to_pylist(), left.column("year").to_pylist()
+            code = lambda values: np.array([-1 if y is None else y for y in values], np.int64)
+            group = lambda keys: np.array([k[0] for k in keys], "U1")
+            mark, year, kinds = left.column("mark").to_numpy().view(np.uint64), code(years), group(left.column("sort").to_pylist())
+            others, other_year, other_kinds = np.array(right["mark"], np.int64).view(np.uint64), code(right["year"]), group(right["sort"])
             low, out = np.uint64(0xFFFFFFFF), []
-            for step in range(1, window + 1):
-                i = np.arange(max(0, min(upto, len(side) - step)))
-                j = i + step
-                x = mark[i] ^ mark[j]
-                near = (side[i] != side[j]) & (group[i] == group[j]) & ((year[i] < 0) | (year[j] < 0) | (np.abs(year[i] - year[j]) <= 1)) & (np.bitwise_count(x & low) <= 6) & (np.bitwise_count(x >> np.uint64(32)) <= 12)
+            for step in range(-window, window):
+                at = before - start + step
+                i = np.flatnonzero((at >= 0) & (at < len(others)))
+                j = at[i]
+                x = mark[i] ^ others[j]
+                near = (kinds[i] == other_kinds[j]) & ((year[i] < 0) | (other_year[j] < 0) | (np.abs(year[i] - other_year[j]) <= 1)) & (np.bitwise_count(x & low) <= 6) & (np.bitwise_count(x >> np.uint64(32)) <= 12)
                 for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                    a, b = (p, q) if side[p] == 0 else (q, p)
-                    what = (name[a], block["year"][a], name[b], block["year"][b], kind[b])
+                    what = (name[p], years[p], right["name"][q], right["year"][q], right["kind"][q])
                     if what in done:
                         continue
                     done.add(what)
@@ -250,21 +260,28 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
             if len(done) > 500_000:
                 done.clear()
             cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.float64())], names=["left", "left_year", "right", "right_year", "kind", "confidence"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.float64())], names=["left", "left_year", "right", "right_year", "kind", "confidence"])
 
-        held: dict[str, list] = {c: [] for c in columns[1:]}
         for batch in batches:
-            for c in held:
-                held[c] += batch.column(batch.schema.names.index(c)).to_pylist()
-            if len(held["side"]) > window:
-                yield from pairs(held, len(held["side"]) - window)
-                held = {c: v[-window:] for c, v in held.items()}
-        if held["side"]:
-            part, edge = TaskContext.get().partitionId(), sent.value
-            after = [i for i, p in enumerate(edge["part"]) if p > part][:window]
-            own = len(held["side"])
-            held = {c: v + [edge[c][i] for i in after] for c, v in held.items()}
-            yield from pairs(held, own)
+            if not batch.num_rows:
+                continue
+            ours = batch.column("side").to_numpy() == 0
+            before = start + len(right["sort"]) + np.cumsum(~ours)
+            theirs = batch.filter(pa.array(~ours))
+            for c in columns:
+                right[c] += theirs.column(c).to_pylist()
+            if ours.any():
+                waiting.append((batch.filter(pa.array(ours)), before[ours]))
+            while waiting and waiting[0][1][-1] + window <= start + len(right["sort"]):
+                yield pairs(*waiting.pop(0))
+            drop = (waiting[0][1][0] if waiting else start + len(right["sort"])) - window - start
+            if drop > 0:
+                start, right = start + drop, {c: v[drop:] for c, v in right.items()}
+        after = beside([i for i, p in enumerate(edges["part"]) if p > part and edges["at"][i] == 0][:window])
+        for c in columns:
+            right[c] += after[c]
+        for left, before in waiting:
+            yield pairs(left, before)
 
     found = ordered.mapInArrow(compare, "left string, left_year int, right string, right_year int, kind int, confidence double")
     return found.groupBy("left", "left_year", "right", "right_year").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"))

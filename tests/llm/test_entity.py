@@ -2,7 +2,7 @@ import itertools
 import random
 
 import numpy as np
-from corvane.llm.entity import assign, distance, match, names_of, neighbours, one_to_one, words_of
+from corvane.llm.entity import assign, confidence, distance, match, names_of, neighbours, one_to_one, words_of
 
 FILMS = [(1, "The Silent Harbor", None, 1990), (2, "The Silent Harbor", None, 2010), (3, "Karen: The Iron Door", "Дом (Karens House)", 2001), (4, "Velofin", None, 1980), (5, "Velofin 2", None, 1984), (6, "Été de Velomar", None, None), (7, None, None, 1999), (8, "", "", None)]
 ITEMS = [(1, "silent.harbor.the", 1990), (2, "The_Silnet_Harbor", 2010), (3, "The Silent Harbor", 2000), (4, "Karen", 2001), (5, "karens house", None), (6, "Velofin II", 1984), (7, "Velofin", 1984), (8, "Ete.de.Velomar", 1970), (9, None, 1990), (10, "...", 1990), (11, "Unrelated Thing", 1990), (1, "silent.harbor.the", 1990), (12, "The Silent Harbor Directors Cut", 1990), (13, "ＳＩＬＥＮＴ Hаrbor", 1991)]
@@ -36,6 +36,17 @@ def test_window_crosses_partitions(spark):
     assert {(n, n[:5] + "z" + n[6:]) for n in names} <= got
 
 
+def test_spellings_of_one_film_keep_it_in_the_window(spark):
+    rng = random.Random(5)
+    films = ["stolen fagitamon", *["".join(rng.choice("bcdfgaeiou") for _ in range(12)) for _ in range(200)]]
+    slips = {f[:i] + c + f[i + 1 :] for f in films[:1] for i in range(len(f)) if f[i] != " " for c in "abcdefghijklmnopqrstuvwxyz"}
+    slips |= {f[:5] + "z" + f[6:] for f in films}
+    rows = [(0, n, 1990, 0) for n in sorted(slips)] + [(1, n, 1990, 0) for n in films]
+    df = spark.createDataFrame(rows, "side int, name string, year int, kind int").repartition(7)
+    got = {(r.left, r.right) for r in neighbours(df).collect()}
+    assert got == {(n, f) for n in slips for f in films if confidence(n, f, 1990, 1990, 0) is not None}
+
+
 def test_names():
     assert words_of("The Last & Lost: Part III") == ["last", "and", "lost", "part", "3"]
     assert words_of("Curtai,n.Directors.Cut") == ["curtain"] and words_of("...") == []
