@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.neardup import groups_of
@@ -287,24 +288,38 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
     return found.groupBy("left", "left_year", "right", "right_year").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"))
 
 
-def match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int = 12) -> DataFrame:
-    """(left_key, right_key, confidence): for every left record its best match on the right, if there is one.
-
-    Of equal confidences the smallest right key is taken.  Records without a key, without a title or whose titles have no
-    word match none; repeated rows count once; the years may be null.
-    """
+def _compared(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int) -> tuple[DataFrame, DataFrame]:
+    """(left_key, left, y): the readings of the left records; (left, left_year, right_key, confidence): the right records each may be."""
     a, b = readings(left, 0, left_key, left_year, left_titles, False), readings(right, 1, right_key, right_year, right_titles, True)
     a, b = cut(a.distinct()), cut(b.distinct())
     found = cut(neighbours(a.unionByName(b).select("side", "name", "year", "kind").distinct(), window))
     films = b.select(F.col("key").alias("right_key"), F.col("name").alias("right"), F.col("year").alias("right_year"), F.col("kind").alias("k"))
     same = (F.col("f.right") == F.col("b.right")) & F.col("f.right_year").eqNullSafe(F.col("b.right_year")) & (F.col("f.kind") <= F.col("b.k"))
-    by_reading = found.alias("f").join(films.alias("b"), same).groupBy("left", "left_year").agg(F.max(F.struct("confidence", (-F.col("right_key")).alias("r"))).alias("best"))
     ours = a.select(F.col("key").alias("left_key"), F.col("name").alias("left"), F.col("year").alias("y"))
+    return ours, found.alias("f").join(films.alias("b"), same).select("left", "left_year", "right_key", "confidence")
+
+
+def match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int = 12) -> DataFrame:
+    """(left_key, right_key, confidence): for every left record its best match on the right, if there is one.
+
+    Of equal confidences the smallest right key is taken.  Records without a key, without a title or whose titles have no
+    word match none; repeated rows count once; the years may be null.
+    """
+    ours, pairs = _compared(left, right, left_key, right_key, left_year, right_year, left_titles, right_titles, window)
+    by_reading = pairs.groupBy("left", "left_year").agg(F.max(F.struct("confidence", (-F.col("right_key")).alias("r"))).alias("best"))
     taken = ours.join(by_reading.withColumnRenamed("left", "l"), (F.col("left") == F.col("l")) & F.col("y").eqNullSafe(F.col("left_year")))
     best = taken.groupBy("left_key").agg(F.max("best").alias("best"))
     return best.select("left_key", (-F.col("best.r")).alias("right_key"), F.col("best.confidence").alias("confidence"))
 
 
+def candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int = 12) -> DataFrame:
+    """(left_key, right_key, confidence): every pair that match() chooses from, once, with its greatest confidence."""
+    ours, pairs = _compared(left, right, left_key, right_key, left_year, right_year, left_titles, right_titles, window)
+    by_reading = pairs.groupBy("left", "left_year", "right_key").agg(F.max("confidence").alias("confidence"))
+    taken = ours.join(by_reading.withColumnRenamed("left", "l"), (F.col("left") == F.col("l")) & F.col("y").eqNullSafe(F.col("left_year")))
+    return taken.groupBy("left_key", "right_key").agg(F.max("confidence").alias("confidence"))
+
+
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     """The pairs of a one-to-one assignment of greatest total weight; pairs of weight 0 are none.  Rows by columns."""
     rows, cols = weight.shape
@@ -337,22 +352,43 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, cols + 1) if owner[j] and weight[owner[j] - 1, j - 1] > 0]
 
 
-def one_to_one(edges: DataFrame, most: int = 400) -> DataFrame:
+#: Cells of the largest table of weights that one task holds (32 MB).
+CELLS = 4_000_000
+
+
+def one_to_one(edges: DataFrame, most: int = 400, epsilon: float | None = None) -> DataFrame:
     """(left, right, confidence): the matches kept if each side may be matched once, with the greatest total confidence.
 
     edges: (left bigint, right bigint, confidence), repeated pairs count once with their greatest confidence.  The connected
-    parts of the graph are solved apart.  Parts of over `most` records on a side are matched by taking the locally best
-    pairs in rounds, over the cluster, so no task holds a large part; they reach at least half of the greatest total.
+    parts of the graph are solved apart.  A part with n records on its smaller side needs no more than the n best edges of
+    every record there, as the others take at most n - 1 of them; so parts with up to `most` on the smaller side are
+    solved exactly, whatever their larger side, if what is left has at most CELLS cells.  With one record on a side that
+    is the best edge, taken in an aggregate.  The other parts are matched over
+    the cluster, so no task holds a large part: with epsilon by an auction, whose total is less than the greatest by epsilon
+    for each pair at most; without it by taking the locally best pairs in rounds, which reach at least half of it.
     """
     import pandas as pd
 
     edges = cut(edges.filter("left is not null and right is not null and confidence > 0").groupBy("left", "right").agg(F.max("confidence").alias("confidence")))
     link = edges.select((F.col("left") * 2).alias("a"), (F.col("right") * 2 + 1).alias("b"))
     nodes = link.select(F.col("a").alias("id")).union(link.select("b")).distinct().select("id", F.col("id").alias("class_id"))
-    part = groups_of(link, nodes).select((F.col("id") / 2).cast("bigint").alias("left"), "group_id", "id").filter("id % 2 = 0").drop("id")
-    parted = edges.join(part, "left")
-    sizes = parted.groupBy("group_id").agg(F.greatest(F.count_distinct("left"), F.count_distinct("right")).alias("n"))
-    parted = cut(parted.join(sizes, "group_id"))
+    part = cut(groups_of(link, nodes).select("id", "group_id"))
+    sizes = part.groupBy("group_id").agg(F.count_if(F.col("id") % 2 == 0).alias("n_left"), F.count_if(F.col("id") % 2 != 0).alias("n_right"))
+    parted = cut(edges.join(part.filter("id % 2 = 0").select((F.col("id") / 2).cast("bigint").alias("left"), "group_id"), "left").join(sizes, "group_id"))
+
+    star = F.least("n_left", "n_right") == 1
+    single = parted.filter(star).groupBy("group_id").agg(F.max(F.struct("confidence", (-F.col("left")).alias("l"), (-F.col("right")).alias("r"))).alias("m")).select((-F.col("m.l")).alias("left"), (-F.col("m.r")).alias("right"), "m.confidence")
+    parted = parted.filter(~star)
+
+    few, small = F.least("n_left", "n_right") <= most, F.greatest("n_left", "n_right") <= most
+    wide = parted.filter(few & ~small)
+    pruned = []
+    for side, n, other in (("right", F.col("n_right") < F.col("n_left"), "left"), ("left", F.col("n_right") >= F.col("n_left"), "right")):
+        ranked = wide.filter(n).withColumn("place", F.row_number().over(W.partitionBy(side).orderBy(F.desc("confidence"), other)))
+        pruned.append(ranked.filter((F.col("place") <= most) & (F.col("place") <= F.least("n_left", "n_right"))).drop("place"))
+    wide = cut(pruned[0].unionByName(pruned[1]))
+    cells = wide.groupBy("group_id").agg((F.count_distinct("left") * F.count_distinct("right")).alias("cells"))
+    wide = wide.join(cells, "group_id")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = np.unique(rows["left"]), np.unique(rows["right"])
@@ -361,11 +397,38 @@ def one_to_one(edges: DataFrame, most: int = 400) -> DataFrame:
         pairs = assign(weight)
         return pd.DataFrame({"left": [left[i] for i, _ in pairs], "right": [right[j] for _, j in pairs], "confidence": [weight[i, j] for i, j in pairs]}, columns=["left", "right", "confidence"])
 
-    small = parted.filter(F.col("n") <= most).select("group_id", "left", "right", "confidence").groupBy("group_id").applyInPandas(solve, "left bigint, right bigint, confidence double")
-    rest, chosen = parted.filter(F.col("n") > most).select("left", "right", "confidence"), small
+    columns = ["left", "right", "confidence"]
+    exact = parted.filter(small).select("group_id", *columns).unionByName(wide.filter(F.col("cells") <= CELLS).select("group_id", *columns))
+    chosen = single.unionByName(exact.groupBy("group_id").applyInPandas(solve, "left bigint, right bigint, confidence double"))
+    rest = parted.filter(~few).select(columns).unionByName(wide.filter(F.col("cells") > CELLS).select(columns))
+    if epsilon is not None:
+        return chosen.unionByName(auction(rest, epsilon))
     while rest.limit(1).count():
         best = lambda side, other: rest.groupBy(side).agg(F.max(F.struct("confidence", (-F.col("left")).alias("l"), (-F.col("right")).alias("r"))).alias("m")).select((-F.col("m.l")).alias("left"), (-F.col("m.r")).alias("right"))  # noqa: E731, B023
         mutual = cut(best("left", "right").join(best("right", "left"), ["left", "right"]).join(rest, ["left", "right"]))
         chosen = chosen.unionByName(mutual.select("left", "right", "confidence"))
         rest = cut(rest.join(mutual.select("left"), "left", "left_anti").join(mutual.select("right"), "right", "left_anti"))
     return chosen
+
+
+def auction(edges: DataFrame, epsilon: float) -> DataFrame:
+    """(left, right, confidence): a one-to-one assignment whose total is less than the greatest by epsilon a pair at most.
+
+    edges: (left, right, confidence > 0), each pair once.  In every round each left record without a partner bids for the
+    right one that is worth most to it at its price, up to what the next best one, or none, is worth, and epsilon more; the
+    highest bid takes it.  Prices begin at 0 and only rise, by epsilon or more, so a right record changes hands at most
+    (greatest confidence / epsilon + 1) times, and one that nobody bids for costs nothing, which gives the bound.
+    """
+    edges = cut(edges)
+    held = edges.select("right", F.lit(0.0).alias("price"), F.col("left").alias("owner")).limit(0)
+    while True:
+        worth = edges.join(held.select(F.col("owner").alias("left")), "left", "left_anti").join(held.select("right", "price"), "right", "left")
+        worth = worth.withColumn("value", F.col("confidence") - F.coalesce("price", F.lit(0.0))).filter("value > 0")
+        first = worth.groupBy("left").agg(F.max(F.struct("value", (-F.col("right")).alias("r"), "confidence")).alias("m"))
+        first = first.select("left", (-F.col("m.r")).alias("wanted"), F.col("m.confidence").alias("most"))
+        second = worth.join(first, "left").groupBy("left", "wanted", "most").agg(F.max(F.when(F.col("right") != F.col("wanted"), F.col("value"))).alias("next"))
+        bids = second.select(F.col("wanted").alias("right"), "left", (F.col("most") - F.coalesce("next", F.lit(0.0)) + epsilon).alias("bid"))
+        won = cut(bids.groupBy("right").agg(F.max(F.struct("bid", (-F.col("left")).alias("l"))).alias("m")).select("right", F.col("m.bid").alias("price"), (-F.col("m.l")).alias("owner")))
+        if not won.limit(1).count():
+            return edges.join(held.select("right", F.col("owner").alias("left")), ["left", "right"]).select("left", "right", "confidence")
+        held = cut(held.join(won.select("right"), "right", "left_anti").unionByName(won))

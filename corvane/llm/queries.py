@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +76,17 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- 5: items and films --------------------------------------------------------------------------
 
+MATCH_EPSILON = 0.01
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _films(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame]) -> DataFrame:
     items = table(spark, sf_dir, "media_item").filter("media_type = 'Movie'").select("id", F.col("parsed.raw_title").alias("title"), F.col("parsed.year").alias("year"))
     films = table(spark, sf_dir, "tmdb_movie").select("id", "title", "original_title", F.expr("try_cast(regexp_extract(release_date, '(?:^|[^0-9])((?:18|19|20)[0-9]{2})(?:[^0-9]|$)', 1) as int)").alias("year"))
-    return entity.match(items, films, "id", "id", "year", "year", ["title"], ["title", "original_title"])
+    return operator(items, films, "id", "id", "year", "year", ["title"], ["title", "original_title"])
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _films(spark, sf_dir, entity.match)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +100,12 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item for each film and one film for each item, so that the total confidence is the greatest."""
-    kept = entity.one_to_one(_matches(spark, sf_dir).select(F.col("left_key").alias("left"), F.col("right_key").alias("right"), "confidence"))
+    """One item for each film and one film for each item, of all pairs that may match, so that the total confidence is the greatest.
+
+    In parts too large for that, it is less by MATCH_EPSILON a pair at most.
+    """
+    edges = _films(spark, sf_dir, entity.candidates).select(F.col("left_key").alias("left"), F.col("right_key").alias("right"), "confidence")
+    kept = entity.one_to_one(edges, epsilon=MATCH_EPSILON)
     return kept.select(F.col("left").alias("item_id"), F.col("right").alias("tmdb_id"), F.round("confidence", 6).alias("confidence"))
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 from corvane.llm.entity import assign, confidence, distance, match, names_of, neighbours, one_to_one, words_of
+from corvane.llm.queries import p5_best_files
 
 FILMS = [(1, "The Silent Harbor", None, 1990), (2, "The Silent Harbor", None, 2010), (3, "Karen: The Iron Door", "Дом (Karens House)", 2001), (4, "Velofin", None, 1980), (5, "Velofin 2", None, 1984), (6, "Été de Velomar", None, None), (7, None, None, 1999), (8, "", "", None)]
 ITEMS = [(1, "silent.harbor.the", 1990), (2, "The_Silnet_Harbor", 2010), (3, "The Silent Harbor", 2000), (4, "Karen", 2001), (5, "karens house", None), (6, "Velofin II", 1984), (7, "Velofin", 1984), (8, "Ete.de.Velomar", 1970), (9, None, 1990), (10, "...", 1990), (11, "Unrelated Thing", 1990), (1, "silent.harbor.the", 1990), (12, "The Silent Harbor Directors Cut", 1990), (13, "ＳＩＬＥＮＴ Hаrbor", 1991)]
@@ -72,3 +73,30 @@ def test_one_to_one(spark):
     assert {tuple(r) for r in one_to_one(df).collect()} == {(1, 11, 0.8), (2, 10, 0.85), (3, 12, 0.6)}
     assert {(r.left, r.right) for r in one_to_one(df, most=1).collect()} == {(1, 10), (3, 12)}
     assert one_to_one(df.limit(0)).count() == 0
+
+
+def test_best_files_gives_each_twin_an_item(spark, tmp_path):
+    items = [(i, "Movie", ("Silent Harbor", 1990)) for i in range(1, 4)] + [(4, "Movie", ("Velofin Garden", None))]
+    spark.createDataFrame(items, "id bigint, media_type string, parsed struct<raw_title string, year int>").write.parquet(f"{tmp_path}/media_item.parquet")
+    films = [(10, "Silent Harbor", None, "1990-01-01"), (11, "Silent Harbor", None, "1990-05-05"), (12, "Velofin Garden", None, None)]
+    spark.createDataFrame(films, "id bigint, title string, original_title string, release_date string").write.parquet(f"{tmp_path}/tmdb_movie.parquet")
+    got = [tuple(r) for r in p5_best_files(spark, str(tmp_path)).select("item_id", "tmdb_id").collect()]
+    assert sorted(f for _, f in got) == [10, 11, 12] and len({i for i, _ in got}) == 3 and (4, 12) in got
+
+
+def test_one_to_one_of_large_parts(spark):
+    rng = np.random.default_rng(1)
+    wide = [(i, 1000 + j, float(np.round(0.5 + rng.random() / 2, 2))) for i in range(500) for j in range(3)] + [(500, 1000, 1.0), (500, 1001, 0.2), (501, 1000, 0.9)]
+    square = [(600 + i, 2000 + j, float(np.round(rng.random(), 3))) for i in range(9) for j in range(7) if rng.random() < 0.6]
+
+    def greatest(rows):
+        left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        w = np.zeros((len(left), len(right)))
+        for a, b, c in rows:
+            w[left.index(a), right.index(b)] = c
+        return sum(w[i, j] for i, j in assign(w))
+
+    for rows, most, epsilon, loss in ((wide, 400, None, 1e-9), (wide[::-1], 400, 0.05, 1e-9), ([(b, a, c) for a, b, c in wide], 400, None, 1e-9), (square, 2, 0.05, 7 * 0.05)):
+        got = [tuple(r) for r in one_to_one(spark.createDataFrame(rows, "left bigint, right bigint, confidence double"), most, epsilon).collect()]
+        assert len({r[0] for r in got}) == len({r[1] for r in got}) == len(got) and set(got) <= set(rows)
+        assert sum(r[2] for r in got) >= greatest(rows) - loss
