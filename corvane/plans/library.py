@@ -231,6 +231,13 @@ def progressive_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select(F.col("key").alias("doc_id"), "size", F.col("prefix_hash").isNotNull().alias("has_prefix_hash"), full.alias("has_full_hash"))
 
 
+@query()
+def progressive_hash_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each document had to be hashed to tell it from the others, long texts among them."""
+    hashed = dedup.progressive_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return hashed.select(F.col("key").alias("doc_id"), "size", F.col("prefix_hash").isNotNull().alias("has_prefix_hash"), F.col("full_hash").isNotNull().alias("has_full_hash"))
+
+
 @query("select md5(text) digest, count(*) n, min(doc_id) first, max(doc_id) last from documents where text is not null group by 1 having count(*) > 1")
 def exact_document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with equal text, by progressive hashes."""

@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 from corvane.operators import dedup, linking, planning, vectors
+from corvane.plans import library
 from corvane.sources import cache, files, sinks
 from corvane.streaming import incremental
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def test_progressive(spark):
     assert [tuple(r)[1:] for r in dedup.exact_groups(rows, F.col("full_hash")).collect()] == [(2, 1, 3)]
 
 
+def test_progressive_hash_depths_of_long_texts(spark, tmp_path):
+    head = "ä" * 32_768
+    texts = [head + "a" * 9, head + "b" * 9, head + "b" * 9, head + "c" * 10, "x" + "y" * 69_999, "z" * 70_000, head, head, "short", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [t.encode() if t is not None else None for t in texts]
+    others = lambda i, f: any(raw[i] is not None and y is not None and j != i and f(raw[i]) == f(y) for j, y in enumerate(raw))
+    want = {(i, None if x is None else len(x), others(i, len), others(i, lambda y: (len(y), y[:65536]))) for i, x in enumerate(raw)}
+    assert {tuple(r) for r in library.progressive_hash_depths(spark, str(tmp_path)).collect()} == want
+    assert sum(full for *_, full in want) == 5
+
+
 def test_latest(spark):
     t = lambda d: datetime(2024, 1, d)
     df = spark.createDataFrame([(1, t(1), "a"), (1, t(2), "b"), (2, None, "c"), (2, None, "c")], "id int, loaded_at timestamp, x string")
