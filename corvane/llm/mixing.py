@@ -100,7 +100,9 @@ def streamed(sized: DataFrame, n_items: int, bucket_items: int = BUCKET_ITEMS) -
 
 
 def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int = 4096, total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slot, source, place, key, copy, tokens) of the mix, and (source, target_share, reached_share, tokens, documents, most_copies).
+    """(slot, source, place, key, copy, tokens) of the mix, and (source, target_share, reached_share, tokens, documents, most_copies, available, unused).
+
+    available and unused: the tokens of a source's documents, each once, and those of documents that are not in the mix.
 
     sized: (key, source, tokens), keys unique; rows without a key, source or tokens take no part.  targets: (source,
     target_share, max_repeats), a small table; of sources named twice the first by share counts.  Read in the order of slot,
@@ -124,8 +126,8 @@ def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int =
     number = F.floor(place / block)
     slot = F.floor(number / F.col("weight")) * F.col("period") + F.get("slots", F.pmod(number, F.col("weight")).cast("int"))
     mixed = used.select(slot.cast("bigint").alias("slot"), "source", place.alias("place"), "key", "copy", "tokens")
-    reached = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("key").alias("documents"), (F.max("copy") + 1).alias("most_copies"))
-    aims = spark.createDataFrame([(s, float(x)) for s, (x, _) in wanted.items()], "source string, target_share double")
+    reached = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("key").alias("documents"), F.sum(F.when(F.col("copy") == 0, F.col("tokens"))).alias("once"), (F.max("copy") + 1).alias("most_copies"))
+    aims = spark.createDataFrame([(s, float(x), available.get(s, 0)) for s, (x, _) in wanted.items()], "source string, target_share double, available bigint")
     whole = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # over the rows of targets
-    shares = aims.join(reached, "source", "left").select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    shares = aims.join(reached, "source", "left").select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "available", (F.col("available") - F.coalesce("once", F.lit(0))).alias("unused"))
     return mixed, shares

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import entity, formdup, mixing, neardup, packing, subjects, survivor, textform, tokens
-from corvane.session import table
+from corvane.session import cut, table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
 
@@ -163,9 +163,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_TOKENIZER = "gpt2"
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", [MIX_TOKENIZER], keep=["source"])
-    return mixing.mix(spark, sized, table(spark, sf_dir, "mix_target"))
+def _mixed(spark: SparkSession, sf_dir: str, filled: bool = False) -> tuple[DataFrame, DataFrame]:
+    sized, targets = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", [MIX_TOKENIZER], keep=["source"]), table(spark, sf_dir, "mix_target")
+    if not filled:
+        return mixing.mix(spark, sized, targets)
+    sized = cut(sized)
+    total = sized.filter("key is not null and tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0]
+    return mixing.mix(spark, sized, targets, total=float(total or 0))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +182,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1].withColumn("reached_share", F.round("reached_share", 6))
 
 
+def p8_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with as many tokens as the sources hold, whose shares p8_filled_shares reports."""
+    return _mixed(spark, sf_dir, filled=True)[0].withColumnRenamed("key", "doc_id")
+
+
+def p8_filled_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mix of as many tokens as the sources hold: sources at their cap fall short, the others take over the rest."""
+    return _mixed(spark, sf_dir, filled=True)[1].withColumn("reached_share", F.round("reached_share", 6))
+
+
 # -- 9: subject areas ----------------------------------------------------------------------------
 
 
@@ -195,7 +209,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p8_filled, p8_filled_shares, p9_found, p9_corpus)}
 
 _LINES = r"""
 with told as (

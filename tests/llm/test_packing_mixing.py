@@ -84,6 +84,16 @@ def test_mix(spark):
     assert empty.count() == 0 and none.count() == 4
 
 
+def test_shares_name_what_is_left_out(spark):
+    docs = [(i, "big", 10) for i in range(100)] + [(200 + i, "tiny", 10) for i in range(2)]
+    df = spark.createDataFrame(docs, "key bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("tiny", 0.4, 3), ("none", 0.1, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: (r.available, r.unused, r.tokens) for r in mix(spark, df, targets, block=64)[1].collect()}
+    assert got["tiny"] == (20, 0, 60) and got["none"] == (0, 0, 0) and got["big"][:2] == (1000, 1000 - got["big"][2]) and got["big"][1] > 900
+    got = {r.source: (r.available, r.unused, r.tokens) for r in mix(spark, df, targets, block=64, total=1020.0)[1].collect()}
+    assert got["tiny"] == (20, 0, 60) and got["big"] == (1000, 40, 960)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, None, "y"), (3, "", None), (4, "<|endoftext|>", "z")], "id bigint, text string, key string")
     rows = count_tokens(df, "id", "text", ["gpt2"], keep=["text"]).select(F.col("key"), "tokens")
