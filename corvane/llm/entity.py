@@ -150,6 +150,20 @@ def confidence(a: str, b: str, year_a: int | None, year_b: int | None, kind: int
     return 0.6 * (1 - d / max(len(x), len(y), 1)) + 0.3 * year + 0.1 * (1 - 0.5 * kind)
 
 
+def slim(a: str, b: str, year_a: int | None, year_b: int | None, kind: int) -> float | None:
+    """The weighted similarity of two readings that are one only if no other is as near, or None.
+
+    That is one edit in full names of four to six letters, two in those of seven or eight, of equal known years.
+    """
+    x, y = a.replace(" ", ""), b.replace(" ", "")
+    short = min(len(x), len(y))
+    if kind or year_a is None or year_a != year_b or not 4 <= short <= 8 or numbers_in(a) != numbers_in(b):
+        return None
+    most = 1 if short < 7 else 2
+    d = distance(x, y, most)
+    return None if d > most else 0.6 * (1 - d / max(len(x), len(y))) + 0.3 + 0.1
+
+
 def _sketch(name: str) -> int:
     """Parity of the letters (low 32 bits) and of the pairs of letters (high 32 bits) of a name."""
     flat = name.replace(" ", "")
@@ -205,9 +219,9 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
-    """(left, left_year, right, right_year, kind, confidence): readings of the two sides that match, each pair once.
+    """(left, left_year, right, right_year, kind, confidence, slim): readings of the two sides that match, each pair once.
 
-    rows: distinct (side, name, year, kind).  window: with how many right readings before it, and how many after it, each
+    slim: they match only if the left reading has no other (see slim()).  rows: distinct (side, name, year, kind).  window: with how many right readings before it, and how many after it, each
     left reading is compared, by each key.  Left readings don't count, so many spellings of one entity push none out.
     Edges of partitions: the first and the last `window` right readings of every partition, at most twice window times the
     partitions, are broadcast and stand beside the readings of the other partitions.
@@ -257,11 +271,13 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
                         continue
                     done.add(what)
                     if (c := confidence(what[0], what[2], what[1], what[3], what[4])) is not None:
-                        out.append((*what, c))
+                        out.append((*what, c, False))
+                    elif (c := slim(what[0], what[2], what[1], what[3], what[4])) is not None:
+                        out.append((*what, c, True))
             if len(done) > 500_000:
                 done.clear()
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.float64())], names=["left", "left_year", "right", "right_year", "kind", "confidence"])
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.float64()), pa.array(cols[6], pa.bool_())], names=["left", "left_year", "right", "right_year", "kind", "confidence", "slim"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -284,8 +300,8 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
         for left, before in waiting:
             yield pairs(left, before)
 
-    found = ordered.mapInArrow(compare, "left string, left_year int, right string, right_year int, kind int, confidence double")
-    return found.groupBy("left", "left_year", "right", "right_year").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"))
+    found = ordered.mapInArrow(compare, "left string, left_year int, right string, right_year int, kind int, confidence double, slim boolean")
+    return found.groupBy("left", "left_year", "right", "right_year").agg(F.max("confidence").alias("confidence"), F.min("kind").alias("kind"), F.min("slim").alias("slim"))
 
 
 def _compared(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +312,10 @@ def _compared(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     films = b.select(F.col("key").alias("right_key"), F.col("name").alias("right"), F.col("year").alias("right_year"), F.col("kind").alias("k"))
     same = (F.col("f.right") == F.col("b.right")) & F.col("f.right_year").eqNullSafe(F.col("b.right_year")) & (F.col("f.kind") <= F.col("b.k"))
     ours = a.select(F.col("key").alias("left_key"), F.col("name").alias("left"), F.col("year").alias("y"))
-    return ours, found.alias("f").join(films.alias("b"), same).select("left", "left_year", "right_key", "confidence")
+    of_one = W.partitionBy("left", "left_year")
+    pairs = found.alias("f").join(films.alias("b"), same).select("left", "left_year", "right_key", "confidence", "slim")
+    pairs = pairs.withColumn("sole", F.min("right_key").over(of_one) == F.max("right_key").over(of_one))
+    return ours, pairs.filter(~F.col("slim") | F.col("sole")).drop("slim", "sole")
 
 
 def match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_year: str, right_year: str, left_titles: list[str], right_titles: list[str], window: int = 12) -> DataFrame:

@@ -100,3 +100,11 @@ def test_one_to_one_of_large_parts(spark):
         got = [tuple(r) for r in one_to_one(spark.createDataFrame(rows, "left bigint, right bigint, confidence double"), most, epsilon).collect()]
         assert len({r[0] for r in got}) == len({r[1] for r in got}) == len(got) and set(got) <= set(rows)
         assert sum(r[2] for r in got) >= greatest(rows) - loss
+
+
+def test_slips_in_short_names(spark):
+    films = [(1, "Karen", 2001), (2, "Bomiganen", 2008), (3, "Velo", 1990), (4, "Vela", 1990), (5, "Arc", 1995)]
+    items = [(1, "Karne", 2001), (2, "Bmignaen", 2008), (3, "Veli", 1990), (4, "Karne", 2002), (5, "Ark", 1995), (6, "Velo", 1990), (7, "Krane", None), (8, "Kaxne", 2001)]
+    a, b = (spark.createDataFrame(x, "id bigint, title string, year int") for x in (items, films))
+    got = {r.left_key: r.right_key for r in match(a, b, "id", "id", "year", "year", ["title"], ["title"]).collect()}
+    assert got == {1: 1, 2: 2, 6: 3}
