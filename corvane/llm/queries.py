@@ -209,7 +209,13 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p8_filled, p8_filled_shares, p9_found, p9_corpus)}
+def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects with a part of a document's mixture of 0.07 at least, by the factorisation alone."""
+    found = subjects.mixtures_of(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
+    return found.select("doc_id", "subject", F.round("weight", 3).alias("weight")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p8_filled, p8_filled_shares, p9_found, p9_mixtures, p9_corpus)}
 
 _LINES = r"""
 with told as (

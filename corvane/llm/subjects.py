@@ -3,23 +3,27 @@
 The matrix counts the terms of every document, on a logarithmic scale, so no long text outweighs the others.
 It is factored by alternating multiplicative updates
 (Kullback-Leibler objective) into document mixtures and component-term weights.  The components of the
-subjects are seeded by the hand-labelled documents, which also act as a prior in every update; further components,
+subjects are seeded by hand-labelled documents, which also act as a prior in every update; further components,
 seeded by documents without a subject and by all documents, take the words of no subject.  So component i
 stays subject i, and a document's mixture is read off directly.
 
-The component-term matrix has a fixed bound (components times vocabulary); it is all that is broadcast
-or brought to the driver.  Each update is one pass over the stored matrix: a task folds its documents into one
+Texts are parsed once, in arrays, into blocks of the matrix: for each document its terms with their counts, and for
+each sentence the places of its terms.  The blocks are checkpointed, compressed, and everything else reads them.  A term
+is a column by its hash (TERM_COLUMNS of them), so there is no vocabulary to count, to cut or to send, and every term of every document counts.
+
+The component-term matrix has a fixed bound (components times columns); it is all that is broadcast
+or brought to the driver.  Each update is one pass over the blocks: a task folds its documents into one
 component-term sum, the sums are added per term in a shuffle.  Rows are never grouped, so no label, source or work can
 be too large.
 
-What a document is about is then decided by its sentences: each is given to the component under which it and its
-document's mixture are likeliest, and a subject counts from a given share of the sentences on.
+The mixture gives the subjects a document may have; of these, its sentences confirm those that enough of them are
+about: each sentence goes to the component that has the most of its terms under the document's mixture.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,13 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut
 
+#: Columns of the document-term matrix; terms whose hashes fall together share one.
+TERM_COLUMNS = 1 << 18
+#: Bytes of text in a block, unless one text is longer.
+BLOCK_BYTES = 4_000_000
+#: Hand-labelled documents that the seeds are taken from, at most (those of the smallest hash).
+MOST_LABELLED = 200_000
+
 _TAG_LINE = re.compile(r"<[^<>\n]*>")
 _TIMES = re.compile(r"^\s*(?:\d+|\d+:\d\d:\d\d[,.]\d+\s*-->.*)\s*$", re.M)
 _END = re.compile(r"(?<=[.!?。！？…])(?:\s+|(?<=[。！？]))|\n+")
@@ -60,63 +71,167 @@ def terms(sentence: str) -> list[str]:
     return out
 
 
-def count_terms(df: DataFrame, text: str) -> DataFrame:
-    """(term, n): the number of documents that hold a term, over all documents."""
+def column_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % TERM_COLUMNS
+
+
+# -- parsing -------------------------------------------------------------------------------------
+
+_LETTERS = np.full(256, 32, np.uint8)
+_LETTERS[128:] = np.arange(128, 256)
+_LETTERS[97:123] = np.arange(97, 123)
+_LETTERS[65:91] = np.arange(97, 123)
+
+
+def _on(values, chosen, change):
+    """values with change(values) where chosen."""
+    import pyarrow.compute as pc
+
+    return pc.replace_with_mask(values, chosen, change(values.filter(chosen))) if pc.any(chosen).as_py() else values
+
+
+def parse(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences of each text, terms of each sentence, column of each term) of an Arrow array of texts.
+
+    The same as sentences() and terms() for each, but in arrays.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = pc.fill_null(texts.cast(pa.large_string()), "")
+    text = _on(text, pc.match_substring(text, "<"), lambda x: pc.replace_substring_regex(x, r"<[^<>\n]*>", "\n"))
+    text = _on(text, pc.match_substring(text, "-->"), lambda x: pc.replace_substring_regex(x, r"(?m)^\s*\d+:\d\d:\d\d[,.]\d+\s*-->.*$", "\n"))
+    text = pc.replace_substring_regex(text, r"([.!?。！？…])\s+", "\\1\n")
+    text = _on(text, pc.invert(pc.string_is_ascii(text)), lambda x: pc.replace_substring_regex(x, "([。！？])", "\\1\n"))
+    lists = pc.split_pattern(text, "\n")
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+    parts = pc.utf8_trim_whitespace(lists.flatten())
+    some = pc.match_substring_regex(parts, r"\pL")
+    ended = pc.and_(some, pc.match_substring_regex(parts, "[.!?。！？…\"'”’)]$")).to_numpy(zero_copy_only=False)
+    whole = np.zeros(len(lists), bool)
+    whole[owner[ended]] = True
+    kept = np.where(whole[owner], ended, some.to_numpy(zero_copy_only=False))
+    parts, owner = parts.filter(pa.array(kept)), owner[kept]
+    odd = pc.invert(pc.string_is_ascii(parts))
+    parts = _on(parts, odd, lambda x: pc.replace_substring_regex(pc.utf8_lower(x), r"[^\x00-\x7f\pL\pM\p{No}\p{Nl}]+", " "))
+    parts = pa.concat_arrays([parts])  # the buffers begin at 0
+    _, offsets, data = parts.buffers()
+    low, high = (int(x) for x in np.frombuffer(offsets, np.int64)[[parts.offset, parts.offset + len(parts)]]) if len(parts) else (0, 0)
+    letters = np.zeros(0 if data is None else data.size, np.uint8)
+    if data is not None:
+        letters[low:high] = _LETTERS[np.frombuffer(data, np.uint8)[low:high]]
+    spaced = pa.Array.from_buffers(pa.large_string(), len(parts), [None, offsets, pa.py_buffer(letters)], offset=parts.offset)
+    words = pc.ascii_split_whitespace(spaced)
+    sentence = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy(zero_copy_only=False)))
+    flat = words.flatten()
+    filled = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(filled).dictionary_encode()
+    sentence, codes = sentence[filled.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(zero_copy_only=False)
+    made = [terms(w) for w in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, made), np.int64, len(made))
+    columns = np.fromiter((column_of(t) for x in made for t in x), np.int32, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    each = sizes[codes]
+    inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    column = columns[np.repeat(starts[codes], each) + inside]
+    return np.bincount(owner, minlength=len(lists)), np.bincount(sentence, weights=each, minlength=len(parts)).astype(np.int64), column
+
+
+def _packed(values: np.ndarray) -> bytes:
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                held.update({t for s in sentences(x) for t in terms(s)})
-            if len(held) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
-                held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(value: bytes, kind: type) -> np.ndarray:
+    import pyarrow as pa
+
+    size = int.from_bytes(value[:8], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(value[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+BLOCK = {"ids": np.int64, "sizes": np.int32, "terms": np.int32, "counts": np.int32, "sentences": np.int32, "lengths": np.int32, "places": np.int32}
 
 
-def document_terms(df: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
-    """(id, terms, counts): the rows of the document-term matrix."""
+def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The blocks of the document-term matrix, checkpointed; each column holds packed numbers.
+
+    ids; sizes: the distinct terms of each document; terms, counts: of one document after the other; sentences: of each
+    document; lengths: the terms of each sentence; places: for each of them its place among the document's terms.
+    Documents without a key have no part in it; null and empty texts have no terms.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    words = df.sparkSession.sparkContext.broadcast(vocabulary)
+    def block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        per_doc, lengths, column = parse(texts)
+        doc = np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), lengths)
+        cells, place, counts = np.unique(doc * TERM_COLUMNS + column, return_inverse=True, return_counts=True)
+        sizes = np.bincount(cells // TERM_COLUMNS, minlength=len(per_doc))
+        made = {"ids": ids.to_numpy(zero_copy_only=False), "sizes": sizes, "terms": cells % TERM_COLUMNS, "counts": counts, "sentences": per_doc, "lengths": lengths, "places": place - (np.cumsum(sizes) - sizes)[doc]}
+        return pa.RecordBatch.from_pydict({c: pa.array([_packed(made[c].astype(kind))], pa.binary()) for c, kind in BLOCK.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
         for batch in batches:
-            rows = [Counter(known[t] for s in sentences(x) for t in terms(s) if t in known) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["id", "terms", "counts"])
+            reached = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(int(np.searchsorted(reached, (reached[at - 1] if at else 0) + BLOCK_BYTES, side="right")), at + 1)
+                yield block(batch.column(0).slice(at, upto - at), batch.column(1).slice(at, upto - at))
+                at = upto
 
-    return df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, terms array<int>, counts array<int>")
+    rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("id is not null")
+    return cut(rows.mapInArrow(run, ", ".join(f"{c} binary" for c in BLOCK)))
 
 
 # -- the factorisation ---------------------------------------------------------------------------
 
-ENTRIES = 200_000
+CELLS = 1 << 16
 
 
-def mixtures(h: np.ndarray, term: np.ndarray, count: np.ndarray, doc: np.ndarray, n: int, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Document mixtures for given components (rows sum to 1), and count / (WH) of every entry.
+def _like_sized(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Documents in groups of nearly the same number of terms, with the greatest of the group; those without terms are in none."""
+    order = np.argsort(sizes, kind="stable")
+    at = int(np.searchsorted(sizes[order], 1))
+    while at < len(order):
+        least = int(sizes[order[at]])
+        upto = int(np.searchsorted(sizes[order], least + least // 8, side="right"))
+        upto = max(min(upto, at + CELLS // (least + least // 8)), at + 1)
+        yield order[at:upto], int(sizes[order[upto - 1]])
+        at = upto
 
-    term, count, doc: the entries of the matrix, ordered by document.
-    """
-    k = h.shape[0]
-    w = np.full((n, k), 1.0 / k)
-    columns = np.ascontiguousarray(h[:, term])
-    for _ in range(steps):
-        ratio = count / np.maximum(np.einsum("ek,ke->e", w[doc], columns), 1e-12)
-        gain = np.stack([np.bincount(doc, weights=columns[i] * ratio, minlength=n) for i in range(k)], axis=1)
-        w = w * gain + 1e-3
-        w /= w.sum(1, keepdims=True)
-    return w, count / np.maximum(np.einsum("ek,ke->e", w[doc], columns), 1e-12)
 
+def mixtures(h: np.ndarray, term: np.ndarray, count: np.ndarray, sizes: np.ndarray, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Document mixtures for given components (rows sum to 1), and count / (WH) of every entry.
 
-def fold(h: np.ndarray, term: np.ndarray, count: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """What some documents add to the next component-term weights."""
-    w, ratio = mixtures(h, term, count, doc, n)
-    return np.stack([np.bincount(term, weights=w[doc, i] * h[i, term] * ratio, minlength=h.shape[1]) for i in range(h.shape[0])])
+    h: terms by components.  term, count: the entries of one document after the other, sizes[i] of document i.
+    """
+    k = h.shape[1]
+    w = np.full((len(sizes), k), 1.0 / k, np.float32)
+    ratio = np.zeros(len(term), np.float32)
+    starts = np.cumsum(sizes) - sizes
+    for docs, width in _like_sized(sizes):
+        inside = np.arange(width)
+        real = inside[None, :] < sizes[docs][:, None]
+        entry = np.where(real, starts[docs][:, None] + inside[None, :], 0)
+        some = np.where(real, count[entry], np.float32(0))
+        columns = h[term[entry]]
+        x = w[docs]
+        for step in range(steps + 1):
+            part = some / np.maximum(np.matmul(columns, x[:, :, None])[:, :, 0], np.float32(1e-12))
+            if step < steps:
+                x = x * np.matmul(part[:, None, :], columns)[:, 0, :] + np.float32(1e-3)
+                x /= x.sum(1, keepdims=True)
+        w[docs] = x
+        ratio[entry[real]] = part[real]
+    return w, ratio
+
+
+def fold(h: np.ndarray, term: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What some documents add to the next component-term weights: terms by components."""
+    w, ratio = mixtures(h, term, count, sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return np.stack([np.bincount(term, weights=w[doc, i] * ratio, minlength=len(h)) for i in range(h.shape[1])], axis=1) * h
 
 
 class Seeds:
@@ -154,124 +269,157 @@ class Seeds:
         return h
 
 
-def _chunks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ENTRIES entries, or of one row."""
-    ends, at = np.cumsum(lengths), 0
-    while at < len(lengths):
-        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, side="right")), at + 1)
-        yield at, upto
-        at = upto
-
-
-def label_sentences(h: np.ndarray, subjects: int, texts: list[list[list[int]]], least: float = 0.8) -> list[np.ndarray]:
-    """The subject of every sentence of every document; -1 for none.
+def label_sentences(h: np.ndarray, w: np.ndarray, subjects: int, term: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, places: np.ndarray, per_doc: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """The subject of every sentence, -1 for none, by the mixtures w of the documents.
 
     Each term is shared out among the components by the document's mixture.  A sentence goes to the subject with the
     most of its terms, if that is at least `least` of a term; equal shares go to the first subject.
     """
-    lengths = np.array([len(s) for d in texts for s in d], np.int64)
-    per_doc = np.array([len(d) for d in texts], np.int64)
-    flat = np.fromiter((t for d in texts for s in d for t in s), np.int64, int(lengths.sum()))
-    owner, sentence = np.repeat(np.arange(len(texts)), per_doc), np.repeat(np.arange(len(lengths)), lengths)
-    if not len(flat):
-        return [np.full(n, -1) for n in per_doc]
-    w, _ = mixtures(h, flat, np.ones(len(flat)), owner[sentence], len(texts))
-    part = w[owner[sentence]].T * h[:, flat]
-    part /= np.maximum(part.sum(0), 1e-30)
-    mass = np.stack([np.bincount(sentence, weights=part[i], minlength=len(lengths)) for i in range(subjects)], axis=1)
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    part = w[doc] * h[term]
+    part = part[:, :subjects] / np.maximum(part.sum(1, keepdims=True), np.float32(1e-30))
+    per_sentence = np.repeat((np.cumsum(sizes) - sizes), per_doc)
+    mass = np.zeros((len(lengths), subjects), np.float32)
+    some = lengths > 0
+    if some.any():
+        mass[some] = np.add.reduceat(part[places + np.repeat(per_sentence, lengths)], (np.cumsum(lengths) - lengths)[some], axis=0)
     best = mass.argmax(1)
     best[mass.max(1) < least] = -1
-    return np.split(best, np.cumsum(per_doc)[:-1])
+    return best
 
 
 # -- over the corpus -----------------------------------------------------------------------------
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", background: int = 3, rounds: int = 4, vocabulary: int = 1 << 17, least_documents: int = 3) -> tuple[dict[str, int], np.ndarray]:
-    """The vocabulary and the component-term weights (subjects first) of a corpus.
+def _entries(batch, columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The named parts of each block of a batch."""
+    for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+        yield [_unpacked(x, BLOCK[c]) for c, x in zip(columns, row, strict=True)]
+
+
+def _weights(count: np.ndarray) -> np.ndarray:
+    return (1 + np.log(count)).astype(np.float32)
+
+
+def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", background: int = 3, rounds: int = 4, most_labelled: int = MOST_LABELLED, stored: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(column, h): the place of each term column among those in use (-1: not in use), and the component-term weights, subjects first.
 
     labels: (doc_id, subject) in any case, `none` for no subject; labels of unknown subjects or documents are left out.
-    vocabulary: the terms in most documents, at least least_documents of them; all documents are counted.  With an
-    empty corpus the vocabulary is empty.
+    most_labelled: the seeds are counted on at most so many labelled documents, those whose key has the smallest hash;
+    everything else is over all documents.  stored: the blocks of the documents, if they are there already.
     """
     import pyarrow as pa
 
-    found = count_terms(documents, text).filter(F.col("n") >= least_documents).orderBy(F.desc("n"), "term").limit(vocabulary).toArrow()
-    words = {t: i for i, t in enumerate(found["term"].to_pylist())}
-    size, k = len(words), len(subjects) + background
-    if not size:
-        return {}, np.zeros((k, 0))
-    names = [s.lower() for s in subjects] + ["none"]
-    own = labels.select(F.col(key).cast("bigint").alias("id"), F.lower(F.trim("subject")).alias("s")).filter(F.col("s").isin(names)).groupBy("id").agg(F.collect_set("s").alias("subjects"))
-    matrix = cut(document_terms(documents, key, text, words))
-    counted = own.join(matrix, "id").select("subjects", "terms", F.explode("subjects").alias("s"), (1 / F.size("subjects")).alias("part"))
-    totals = {r["s"]: r["n"] for r in counted.groupBy("s").agg(F.sum("part").alias("n")).collect()}
-    by_term = counted.select("s", "part", F.explode("terms").alias("term")).groupBy("term").agg(*[F.sum(F.when(F.col("s") == n, F.col("part")).otherwise(0.0)).alias(f"s{i}") for i, n in enumerate(names)]).toArrow()
-    labelled = np.zeros((len(names), size))
-    for i in range(len(names)):
-        labelled[i, by_term["term"].to_numpy()] = by_term[f"s{i}"].to_numpy()
-    documents_in_all = max(matrix.count(), 1)
-    seeds = Seeds(labelled, np.array([totals.get(n, 0.0) for n in names]), found["n"].to_numpy() / documents_in_all, background)
+    stored = blocks(documents, key, text) if stored is None else stored
+    sc = stored.sparkSession.sparkContext
+    names, k = [s.lower() for s in subjects] + ["none"], len(subjects) + background
+    own = labels.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.lower(F.trim("subject")).alias("s")).filter(F.col("s").isin(names) & F.col("id").isNotNull())
+    by_doc = own.groupBy("id").agg(F.sum_distinct(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col("s")).cast("bigint")).alias("bits")).orderBy(F.xxhash64("id"), "id").limit(most_labelled).toArrow().sort_by("id")
+    known = sc.broadcast((by_doc["id"].to_numpy(), by_doc["bits"].to_numpy()))
+    n = len(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bits = known.value
+        seen, totals, tied = np.zeros(TERM_COLUMNS, np.int64), np.zeros(n + 1), np.zeros((n, TERM_COLUMNS))
+        for batch in batches:
+            for doc_ids, sizes, term in _entries(batch, ["ids", "sizes", "terms"]):
+                seen += np.bincount(term, minlength=TERM_COLUMNS)
+                totals[n] += len(doc_ids)
+                at = np.minimum(np.searchsorted(ids, doc_ids), max(len(ids) - 1, 0))
+                mine = np.where(ids[at] == doc_ids, bits[at], 0) if len(ids) else np.zeros(len(doc_ids), np.int64)
+                part = 1 / np.maximum(np.bitwise_count(mine.astype(np.uint64)), 1)
+                chosen = np.flatnonzero(np.repeat(mine > 0, sizes))
+                doc = np.repeat(np.arange(len(doc_ids)), sizes)[chosen]
+                for i in range(n):
+                    has = (mine[doc] >> i & 1).astype(bool)
+                    tied[i] += np.bincount(term[chosen[has]], weights=part[doc[has]], minlength=TERM_COLUMNS)
+                    totals[i] += part[(mine >> i & 1).astype(bool)].sum()
+        used = np.flatnonzero(seen)
+        rows = [np.concatenate([[-1], used]), np.concatenate([[totals[n]], seen[used]]), *[np.concatenate([[totals[i]], tied[i, used]]) for i in range(n)]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *[pa.array(x.astype(np.float64)) for x in rows[1:]]], names=["term", "n", *[f"s{i}" for i in range(n)]])
+
+    counted = stored.select("ids", "sizes", "terms").mapInArrow(count, "term int, n double, " + ", ".join(f"s{i} double" for i in range(n)))
+    found = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]).toArrow().sort_by("term")
+    column = np.full(TERM_COLUMNS, -1, np.int32)
+    if found.num_rows < 2:
+        return column, np.zeros((k, 0), np.float32)
+    used, every = found["term"].to_numpy()[1:], found["n"].to_numpy()
+    column[used] = np.arange(len(used))
+    tied = np.stack([found[f"s{i}"].to_numpy() for i in range(n)])
+    seeds = Seeds(tied[:, 1:], tied[:, 0], every[1:] / max(every[0], 1), background)
     h = seeds.h
     for _ in range(rounds):
-        sent = documents.sparkSession.sparkContext.broadcast(h)
+        sent = sc.broadcast((column, np.ascontiguousarray(h.T, np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums, weights = np.zeros((k, size)), sent.value
+            column, weights = sent.value
+            sums = np.zeros(weights.shape)
             for batch in batches:
-                terms_, counts = batch.column(0), batch.column(1)
-                lengths = np.diff(terms_.offsets.to_numpy(zero_copy_only=False))
-                starts = np.concatenate([[0], np.cumsum(lengths)])
-                t, c = terms_.flatten().to_numpy(zero_copy_only=False), 1 + np.log(counts.flatten().to_numpy(zero_copy_only=False))
-                for a, b in _chunks(lengths):
-                    at = slice(starts[a], starts[b])
-                    if starts[b] > starts[a]:
-                        sums += fold(weights, t[at], c[at], np.repeat(np.arange(b - a), lengths[a:b]), b - a)
-            some = np.flatnonzero(sums.any(0))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(sums[i, some]) for i in range(k)]], names=["term", *[f"k{i}" for i in range(k)]])
-
-        made = matrix.select("terms", "counts").mapInArrow(run, "term int, " + ", ".join(f"k{i} double" for i in range(k)))
+                for sizes, term, count in _entries(batch, ["sizes", "terms", "counts"]):
+                    sums += fold(weights, column[term], _weights(count), sizes)
+            some = np.flatnonzero(sums.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(sums[some, i]) for i in range(k)]], names=["term", *[f"k{i}" for i in range(k)]])
+
+        made = stored.select("sizes", "terms", "counts").mapInArrow(run, "term int, " + ", ".join(f"k{i} double" for i in range(k)))
         sums = made.groupBy("term").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(k)]).toArrow()
-        gathered = np.zeros((k, size))
+        gathered = np.zeros((k, len(used)))
         for i in range(k):
             gathered[i, sums["term"].to_numpy()] = sums[f"k{i}"].to_numpy()
         h = seeds.update(gathered)
-    return words, h
+        sent.unpersist()
+    return column, h.astype(np.float32)
 
 
-def assign(documents: DataFrame, model: tuple[dict[str, int], np.ndarray], subjects: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, subject, about, sentences): for every document and subject, how many of its sentences are about it.
+def assign(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], subjects: list[str], key: str = "doc_id", text: str = "text", stored: DataFrame | None = None) -> DataFrame:
+    """(id, subject, weight, about, sentences): for every document and subject, its part of the mixture and how many sentences are about it.
 
-    Documents without a sentence about any subject have no row; null and empty texts have no sentences.
-    Whole texts are read; a document delivered twice has its rows twice.
+    Documents have a row for every subject with a sentence about it or with a hundredth of the mixture at least; null and
+    empty texts have no rows.  Whole texts are read; a document delivered twice has its rows twice.
     """
     import pyarrow as pa
 
-    words, h = model
-    sent = documents.sparkSession.sparkContext.broadcast((words, h))
-    names = list(subjects)
+    stored = blocks(documents, key, text) if stored is None else stored
+    column, h = model
+    sent, names = stored.sparkSession.sparkContext.broadcast((column, np.ascontiguousarray(h.T, np.float32))), list(subjects)
+    kinds = {"id": pa.int64(), "subject": pa.string(), "weight": pa.float64(), "about": pa.int64(), "sentences": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = sent.value
+        column, weights = sent.value
+        labels = np.array(names, object)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [[[known[t] for t in terms(s) if t in known] for s in sentences(x)] for x in batch.column(1).to_pylist()]
-            rows: list[tuple[int, str, int, int]] = []
-            for a, b in _chunks(np.array([sum(map(len, d)) for d in texts], np.int64)):
-                for key_, best in zip(ids[a:b], label_sentences(weights, len(names), texts[a:b]) if weights.size else [], strict=False):
-                    for i, n in Counter(best[best >= 0].tolist()).items():
-                        rows.append((key_, names[i], n, len(best)))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["id", "subject", "about", "sentences"])
+            for ids, sizes, term, count, per_doc, lengths, places in _entries(batch, list(BLOCK)):
+                if not len(weights) or not len(names):
+                    continue
+                at = column[term]
+                w, _ = mixtures(weights, at, _weights(count), sizes, 12)
+                best = label_sentences(weights, w, len(names), at, sizes, lengths, places, per_doc)
+                doc = np.repeat(np.arange(len(ids)), per_doc)
+                told = np.bincount(doc[best >= 0] * len(names) + best[best >= 0], minlength=len(ids) * len(names)).reshape(len(ids), len(names))
+                d, s = np.nonzero((told > 0) | (w[:, : len(names)] >= 0.01) & (sizes > 0)[:, None])
+                cols = [ids[d], labels[s], w[d, s].astype(np.float64), told[d, s], per_doc[d].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    return stored.mapInArrow(run, "id bigint, subject string, weight double, about bigint, sentences bigint")
+
+
+def subjects_of(spark: SparkSession, documents: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: int = 2, weight: float = 0.03) -> DataFrame:
+    """(doc_id, subject, share): the subjects that at least `share` of a document's sentences are about, and `least` of them at least.
 
-    return documents.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, subject string, about bigint, sentences bigint")
+    Only subjects with a part of the document's mixture of at least `weight` are asked for.  areas: (subject), a small
+    table that doesn't grow.
+    """
+    found = mixtures_of(spark, documents, labels, areas, weight).filter((F.col("about") >= least) & (F.col("about") >= share * F.col("sentences")))
+    return found.select("doc_id", "subject", (F.col("about") / F.col("sentences")).alias("share")).distinct()
 
 
-def subjects_of(spark: SparkSession, documents: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: int = 2) -> DataFrame:
-    """(doc_id, subject, share): the subjects that at least `share` of a document's sentences are about, and `least` of them at least.
+def mixtures_of(spark: SparkSession, documents: DataFrame, labels: DataFrame, areas: DataFrame, weight: float = 0.07) -> DataFrame:
+    """(doc_id, subject, weight, about, sentences): the subjects with at least so large a part of a document's mixture.
 
-    areas: (subject), a small table that doesn't grow.
+    about: how many of its sentences are about the subject.
     """
     names = sorted(r[0] for r in areas.select("subject").filter("subject is not null").distinct().collect())
-    found = assign(documents, fit(documents, labels, names), names).filter((F.col("about") >= least) & (F.col("about") >= share * F.col("sentences")))
-    return found.select(F.col("id").alias("doc_id"), "subject", (F.col("about") / F.col("sentences")).alias("share")).distinct()
+    stored = blocks(documents)
+    found = assign(documents, fit(documents, labels, names, stored=stored), names, stored=stored)
+    return found.filter(F.col("weight") >= weight).withColumnRenamed("id", "doc_id")
