@@ -3,8 +3,11 @@
 The documents of a source, in a fixed random order, form a stream that may be repeated up to its cap; it is cut into
 blocks of equal size.  Block j of a source with weight w may come from slot floor(j / w) on and must come before
 slot ceil((j + 1) / w); taking the block with the earliest deadline in every slot meets all of them, so at
-any point each source is less than one block off its share.  With weights as fractions of a period the schedule repeats,
-so one period is computed and every block finds its slot by arithmetic, wherever it is.
+any point each source is less than one block off its share.  A source's weight is the exact fraction of its blocks among all.
+
+A mix of many blocks is cut into frames.  The blocks that don't divide evenly among the frames are spread over them by a
+schedule of their own, and each frame is scheduled by what it holds; frames that hold the same are computed once.  As
+frames add to the deviation, blocks are a quarter as large as the deviation that is asked for.
 
 Positions in a stream are prefix sums in two levels: within hash buckets of bounded size, and over the sums of
 the buckets.  So a source that holds a third of all documents is no longer in one task than any other.
@@ -12,17 +15,21 @@ the buckets.  So a source that holds a third of all documents is no longer in on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
-from math import ceil, floor, lcm
+from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.session import cut
 
-LONGEST_PERIOD = 10_000
+#: Blocks in a frame, about.
+FRAME = 16_384
+#: Blocks that a schedule may be off at most; three at the edges and inside of frames.
+PARTS = 4
 BUCKET_ITEMS = 50_000
 
 
@@ -33,19 +40,58 @@ def schedule(weights: dict[str, int]) -> dict[str, list[int]]:
     """
     period = sum(weights.values())
     slots: dict[str, list[int]] = {s: [] for s in weights}
+    live = {s: w for s, w in weights.items() if w}
+    release = {s: 0 for s in live}
+    deadline = {s: -(-period // w) for s, w in live.items()}
     for t in range(period):
-        ready = [(ceil(Fraction((n + 1) * period, w)), s) for s, w in weights.items() if (n := len(slots[s])) < w and floor(Fraction(n * period, w)) <= t]
-        slots[min(ready)[1]].append(t)
+        _, s = min((deadline[s], s) for s in live if release[s] <= t)
+        slots[s].append(t)
+        n, w = len(slots[s]), live[s]
+        if n == w:
+            del live[s]
+        else:
+            release[s], deadline[s] = n * period // w, -(-(n + 1) * period // w)
     return slots
 
 
+@dataclass(frozen=True)
+class Frames:
+    """The schedule of all blocks.  blocks: how many each source has."""
+
+    blocks: dict[str, int]
+    size: int = FRAME
+
+    def made(self) -> None:
+        """Computes the schedule, so that it is sent and not computed again."""
+        if self.blocks:
+            _ = self._made
+
+    @cached_property
+    def _made(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+        n = max(1, -(-sum(self.blocks.values()) // self.size))
+        over = {s: b % n for s, b in self.blocks.items()}
+        extra, total = schedule(over), sum(over.values())
+        held = {s: np.full(n, b // n, np.int64) + np.bincount(np.array(extra[s], np.int64) * n // max(total, 1), minlength=n) for s, b in self.blocks.items()}
+        first = {s: np.concatenate([[0], np.cumsum(x)]) for s, x in held.items()}
+        what, kind = np.unique(np.stack([held[s] for s in self.blocks], axis=1), axis=0, return_inverse=True)
+        tables = [schedule(dict(zip(self.blocks, row.tolist(), strict=True))) for row in what]
+        start = np.concatenate([[0], np.cumsum(sum(held.values()))])[:-1]
+        flat = {s: np.array([x for t in tables for x in t[s]], np.int64) for s in self.blocks}
+        at = {s: np.concatenate([[0], np.cumsum([len(t[s]) for t in tables])]).astype(np.int64) for s in self.blocks}
+        return first, start, kind.ravel(), flat, at
+
+    def slots(self, source: str, number: np.ndarray) -> np.ndarray:
+        """The slots of some blocks of a source."""
+        first, start, kind, flat, at = self._made
+        frame = np.searchsorted(first[source], number, side="right") - 1
+        return start[frame] + flat[source][at[source][kind[frame]] + number - first[source][frame]]
+
+
 @dataclass(frozen=True)
 class Plan:
-    """quota: tokens of each source; weights: parts of the period; slots: its places in one period."""
+    """quota: tokens of each source."""
 
     quota: dict[str, float]
-    weights: dict[str, int]
-    slots: dict[str, list[int]]
 
 
 def plan(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: float | None = None) -> Plan:
@@ -58,7 +104,7 @@ def plan(available: dict[str, int], shares: dict[str, float], repeats: dict[str,
     most = {s: available.get(s, 0) * max(repeats[s] or 0, 0) for s in shares}
     live = sorted(s for s, x in shares.items() if x and x > 0 and most[s] > 0)
     if not live:
-        return Plan({}, {}, {})
+        return Plan({})
     scale = sum(shares[s] for s in live)
     quota: dict[str, float] = {}
     if total is None:
@@ -75,18 +121,7 @@ def plan(available: dict[str, int], shares: dict[str, float], repeats: dict[str,
                 break
             rest -= sum(most[s] for s in full)
             open_ = [s for s in open_ if s not in full]
-    whole = sum(quota.values())
-    parts = {s: Fraction(q / whole).limit_denominator(1000) for s, q in quota.items()}
-    period = lcm(*[p.denominator for p in parts.values()])
-    if period > LONGEST_PERIOD or sum(parts.values()) != 1 or min(parts.values()) <= 0:
-        period = LONGEST_PERIOD
-        exact = {s: max(q / whole * period, 1) for s, q in quota.items()}
-        weights = {s: max(floor(x), 1) for s, x in exact.items()}
-        for s in sorted(exact, key=lambda s: weights[s] - exact[s])[: max(0, period - sum(weights.values()))]:
-            weights[s] += 1
-    else:
-        weights = {s: int(p * period) for s, p in parts.items()}
-    return Plan(quota, weights, schedule(weights))
+    return Plan(quota)
 
 
 def streamed(sized: DataFrame, n_items: int, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
@@ -99,6 +134,25 @@ def streamed(sized: DataFrame, n_items: int, bucket_items: int = BUCKET_ITEMS) -
     return rows.withColumn("inside", inside).join(before, ["source", "bucket"]).select("source", "key", "tokens", (F.col("base") + F.col("inside")).alias("at"))
 
 
+def scheduled(rows: DataFrame, frames: Frames, part: int) -> DataFrame:
+    """Rows (source, place, ...) with the slot of the block, of `part` tokens, that each begins in."""
+    import pyarrow as pa
+
+    frames.made()
+    sent = rows.sparkSession.sparkContext.broadcast(frames)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("source").dictionary_encode()
+            code, number = coded.indices.to_numpy(zero_copy_only=False), batch.column("place").to_numpy(zero_copy_only=False) // part
+            slot = np.zeros(len(number), np.int64)
+            for i, s in enumerate(coded.dictionary.to_pylist()):
+                slot[code == i] = sent.value.slots(s, number[code == i])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns], names=["slot", *batch.schema.names])
+
+    return rows.mapInArrow(run, "slot bigint, " + ", ".join(f"`{n}` {t}" for n, t in rows.dtypes))
+
+
 def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int = 4096, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(slot, source, place, key, copy, tokens) of the mix, and (source, target_share, reached_share, tokens, documents, most_copies, available, unused).
 
@@ -116,16 +170,15 @@ def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int =
     found = {r["source"]: (r["n"], r["docs"]) for r in sized.filter(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
     available = {s: n for s, (n, _) in found.items()}
     p = plan(available, {s: x for s, (x, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total)
-    rows = [(s, float(p.quota[s]), available[s], p.weights[s], p.slots[s], sum(p.weights.values())) for s in p.quota]
-    table = spark.createDataFrame(rows, "source string, quota double, available bigint, weight int, slots array<int>, period int")
+    rows = [(s, float(p.quota[s]), available[s]) for s in p.quota]
+    table = spark.createDataFrame(rows, "source string, quota double, available bigint")
     streams = streamed(sized, sum(d for _, d in found.values())).join(F.broadcast(table), "source")
     middle = F.col("at") + F.col("tokens") / 2
     last = F.floor((F.col("quota") - middle) / F.col("available")).cast("int")
     used = streams.filter(middle <= F.col("quota")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
     place = F.col("at") + F.col("copy") * F.col("available")
-    number = F.floor(place / block)
-    slot = F.floor(number / F.col("weight")) * F.col("period") + F.get("slots", F.pmod(number, F.col("weight")).cast("int"))
-    mixed = used.select(slot.cast("bigint").alias("slot"), "source", place.alias("place"), "key", "copy", "tokens")
+    part = max(block // PARTS, 1)
+    mixed = scheduled(used.select("source", place.alias("place"), "key", "copy", "tokens"), Frames({s: max(1, int(-(-q // part))) for s, q in p.quota.items()}), part)
     reached = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("key").alias("documents"), F.sum(F.when(F.col("copy") == 0, F.col("tokens"))).alias("once"), (F.max("copy") + 1).alias("most_copies"))
     aims = spark.createDataFrame([(s, float(x), available.get(s, 0)) for s, (x, _) in wanted.items()], "source string, target_share double, available bigint")
     whole = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # over the rows of targets

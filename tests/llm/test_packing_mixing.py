@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-from corvane.llm.mixing import mix, plan, schedule
+import pytest
+from corvane.llm.mixing import PARTS, Frames, mix, plan, schedule
 from corvane.llm.packing import fill_report, harmonic, pack
 from corvane.llm.tokens import count_tokens
 from hypothesis import given, settings
@@ -55,6 +56,33 @@ def test_schedule_is_fair():
             assert abs(sum(x < t for x in slots[s]) - w * t / 100) < 1
 
 
+@pytest.mark.parametrize("blocks,size", [({"a": 1_400_000, "b": 599_998, "c": 2}, 16_384), ({"a": 50, "b": 30, "c": 15, "d": 5}, 16_384), ({"a": 333, "b": 334, "c": 1, "d": 5000, "e": 77, "f": 2}, 100), ({"a": 7}, 3), ({"a": 1, "b": 10**6}, 1000)])
+def test_frames_are_fair(blocks, size):
+    frames, total = Frames(blocks, size), sum(blocks.values())
+    taken = np.full(total, -1)
+    for i, (s, n) in enumerate(blocks.items()):
+        slots = frames.slots(s, np.arange(n))
+        assert (np.diff(slots) > 0).all()
+        taken[slots] = i
+        ahead = np.arange(1, n + 1) - (slots + 1) * (n / total)  # right after a block of its own
+        behind = np.arange(n + 1) - np.append(slots, total) * (n / total)  # right before one
+        assert ahead.max() < PARTS and behind.min() > -PARTS
+        if total <= size:
+            assert ahead.max() < 1 and behind.min() > -1
+    assert (taken >= 0).all()
+
+
+def test_frames_hold_under_any_shares():
+    rng = random.Random(4)
+    for _ in range(40):
+        blocks = {str(i): int(10 ** rng.uniform(0, 4.5)) for i in range(rng.randrange(1, 10))}
+        frames, total = Frames(blocks, rng.choice([10, 64, 1000])), sum(blocks.values())
+        for s, n in blocks.items():
+            slots = frames.slots(s, np.arange(n))
+            off = np.concatenate([np.arange(1, n + 1) - (slots + 1) * (n / total), np.arange(n) - slots * (n / total)])
+            assert abs(off).max() < PARTS
+
+
 def test_plan():
     p = plan({"a": 100, "b": 100, "c": 0}, {"a": 0.6, "b": 0.2, "c": 0.2}, {"a": 1, "b": 3, "c": 9})
     assert set(p.quota) == {"a", "b"} and abs(p.quota["a"] - 100) < 1e-6 and abs(p.quota["b"] - 100 / 3) < 1e-6
