@@ -90,6 +90,24 @@ def identify(name: Column) -> Column:
     return F.when(name.isNotNull(), let(drop_noise(name), lambda cleaned: let(F.struct(*[c.alias(t) for t, c in media_tags(cleaned).items()]), lambda tags: _by_form(cleaned, tags))))
 
 
+def kind_after(kind: Column, named: Column) -> Column:
+    """Items whose name gives a season or an episode are episodes, whatever their kind was."""
+    return F.when(named["season"].isNotNull() | named["episode"].isNotNull(), "TvShow").otherwise(kind)
+
+
+def reasons(named: Column) -> Column:
+    """What in a name led to its reading, in order."""
+    told = lambda form, *more: F.when(named["form"] == form, F.array_compact(F.array(*more)))
+    said = lambda text, c: F.when(c.isNotNull(), F.concat(F.lit(text), c.cast("string")))
+    year, resolution, codec, source = said("detected year ", named["year"]), said("detected resolution tag ", named["resolution"]), said("detected codec tag ", named["codec"]), said("detected source tag ", named["source"])
+    return F.coalesce(
+        told("sxxexx", F.lit("matched TV pattern SxxExx"), year, resolution, codec), told("nxnn", F.lit("matched TV pattern xxXyy"), year, source),
+        told("bracket_zh", F.lit("matched bracketed Chinese season/episode pattern"), said("detected release group ", named["release_group"])), told("bracket_en", F.lit("matched bracketed English season/episode pattern"), resolution),
+        told("movie", F.lit("matched movie title + year pattern"), said("validated year ", named["year"]), source),
+        told("fallback", F.lit("fallback parse after stripping known media tags"), F.lit("no season/episode or title-year anchor matched")),
+    )
+
+
 def _by_form(cleaned: Column, tags: Column) -> Column:
     suffix = _or_null(F.concat_ws(".", *[tags[t] for t in ("resolution", "source", "codec", "audio", "release_group")]))
     part = lambda pattern, group: F.regexp_extract(cleaned, _i(pattern), group)

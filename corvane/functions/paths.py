@@ -22,9 +22,14 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def raw_extension(path: Column) -> Column:
+    """The last extension as it is written, empty if there is none."""
+    return F.regexp_extract(file_name(path), r"(?<=.)\.([^.]*)$", 1)
+
+
 def extension(path: Column) -> Column:
     """The last extension in lower case, empty if there is none."""
-    return F.lower(F.regexp_extract(file_name(path), r"(?<=.)\.([^.]*)$", 1))
+    return F.lower(raw_extension(path))
 
 
 def parent(path: Column) -> Column:

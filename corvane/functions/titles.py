@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.paths import let
+
 # Words left out of lookups, and folder names that say nothing.
 QUERY_NOISE = ["1080p", "720p", "2160p", "4k", "webrip", "web-dl", "bluray", "brrip", "x264", "x265", "h264", "h265", "hevc", "aac", "dts", "hdr", "dv"]
 NO_HINT = r"^(?:season 0?[12]|s0?[12]|s[0-9]{0,5})$"
@@ -31,8 +33,7 @@ def identity_form(title: Column) -> Column:
 def distinct_ignoring_case(texts: Column) -> Column:
     """The trimmed texts that aren't empty, the first of those that differ in case only, in order."""
     trimmed = F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: x != "")
-    keys = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return let(trimmed, lambda t: let(F.transform(t, F.lower), lambda keys: F.filter(t, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def variants(title: Column) -> Column:
@@ -82,5 +83,21 @@ def xml_escaped(text: Column) -> Column:
     return out
 
 
+def json_in(text: Column) -> Column:
+    """The JSON object in an answer: of the first block marked as JSON, else from the first brace to the last; empty without any."""
+    marked = F.regexp_extract(text, r"(?s)```json(.*?)```", 1)
+    return F.when(text.rlike(r"(?s)```json.*?```"), F.trim(F.regexp_replace(marked, r"^\s+|\s+$", ""))).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+
+
+def human_bytes(count: Column) -> Column:
+    """A number of bytes in the greatest unit that it fills, with one digit."""
+    size = count.cast("double")
+    out = F.when(size < 1024, F.concat(count.cast("string"), F.lit(" B")))
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        scaled = F.format_string(f"%.1f {unit}", size / 1024**i)
+        out = out.when(size < 1024 ** (i + 1), scaled) if unit != "TB" else out.otherwise(scaled)
+    return F.when(count.isNotNull(), out)
+
+
 def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(max(most - 1, 0))), F.lit("…"))).otherwise(text)

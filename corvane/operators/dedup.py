@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring
 from corvane.functions.paths import parent
+from corvane.session import cut
 
 
 def latest(df: DataFrame, key: str = "id", by: str = "loaded_at") -> DataFrame:
@@ -18,19 +19,19 @@ def latest(df: DataFrame, key: str = "id", by: str = "loaded_at") -> DataFrame:
 
 
 def progressive_hash(df: DataFrame, key: str, text: str, prefix: int = 65536) -> DataFrame:
-    """(key, size, prefix_hash, full_hash): hashes computed only where they can still tell rows apart.
+    """(key, size, prefix_hash, full_hash): hashes where they can still tell rows apart, else null.
 
-    A row gets a prefix hash if another one has its size, and a full hash if another one has its size and prefix hash.
-    Sizes and hashes are counted in aggregates of their own and come back by joins, so no window holds a large group
-    and content is never shuffled.
+    A row has a prefix hash if another one has its size, and a full hash if another one has its size and prefix hash.
+    The text is read once, by the scan that makes the digests, and those alone are checkpointed and shuffled.  Sizes and
+    hashes are counted in aggregates and come back by one join, so no window holds a large group.
     """
-    sized = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("size", F.octet_length("text"))
-    same_size = sized.groupBy("size").count().filter("count > 1 and size is not null").select("size")
-    firsts = sized.join(same_size, "size", "left_semi").select("key", "size", F.md5(F.substring(F.col("text").cast("binary"), 1, prefix)).alias("prefix_hash"))
-    same_prefix = firsts.groupBy("size", "prefix_hash").count().filter("count > 1").select("size", "prefix_hash")
-    fulls = firsts.join(same_prefix, ["size", "prefix_hash"], "left_semi").select("key")
-    hashed = sized.join(fulls, "key", "left_semi").select("key", F.md5(F.col("text").cast("binary")).alias("full_hash"))
-    return sized.select("key", "size").join(firsts.select("key", "prefix_hash"), "key", "left").join(hashed, "key", "left")
+    raw, size = F.col(f"`{text}`").cast("binary"), F.octet_length(F.col(f"`{text}`"))
+    head = F.md5(F.substring(raw, 1, prefix))
+    rows = cut(df.select(F.col(f"`{key}`").alias("key"), size.alias("size"), head.alias("head"), F.when(size > prefix, F.md5(raw)).otherwise(head).alias("full")))
+    heads = rows.filter("size is not null").groupBy("size", "head").agg(F.count("*").alias("same_head"))
+    sizes = heads.groupBy("size").agg(F.sum("same_head").alias("same_size")).filter("same_size > 1")
+    met = rows.join(heads.join(sizes, "size"), ["size", "head"], "left")
+    return met.select("key", "size", F.when(F.col("same_size") > 1, F.col("head")).alias("prefix_hash"), F.when(F.col("same_head") > 1, F.col("full")).alias("full_hash"))
 
 
 def exact_groups(items: DataFrame, digest: Column) -> DataFrame:
@@ -111,6 +112,55 @@ def version_groups(rated: DataFrame) -> DataFrame:
     return out.filter(~((F.col("hashed") == F.col("n")) & (F.col("low") == F.col("high"))) & (F.col("n") > 1)).select("version_key", "n", F.col("best.id").alias("keep_id"), F.col("best.effective").alias("keep_score"), "least_completeness", "most_confidence", "largest")
 
 
+def latest_decisions(items: DataFrame) -> DataFrame:
+    """(content_id, item_index, is_keep): the row decided last of each; of rows decided at once a kept one counts.  Rows without ids are none."""
+    at = F.coalesce(F.unix_micros(F.col("decided_at").cast("timestamp")), F.lit(-(2**62)))
+    best = items.filter("content_id is not null and item_index is not null").groupBy("content_id", "item_index").agg(F.max(F.struct(at.alias("at"), "is_keep")).alias("m"))
+    return best.select("content_id", "item_index", "m.is_keep")
+
+
+#: How to choose the item of a group to keep.
+STRATEGIES = ["HighestQuality", "Newest", "Largest", "Manual"]
+
+
+def keep_order(strategy: str) -> Column:
+    """The order of which the greatest item is kept; null for items that can't be.  Ties go to the greater id.
+
+    Items without a time are never the newest, and with `Manual` none is kept.
+    """
+    if strategy == "HighestQuality":
+        return F.struct("effective", "quality_score", "trust", "metadata_confidence", "file_size", "id")
+    if strategy == "Newest":
+        return F.when(F.col("mtime").isNotNull(), F.struct("mtime", "id"))
+    if strategy == "Largest":
+        return F.struct("file_size", "id")
+    return F.when(F.lit(False), F.struct("id"))
+
+
+def members(rated: DataFrame) -> DataFrame:
+    """Rated items with content_id and kind of each group they are in: `Exact` ones of equal content and `Version` ones of one work, unless
+    all of those are equal.  An item may be in one of each; items alone are in none."""
+    full, version = F.col("full_hash"), F.col("version_key")
+    exact = rated.filter(full.isNotNull()).withColumn("content_id", F.concat(F.lit("hash:"), full.cast("string"))).withColumn("kind", F.lit("Exact"))
+    by_key = version_groups(rated).select(F.col("version_key").alias("content_id"))
+    several = rated.filter(full.isNotNull()).groupBy("full_hash").count().filter("count > 1").select(F.concat(F.lit("hash:"), full.cast("string")).alias("content_id"))
+    versions = rated.filter(version.isNotNull()).withColumn("content_id", version).withColumn("kind", F.lit("Version"))
+    return exact.join(several, "content_id", "left_semi").unionByName(versions.join(by_key, "content_id", "left_semi"))
+
+
+def kept(grouped: DataFrame, strategies: list[str] = STRATEGIES) -> DataFrame:
+    """(content_id, kind, strategy, n, keep_id, keep_path, drops): the item each strategy keeps of each group, if any.  Combined maxima."""
+    best = grouped.groupBy("content_id", "kind").agg(F.count("*").alias("n"), *[F.max(F.when(keep_order(s).isNotNull(), F.struct(keep_order(s).alias("o"), F.col("id"), F.col("path")))).alias(s) for s in strategies])
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s)["id"].alias("keep_id"), F.col(s)["path"].alias("keep_path")) for s in strategies]))
+    return best.select("content_id", "kind", "n", rows.alias("r")).select("content_id", "kind", "r.strategy", "n", "r.keep_id", "r.keep_path", (F.col("n") - F.col("r.keep_id").isNotNull().cast("int")).alias("drops"))
+
+
+def removals(grouped: DataFrame, choice: DataFrame) -> DataFrame:
+    """(content_id, kind, id, keep_id, keep_name): every item that a strategy drops, with the one kept in its place."""
+    winner = choice.filter("keep_id is not null").select("content_id", "kind", "keep_id", F.regexp_extract("keep_path", "([^/]*)$", 1).alias("keep_name"))
+    return grouped.select("content_id", "kind", "id").join(winner, ["content_id", "kind"]).filter("id <> keep_id")
+
+
 def ranked(rows: DataFrame, group: list[str], order: list[Column], most: int = 1) -> DataFrame:
     """The first rows of each group in an order, with their rank."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= most)

@@ -26,8 +26,24 @@ def alive(entries: DataFrame, now: Column, days: int, at: str = "updated_at") ->
 
 
 def with_cache(items: DataFrame, cache: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(items with the cached columns, items without an entry)."""
-    return items.join(cache, key), items.join(cache.select(*key).distinct(), key, "left_anti")
+    """(items with the cached columns, items without an entry).
+
+    Items without an entry keep their row, with nulls; of several entries of a key one counts, the greatest, so no row multiplies.
+    """
+    rest = [c for c in cache.columns if c not in key]
+    once = cache.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r")).select(*key, "r.*") if rest else cache.select(*key).distinct()
+    return items.join(once, key, "left"), items.join(cache.select(*key).distinct(), key, "left_anti")
+
+
+def cache_key(*parts: Column) -> Column:
+    """The text by which an item is found in a cache: its parts, with nothing for nulls, between colons."""
+    return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def cached_else_live(cached: DataFrame | None, live: DataFrame, root: str, fresh: bool) -> DataFrame:
+    """A cached listing if there is one and it is fresh, else the live one; of a single file (its path being the root) only that."""
+    rows = cached if cached is not None and fresh else live
+    return rows.filter((F.col("path") == root) | F.col("path").startswith(root.rstrip("/") + "/"))
 
 
 def first_source(answers: DataFrame, key: str, source: str, chain: list[str]) -> DataFrame:
@@ -37,12 +53,19 @@ def first_source(answers: DataFrame, key: str, source: str, chain: list[str]) ->
     return answers.withColumn("__p", place).filter("__p > 0").groupBy(key).agg(F.min(F.struct("__p", *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def candidate_score(title: Column, year: Column, season: Column, kind: Column, seen: Column, cand_title: Column, cand_original: Column, cand_year: Column, cand_id: Column, rating: Column) -> Column:
-    """How well a candidate fits an item (FLOAT).  seen: titles found in the item's content, of which the first exact one ends the count."""
+def candidate_score(title: Column, year: Column, season: Column, kind: Column, seen: Column, cand_title: Column, cand_original: Column, cand_year: Column, cand_id: Column, rating: Column, episode: Column | None = None, cand_season: Column | None = None, cand_episode: Column | None = None) -> Column:
+    """How well a candidate fits an item (FLOAT).  seen: titles found in the item's content, of which the first exact one ends the count.
+
+    For episodes, season and episode may be given on both sides.
+    """
     own, theirs, original = titles.match_form(title), titles.match_form(cand_title), F.coalesce(titles.match_form(cand_original), F.lit(""))
     named = F.when((own != "") & ((theirs == own) | (original == own)), EXACT_TITLE).when((own != "") & (F.contains(theirs, own) | F.contains(own, theirs) | (original != "") & F.contains(original, own)), PART_TITLE).otherwise(0.0)
     dated = F.when(year.isNull() | cand_year.isNull(), 0.0).when(year == cand_year, SAME_YEAR).when(F.abs(year - cand_year) == 1, NEAR_YEAR).otherwise(OTHER_YEAR)
     serial = F.when((kind == "TvShow") & season.isNotNull() & cand_id.isNotNull(), SERIES_ID).otherwise(0.0)
+    if cand_season is not None:
+        serial = serial + F.when((kind == "TvShow") & (season == cand_season), SAME_SEASON).otherwise(0.0)
+    if episode is not None and cand_episode is not None:
+        serial = serial + F.when((kind == "TvShow") & (episode == cand_episode), SAME_EPISODE).otherwise(0.0)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("done"))
 
     def fold(acc: Column, text: Column) -> Column:
@@ -61,13 +84,18 @@ def lookups(items: DataFrame, catalogue: DataFrame, most: int = 5) -> DataFrame:
 
     items: id, title, year, season, media_type, seen.  catalogue: id, title, original, year, rating.  An item meets a title
     through an equi-join on the form; the year, where both are known, may be off by one.  gap is the lead over the next.
+    Equal questions are asked once: items meet the answers by their question, so a title that many items hold is compared once.
     """
-    asked = items.withColumn("form", F.explode(F.array_distinct(F.transform(titles.variants(F.col("title")), titles.match_form)))).filter("form <> ''")
+    question = ["title", "year", "season", "media_type", "seen"]
+    marked = items.withColumn("q", F.unhex(F.md5(F.to_json(F.struct(*question)).cast("binary"))))
+    once = marked.groupBy("q").agg(*[F.first(c).alias(c) for c in question])
+    asked = once.withColumn("form", F.explode(F.array_distinct(F.transform(titles.variants(F.col("title")), titles.match_form)))).filter("form <> ''")
     named = catalogue.select(*[F.col(c).alias(f"c_{c}") for c in catalogue.columns]).withColumn("form", F.explode(F.array_distinct(F.array_compact(F.array(titles.match_form(F.col("c_title")), titles.match_form(F.col("c_original"))))))).filter("form <> ''")
-    met = asked.join(named, "form").filter("year is null or c_year is null or abs(year - c_year) <= 1").drop("form").dropDuplicates(["id", "c_id"])
+    met = asked.join(named, "form").filter("year is null or c_year is null or abs(year - c_year) <= 1").drop("form").dropDuplicates(["q", "c_id"])
     scored = met.withColumn("score", candidate_score(*[F.col(c) for c in ("title", "year", "season", "media_type", "seen", "c_title", "c_original", "c_year", "c_id", "c_rating")]))
-    w = W.partitionBy("id").orderBy(F.desc("score"), "c_id")
-    return scored.withColumn("rank", F.row_number().over(w)).withColumn("gap", (F.col("score") - F.lead("score").over(w)).cast("float")).filter(F.col("rank") <= most)
+    w = W.partitionBy("q").orderBy(F.desc("score"), "c_id")
+    best = scored.withColumn("rank", F.row_number().over(w)).withColumn("gap", (F.col("score") - F.lead("score").over(w)).cast("float")).filter(F.col("rank") <= most)
+    return marked.join(best.drop(*question), "q").drop("q")
 
 
 def companions(files: DataFrame, others: DataFrame) -> DataFrame:

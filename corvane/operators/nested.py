@@ -9,18 +9,22 @@ the pieces are (owner, grp, ords, leaves), `leaves` being the path-value pairs o
 `pivot` turns the pieces of one group into a flat table.
 
 Two parsers make pieces: `struct_pieces` walks typed struct columns by their schema, with
-expressions only; `json_pieces` walks JSON text of unknown shape in Arrow batches.
+expressions only; `json_pieces` reads JSON text of unknown shape as a stream of events, in Arrow batches.  No tree is
+built and nothing recurses with the depth of a record.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Callable, Iterator
+from json.decoder import scanstring
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import cut
+
 PIECE = "array<struct<path:string,value:string>>"
 
 
@@ -110,93 +114,167 @@ def struct_pieces(df: DataFrame, owner: str, columns: list[str]) -> DataFrame:
 # -- JSON text -----------------------------------------------------------------------------------
 
 
-def _unwrapped(value: object) -> object:
-    """Text that holds a JSON object or array stands for it."""
-    if isinstance(value, str) and value[:1] in "[{" or isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
-        try:
-            return json.loads(value)
-        except ValueError:
-            return value
-    return value
-
-
-def _scalar(value: object) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
+_SPACE = re.compile(r"[ \t\n\r]*").match
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity").match
 
 
-def triples(value: object, path: str = "", ords: tuple[int, ...] = (), group: str = "", lone: frozenset[str] = frozenset()) -> Iterator[tuple[str, tuple[int, ...], str, str | None]]:
-    """Walks a parsed value in document order and yields (group, ordinals, path, value).
+def events(text: str, unwrap: bool = False) -> tuple[list[str], list] | None:
+    """The events of a JSON text in order, as kinds and values; None if it isn't complete JSON.
 
-    The start of a row (the record, or an element of an array) is a triple without a path, so rows of
-    which nothing is known still count.  Keys are compared in lower case; null leaves are no triples.
-    `lone` names paths where one object stands for an array of one.
+    Kinds: `{` `}` `[` `]`, `k` for a key, `v` for a value (text as it reads, numbers as they are written, None for null).  unwrap:
+    text that is itself a JSON object or array has the kind `t`, with the text and the place of the event behind its own events, which follow.
     """
-    if isinstance(value, dict):
-        for key, inner in value.items():
-            name = key.lower()
-            at = f"{path}.{name}" if path else name
-            full = f"{group}.{at}" if group else at
-            if full in lone:
-                inner = _unwrapped(inner)
-                inner = [inner] if isinstance(inner, dict) else inner
-            if isinstance(inner, (dict, list)):
-                yield from triples(inner, at, ords, group, lone)
-            elif inner is not None:
-                yield group, ords, at, _scalar(inner)
-    elif isinstance(value, list):
-        inside = f"{group}.{path}" if group and path else group or path
-        for i, inner in enumerate(value):
-            if inner is None:
+    kinds: list[str] = []
+    values: list = []
+    open_: list[str] = []
+    i, n, want_key = _SPACE(text, 0).end(), len(text), False
+    while True:
+        if want_key:
+            if text[i : i + 1] != '"':
+                return None
+            try:
+                key, i = scanstring(text, i + 1, True)
+            except ValueError:
+                return None
+            i = _SPACE(text, i).end()
+            if text[i : i + 1] != ":":
+                return None
+            kinds.append("k")
+            values.append(key)
+            i = _SPACE(text, i + 1).end()
+            want_key = False
+        c = text[i : i + 1]
+        if c == "{" or c == "[":
+            kinds.append(c)
+            values.append(None)
+            open_.append(c)
+            i = _SPACE(text, i + 1).end()
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                want_key = c == "{"
                 continue
-            place = (*ords, i)
-            yield inside, place, "", None
-            if isinstance(inner, (dict, list)):
-                yield from triples(inner, "", place, inside, lone)
+        elif c == '"':
+            try:
+                value, i = scanstring(text, i + 1, True)
+            except ValueError:
+                return None
+            inner = events(value, True) if unwrap and value.lstrip()[:1] in ("{", "[") and value else None
+            if inner is None:
+                kinds.append("v")
+                values.append(value)
             else:
-                yield inside, place, "value", _scalar(inner)
-
-
-def _stripped(value: object, wanted: str) -> object:
-    """The object that holds the wanted key: the payload itself, or one in its wrappers (objects, lists of one, texts)."""
-    level = [_unwrapped(value)]
-    for _ in range(8):
-        following = []
-        for x in level:
-            if isinstance(x, dict):
-                if any(k.lower() == wanted for k in x):
-                    return x
-                following += [_unwrapped(y) for y in x.values()]
-            elif isinstance(x, list):
-                following += [_unwrapped(y) for y in x]
-        level = [x for x in following if isinstance(x, (dict, list))]
-    return value
+                at = len(kinds) + 1
+                kinds.append("t")
+                values.append((value, at + len(inner[0])))
+                kinds += inner[0]
+                values += [(v[0], v[1] + at) if k == "t" else v for k, v in zip(*inner, strict=True)]
+        else:
+            m = _PLAIN(text, i)
+            if m is None:
+                return None
+            kinds.append("v")
+            values.append(None if m[0] == "null" else m[0])
+            i = m.end()
+        while True:
+            i = _SPACE(text, i).end()
+            c = text[i : i + 1]
+            if not open_:
+                return (kinds, values) if i == n else None
+            if c == ",":
+                want_key = open_[-1] == "{"
+                i = _SPACE(text, i + 1).end()
+                break
+            if c != ("}" if open_[-1] == "{" else "]"):
+                return None
+            open_.pop()
+            kinds.append(c)
+            values.append(None)
+            i += 1
+
+
+def _anchored(kinds: list[str], values: list, anchor: str) -> int:
+    """The place of the object that has the anchor as a key: the outermost, of equal ones the first; 0 without any."""
+    best, found, open_ = None, 0, []
+    for i, kind in enumerate(kinds):
+        if kind in "{[":
+            open_.append(i)
+        elif kind in "}]":
+            open_.pop()
+        elif kind == "k" and (best is None or len(open_) < best) and values[i].lower() == anchor:
+            best, found = len(open_), open_[-1]
+    return found
 
 
 def parse_json(text: str | None, anchor: str | None = None, lone: frozenset[str] = frozenset()) -> list[tuple[str, list[int], list[tuple[str, str]]]]:
-    """The pieces (grp, ords, leaves) of one JSON text in document order; none if it isn't complete JSON."""
-    if text is None:
-        return []
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
+    """The pieces (grp, ords, leaves) of one JSON text in document order; none if it isn't complete JSON.
+
+    The events are read once: every leaf becomes a triple of its group and ordinals, path and value, and triples of one row stand together.
+    """
+    read = None if text is None else events(text, anchor is not None or bool(lone))
+    if read is None:
         return []
-    if anchor is not None:
-        value = _stripped(value, anchor)
-    rows: dict[tuple[str, tuple[int, ...]], dict[str, str]] = {}
-    if isinstance(value, dict):
-        rows[("", ())] = {}
-    for group, ords, path, leaf in triples(value, lone=lone):
-        row = rows.setdefault((group, ords), {})
-        if path:
-            row.setdefault(path, leaf)
-    return [(group, list(ords), list(leaves.items())) for (group, ords), leaves in rows.items()]
+    kinds, values = read
+    rows: dict[tuple[str, tuple[int, ...]], list[tuple[str, str]]] = {}
+    stack: list[list] = []  # [is an object, group, path or next place, ordinals, key]
+    i, end = (_anchored(kinds, values, anchor) if anchor is not None else 0), len(kinds)
+    while i < end:
+        kind, value = kinds[i], values[i]
+        i += 1
+        if kind == "k":
+            stack[-1][4] = value.lower()
+            continue
+        if kind in "}]":
+            stack.pop()
+            if not stack:
+                break
+            continue
+        if not stack:
+            if kind == "{":
+                rows[("", ())] = []
+                stack.append([True, "", "", (), ""])
+            elif kind == "[":
+                stack.append([False, "", 0, (), ""])
+            continue
+        is_object, group, at, ords, key = stack[-1]
+        if is_object:
+            path = f"{at}.{key}" if at else key
+            full = f"{group}.{path}" if group else path
+            if kind == "t":
+                if full in lone:
+                    continue  # its own events stand for it
+                value, i = value
+            if kind == "[":
+                stack.append([False, full, 0, ords, ""])
+            elif kind == "{":
+                if full in lone:
+                    rows.setdefault((full, (*ords, 0)), [])
+                    stack.append([True, full, "", (*ords, 0), ""])
+                else:
+                    stack.append([True, group, path, ords, ""])
+            elif value is not None:
+                rows.setdefault((group, ords), []).append((path, value))
+            continue
+        stack[-1][2] = at + 1
+        if kind == "t":
+            value, i = value
+        elif kind == "v" and value is None:
+            continue
+        place = (*ords, at)
+        row = rows.setdefault((group, place), [])
+        if kind == "{":
+            stack.append([True, group, "", place, ""])
+        elif kind == "[":
+            stack.append([False, group, 0, place, ""])
+        else:
+            row.append(("value", value))
+    return [(group, list(ords), leaves) for (group, ords), leaves in rows.items()]
 
 
 def json_pieces(df: DataFrame, owner: str, text: str, anchor: str | None = None, lone: tuple[str, ...] = ()) -> DataFrame:
     """Pieces (owner, grp, ords, leaves) of a column of JSON text of any shape.
 
     anchor: the key (lower case) of the object that counts as the record; objects, lists and JSON texts
-    wrapped around it are taken off.  Of keys that differ in case only, the first one counts.  lone: paths where a single object stands for an array of one, and
+    wrapped around it are taken off, however deep.  Keys that differ in case only, or are repeated, all have their
+    leaves; a table shows the first.  lone: paths where a single object stands for an array of one, and
     where the array may be given as JSON text.  Keys are folded to lower case.  Text that is null, empty or
     not complete JSON has no pieces.  Works in Arrow batches, without a shuffle.
     """
@@ -237,7 +315,10 @@ def pivot(pieces: DataFrame, group: str, leaves: list[tuple[str, T.DataType]], n
     called owner, parent_pos or pos get the prefix `leaf_`.
     """
     last = F.coalesce(F.try_element_at("ords", F.lit(-1)), F.lit(0)).cast("bigint")
-    found = F.map_from_entries(F.transform("leaves", lambda x: F.struct(x["path"], x["value"])))
+    names = F.transform("leaves", lambda y: y["path"])
+    once = F.filter("leaves", lambda x, i: F.array_position(names, x["path"]) == i + 1)
+    first = F.when(F.size(F.array_distinct(names)) == F.size("leaves"), F.col("leaves")).otherwise(once)
+    found = F.map_from_entries(F.transform(first, lambda x: F.struct(x["path"], x["value"])))
     rows = pieces.filter(F.col("grp") == group).select("owner", F.slice("ords", 1, F.greatest(F.size("ords") - 1, F.lit(0))).alias("parent_pos"), last.alias("pos"), found.alias("__found"))
     taken = {"owner", "parent_pos", "pos"}
     out = []
@@ -250,12 +331,15 @@ def pivot(pieces: DataFrame, group: str, leaves: list[tuple[str, T.DataType]], n
     return rows.select("owner", "parent_pos", "pos", *out)
 
 
-def shred(df: DataFrame, owner: str, columns: list[str]) -> dict[str, DataFrame]:
+def shred(df: DataFrame, owner: str, columns: list[str], stored: bool = False) -> dict[str, DataFrame]:
     """Flat tables for the struct and array columns, by the path of their repeated ancestor.
 
+    stored: the pieces are checkpointed first, so all tables come of one scan.
+
     Each has owner (the record), parent_pos and pos beside its leaves, so children join their parents on
     owner and ords.  Repeated deliveries of a record are kept; drop them with distinct() on what you need.
     An empty input gives empty tables with the same columns.
     """
     pieces = struct_pieces(df, owner, columns)
+    pieces = cut(pieces) if stored else pieces
     return {group: pivot(pieces, group, leaves) for group, leaves in groups_of(df.schema, columns).items()}

@@ -1,5 +1,5 @@
 """Registered queries, by subject."""
 
-from corvane.plans import library, records
+from corvane.plans import library, records, works
 
-MODULES = [records, library]
+MODULES = [records, library, works]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import context, evidence, identify, paths, scoring, titles
@@ -166,11 +166,24 @@ def music_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode(titles.artist_and_title(F.col("t"))).alias("pos", "q")).select("id", "pos", "q.artist", "q.title")
 
 
-@query()
+_QF = "trim(replace(replace(replace({0}, '.', ' '), '_', ' '), '  ', ' '))"
+
+
+@query(
+    _ITEM
+    + rf""", hint as (select id, 10000 + j o, h from (select id, j, {_QF.format("d")} h from (select id, unnest(list_reverse(list_filter(string_split(regexp_replace(path, '/?[^/]*$', ''), '/'), lambda x: x <> ''))[:4]) d, unnest(range(4)) j from item) where d is not null) where h <> '' and not regexp_full_match(lower(h), 'season 0?[12]|s0?[12]|s[0-9]{{0,5}}')),
+src as (select id, 0 o, trim(parsed.raw_title) t from item union all select id, 100 + i, trim(x) from (select id, unnest(content_evidence.title_candidates) x, unnest(range(len(content_evidence.title_candidates))) i from item) union all select id, o, trim(h) from (select *, row_number() over (partition by id, lower(h) order by o) k from hint) where k = 1),
+q as (select *, {_QF.format("t")} f from src where t <> ''), w as (select *, list_filter(string_split_regex(f, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') ws from q),
+nw as (select *, list_filter(ws, lambda x: lower(x) not in ('1080p','720p','2160p','4k','webrip','web-dl','bluray','brrip','x264','x265','h264','h265','hevc','aac','dts','hdr','dv')) nws from w),
+b as (select *, array_to_string(nws, ' ') bare, array_to_string(list_filter(nws, lambda x: not regexp_matches(x, '^(19|20)[0-9]{{2}}$') and not regexp_matches(lower(x), '^s[0-9]{{2}}e[0-9]{{2}}$')), ' ') idf from nw),
+v as (select id, o, unnest([t, f, bare, {_QF.format("bare")}, idf, {_QF.format("idf")}]) x, unnest(range(6)) k from b), u as (select id, o, k, trim(x) x from v where trim(x) <> ''),
+d as (select *, row_number() over (partition by id, lower(x) order by o, k) r from u)
+select id, (row_number() over (partition by id order by o, k) - 1)::int pos, x form from d where r = 1"""
+)
 def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All forms to look each item up by: of its title, of titles seen in its content, and of its folders."""
-    rows = items(spark, sf_dir, "id", "path", F.col("parsed.raw_title").alias("t"), F.col("content_evidence.title_candidates").alias("seen"))
-    return rows.select("id", F.posexplode(titles.query_plan(F.col("t"), F.col("seen"), paths.ancestors(F.col("path"), 4))).alias("pos", "form"))
+    plan = titles.query_plan(F.col("parsed.raw_title"), F.col("content_evidence.title_candidates"), paths.ancestors(F.col("path"), 4))
+    return items(spark, sf_dir, "id", plan.alias("forms")).select("id", F.posexplode("forms").alias("pos", "form"))
 
 
 # -- scores --------------------------------------------------------------------------------------
@@ -218,24 +231,22 @@ def exact_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(items(spark, sf_dir, "id", "hash"), F.col("hash.full_hash"))
 
 
-@query(
-    """with s as (select doc_id, text, strlen(text) size from documents), a as (select *, count(*) over (partition by size) n from s),
-b as (select *, case when size is not null and n > 1 then md5(text[:100000000]) end h from a)
-select doc_id, size, h is not null has_prefix_hash, h is not null and count(*) over (partition by size, h) > 1 has_full_hash from b where strlen(coalesce(text, '')) <= 65536
-union all select doc_id, size, n > 1 and size is not null, null from a where strlen(coalesce(text, '')) > 65536"""
-)
+_DEPTHS = """with s as (select doc_id, text, strlen(text) size from documents), a as (select *, count(*) over (partition by size) n from s),
+b as (select *, case when size is not null and n > 1 then md5(encode(text)[1:65536]) end h from a)
+select doc_id, size, h is not null has_prefix_hash, h is not null and count(*) over (partition by size, h) > 1 has_full_hash from b"""
+
+
+@query(_DEPTHS)
 def progressive_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each document had to be hashed to tell it from the others (unknown to SQL beyond 64 KiB)."""
+    """How far each document had to be hashed to tell it from the others."""
     hashed = dedup.progressive_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
-    full = F.when(F.coalesce("size", F.lit(0)) <= 65536, F.col("full_hash").isNotNull())
-    return hashed.select(F.col("key").alias("doc_id"), "size", F.col("prefix_hash").isNotNull().alias("has_prefix_hash"), full.alias("has_full_hash"))
+    return hashed.select(F.col("key").alias("doc_id"), "size", F.col("prefix_hash").isNotNull().alias("has_prefix_hash"), F.col("full_hash").isNotNull().alias("has_full_hash"))
 
 
-@query()
+@query(_DEPTHS)
 def progressive_hash_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each document had to be hashed to tell it from the others, long texts among them."""
-    hashed = dedup.progressive_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return hashed.select(F.col("key").alias("doc_id"), "size", F.col("prefix_hash").isNotNull().alias("has_prefix_hash"), F.col("full_hash").isNotNull().alias("has_full_hash"))
+    """The same under its former name, by which longer texts were asked for."""
+    return progressive_hashes(spark, sf_dir)
 
 
 @query("select md5(text) digest, count(*) n, min(doc_id) first, max(doc_id) last from documents where text is not null group by 1 having count(*) > 1")
@@ -289,11 +300,13 @@ def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suffix_sql(x: str) -> str:
-    return " + ".join(f"case when regexp_matches(lower(coalesce({x}, '')), '{'|'.join(parts)}') then {points}::double else 0 end" for parts, points in scoring.SUFFIX_BONUS)
+    points = [("hdr", 0.28), ("dv|dovi|dolby vision", 0.3), ("remux", 0.36), ("atmos", 0.2), ("truehd|dts-hd", 0.16)]
+    return " + ".join(f"case when regexp_matches(lower(coalesce({x}, '')), '{words}') then {n}::double else 0 end" for words, n in points)
 
 
 def _release_sql(x: str) -> str:
-    return "case " + " ".join(f"when regexp_matches(lower(coalesce({x}, '')), '{'|'.join(parts)}') then {points}::double" for parts, points in scoring.RELEASE_TIERS) + " else 0 end"
+    tiers = [("remux|uhd blu|ultra hd blu", 0.48), ("bluray|blu-ray|bdrip", 0.24), ("web-dl|webdl", 0.12), ("webrip", 0.06), ("hdtv", -0.04), ("cam|ts|tc", -0.45)]
+    return "case " + " ".join(f"when regexp_matches(lower(coalesce({x}, '')), '{words}') then {n}::double" for words, n in tiers) + " else 0 end"
 
 
 _SUBS, _TRACKS = "coalesce(ce.subtitles, [])", "coalesce(ce.container.track_titles, [])"
@@ -368,7 +381,7 @@ def first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bare_sql(x: str) -> str:
     form = f"trim(replace(replace(replace({x}, '.', ' '), '_', ' '), '  ', ' '))"
-    noise = ", ".join(f"'{w}'" for w in titles.QUERY_NOISE)
+    noise = "'1080p','720p','2160p','4k','webrip','web-dl','bluray','brrip','x264','x265','h264','h265','hevc','aac','dts','hdr','dv'"
     return f"array_to_string(list_filter(string_split_regex({form}, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '' and lower(x) not in ({noise})), ' ')"
 
 
@@ -454,7 +467,26 @@ def telling_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(evidence.telling_lines(evidence.spoken_lines(F.col("text")))).alias("pos", "line"))
 
 
-@query()
+# The forms of lines that name a title, as SQL has them; written out so that a slip in the engine's shows.
+_LINE_FORMS = [
+    r"(?i)^previously on\s+(.+)$", r"(?i)^last time on\s+(.+)$", r"(?i)^you(?:''re| are) watching\s+(.+)$", r"(?i)^watching\s+(.+)$", r"(?i)^from the series\s+(.+)$", r"(?i)^(.+?)\s*-\s*S\d{1,2}E\d{1,3}\b",
+    r"(?i)^(.+?)\s+season\s+\d{1,2}\s+episode\s+\d{1,3}\b", r"(?i)^(.+?)\s+ep(?:isode)?\s+\d{1,3}\b", r"""^["''“《](.+?)["''”》]\s*(?:第\s*\d+\s*集|episode\s*\d+|ep\s*\d+|s\d{1,2}e\d{1,3})""",
+    r"^(.+?)\s*[·:：]\s*(?:第\s*\d+\s*集|episode\s*\d+|ep\s*\d+|s\d{1,2}e\d{1,3})", r"^(.+?)\s*前情提要$", r"^(.+?)\s*上[一二三四五六七八九0-9]*集回顾$", r"^(.+?)\s*第\s*\d+\s*集$", r"^第\s*\d+\s*集\s*(.+)$",
+]
+_EXTRACTED = ", ".join(f"trim(regexp_extract(l, '{p}', 1))" for p in _LINE_FORMS)
+_TITLE_FORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(trim(x), '^[-:|"'']+|[-:|"'']+$', '', 'g'), '[._]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(
+    _ITEM
+    + rf""", c as (select id, content_evidence c from item where content_evidence is not null),
+sub as (select id, unnest(c.subtitles) s, unnest(range(len(c.subtitles))) i from c), ln as (select id, i, unnest(s.sample_lines) l, unnest(range(len(s.sample_lines))) k from sub),
+raw as (select id, 0 o, 0 i, 0 k, 0 m, coalesce(c.container.title, '') x from c union all select id, 1, unnest(range(len(c.container.chapters))), 0, 0, unnest(c.container.chapters) from c union all select id, 2, unnest(range(len(c.title_candidates))), 0, 0, unnest(c.title_candidates) from c
+  union all select id, 3, i, unnest(range(len(s.title_candidates))), 0, unnest(s.title_candidates) from sub union all select id, 4, i, k, m, x from (select id, i, k, unnest([{_EXTRACTED}]) x, unnest(range({len(_LINE_FORMS)})) m from ln where l is not null) where x <> ''),
+f as (select *, {_TITLE_FORM} t from raw where x is not null), g as (select *, trim(regexp_replace(regexp_replace(lower(t), '[·:：\-_''"“”‘’《》()\[\]]', ' ', 'g'), '\s+', ' ', 'g')) key from f where len(string_split(t, ' ')) <= 10 and strlen(t) <= 64),
+d as (select *, row_number() over (partition by id, key order by o, i, k, m) r from g where key <> '')
+select id, (row_number() over (partition by id order by o, i, k, m) - 1)::int pos, t title from d where r = 1"""
+)
 def content_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that an item's content names, each once: of its container, chapters, subtitles and lines."""
     c = F.col("content_evidence")
@@ -463,51 +495,59 @@ def content_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.flatten(F.transform(subs, lambda s: F.coalesce(s["title_candidates"], none)))
     spoken = F.flatten(F.transform(F.flatten(F.transform(subs, lambda s: F.coalesce(s["sample_lines"], none))), evidence.titles_in))
     every = F.concat(F.array(F.coalesce(c["container"]["title"], F.lit(""))), F.coalesce(c["container"]["chapters"], none), F.coalesce(c["title_candidates"], none), F.coalesce(listed, none), F.coalesce(spoken, none))
-    rows = items(spark, sf_dir, "id", "content_evidence").filter("content_evidence is not null")
-    return rows.select("id", F.posexplode(evidence.title_aliases(F.array_compact(every))).alias("pos", "title"))
+    rows = items(spark, sf_dir, "id", F.when(c.isNotNull(), evidence.title_aliases(F.array_compact(every))).alias("titles")).filter("titles is not null")
+    return rows.select("id", F.posexplode("titles").alias("pos", "title"))
 
 
 # -- plans and reports ---------------------------------------------------------------------------
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_items(spark: SparkSession, sf_dir: str, *others: Column) -> DataFrame:
+    """The items with all that names are made of."""
     more = [F.col("scraped.episode_name").alias("ep_name"), *[F.col(f"scraped.{c}").alias(c) for c in ("artist", "album", "author")], F.col("parsed.media_suffix").alias("media_suffix")]
-    return dedup.judged(table(spark, sf_dir, "media_item"), *more)
+    return dedup.judged(table(spark, sf_dir, "media_item"), *more, *others)
 
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+-\s+', ' - ', 'g'), '\s+-\s*$', '', 'g'), '^\s*-\s+', '', 'g'), '  +', ' ', 'g')"
 
 
-@query(
-    _ITEM
-    + _TRUST
-    + r""", n as (select id, path, lower(regexp_extract(path, '[^/]\.([^./]*)$', 1)) ext, regexp_replace(path, '/?[^/]*$', '') dir, lpad(sn::varchar, greatest(2, length(sn::varchar))::int, '0') s2, lpad(ep::varchar, greatest(2, length(ep::varchar))::int, '0') e2, title, y, s, media_type from pref),
-m as (select *, case when media_type = 'Movie' then coalesce(title, '') || ' (' || coalesce(y::varchar, '') || ')' when media_type in ('TvShow', 'Strm') then coalesce(title, '') || ' - S' || coalesce(s2, '') || 'E' || coalesce(e2, '') || ' - ' || coalesce(s.episode_name, '')
-    when media_type = 'Music' then coalesce(s.artist, '') || ' - ' || coalesce(s.album, '') || ' - ' || coalesce(title, '') when media_type = 'Novel' then coalesce(s.author, '') || ' - ' || coalesce(title, '') end raw from n),
+_RENAMES = (
+    r""", n as (select id, path, regexp_extract(path, '[^/]\.([^./]*)$', 1) ext, regexp_replace(path, '/?[^/]*$', '') dir, lpad(sn::varchar, greatest(2, length(sn::varchar))::int, '0') s2, lpad(ep::varchar, greatest(2, length(ep::varchar))::int, '0') e2, title, y, s, media_type from pref),
+m as (select *, case when media_type in ('TvShow', 'Strm') then coalesce(title, '') || ' - S' || coalesce(s2, '') || 'E' || coalesce(e2, '') || ' - ' || coalesce(s.episode_name, '')
+    when media_type = 'Music' then coalesce(s.artist, '') || ' - ' || coalesce(s.album, '') || ' - ' || coalesce(title, '') when media_type = 'Novel' then coalesce(s.author, '') || ' - ' || coalesce(title, '') else coalesce(title, '') || ' (' || coalesce(y::varchar, '') || ')' end raw from n),
 c as (select *, """
     + _CLEAN.format(_CLEAN.format(_CLEAN.format(r"regexp_replace(regexp_replace(regexp_replace(raw, '\(\s*\)', '', 'g'), '\[\s*\]', '', 'g'), '  +', ' ', 'g')")))
     + r""" x from m),
 d as (select id, path old_path, dir || '/' || nullif(regexp_replace(regexp_replace(trim(replace(regexp_replace(x, '(^|[^A-Za-z0-9])S(E\d{2}\b)', '\1\2', 'g'), '..', '.')), '[\s.]+$', ''), '^[\s.]+', ''), '') || case when ext <> '' then '.' || ext else '' end new_path from c),
 p as (select * from d where new_path is not null and new_path <> old_path)
-select id, old_path, new_path, count(*) over (partition by new_path) wanted, new_path in (select path from item where path is not null) and new_path not in (select old_path from p where old_path is not null) occupied from p"""
+"""
 )
-def rename_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New names by the templates of each kind, with how many want each and whether it is taken."""
-    return planning.conflicts(planning.rename_plan(_named(spark, sf_dir)), items(spark, sf_dir, "path")).select("id", "old_path", "new_path", "wanted", "occupied")
 
 
 @query(
     _ITEM
     + _TRUST
-    + r""", n as (select id, path, media_type, title, sn, s.artist artist, lower(regexp_extract(path, '[^/]\.([^./]*)$', 1)) ext, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') stem from pref),
-d as (select *, '/library/' || case media_type when 'Movie' then 'Movies' when 'TvShow' then 'TV Shows' when 'Strm' then 'TV Shows' when 'Music' then 'Music' when 'Novel' then 'Books' else 'Other' end
-  || case when media_type = 'Music' then '/' || coalesce(nullif(trim(translate(artist, '<>:"/\|?*', '_________')), ''), 'Unknown Artist') else '' end || '/' || coalesce(nullif(trim(translate(title, '<>:"/\|?*', '_________')), ''), 'Unknown')
-  || case when media_type = 'TvShow' and sn is not null then '/Season ' || lpad(sn::varchar, greatest(2, length(sn::varchar))::int, '0') else '' end dir from n)
-select id, path old_path, dir || '/' || stem || case when ext <> '' then '.' || ext else '' end new_path, 'Move' action from d where path <> dir || '/' || stem || case when ext <> '' then '.' || ext else '' end"""
+    + _RENAMES
+    + "select id, old_path, new_path, count(*) over (partition by new_path) wanted, new_path in (select path from item where path is not null) and new_path not in (select old_path from p where old_path is not null) occupied from p"
 )
+def rename_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New names by the templates of each kind, with how many want each and whether it is taken."""
+    return planning.conflicts(planning.rename_plan(named_items(spark, sf_dir)), items(spark, sf_dir, "path")).select("id", "old_path", "new_path", "wanted", "occupied")
+
+
+_ORGANIZED = r"""
+, ofrom as (select id, path, media_type, title, sn, s.artist artist from pref),
+oto as (select *, '/library/' || case media_type when 'Movie' then 'Movies' when 'TvShow' then 'TV Shows' when 'Strm' then 'TV Shows' when 'Music' then 'Music' when 'Novel' then 'Books' else 'Other' end
+  || case when media_type = 'Music' then coalesce('/' || nullif(trim(translate(artist, '<>:"/\|?*', '_________')), ''), '') else '' end || '/' || coalesce(nullif(trim(translate(title, '<>:"/\|?*', '_________')), ''), 'Unknown')
+  || case when media_type = 'TvShow' and sn is not null then '/Season ' || lpad(sn::varchar, greatest(2, length(sn::varchar))::int, '0') else '' end dir from ofrom),
+og as (select id, path old_path, dir || '/' || regexp_extract(path, '([^/]*)$', 1) new_path from oto)
+"""
+
+
+@query(_ITEM + _TRUST + _ORGANIZED + "select id, old_path, new_path, 'Move' action from og where new_path <> old_path")
 def organize_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where items belong in a library sorted by kind, title and season."""
-    return planning.organize_plan(_named(spark, sf_dir), "/library")
+    return planning.organize_plan(named_items(spark, sf_dir), "/library")
 
 
 def _tag(name: str, value: str) -> str:
@@ -534,8 +574,7 @@ select id, concat_ws(chr(10), '<?xml version="1.0" encoding="UTF-8" standalone="
 )
 def sidecar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of a metadata file for each looked-up item."""
-    rows = items(spark, sf_dir, "id", "media_type", "scraped")
-    return rows.select("id", planning.sidecar(F.col("media_type"), F.col("scraped")).alias("text")).filter("text is not null")
+    return items(spark, sf_dir, "id", planning.sidecar(F.col("media_type"), F.col("scraped")).alias("text")).filter("text is not null")
 
 
 @query(
@@ -545,7 +584,7 @@ def sidecar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items each stage of the pipeline has reached."""
-    return planning.stage_report(items(spark, sf_dir))
+    return planning.stage_report(table(spark, sf_dir, "media_item"))
 
 
 @query(_ITEM + "select id, path from item where contains(lower(regexp_extract(path, '([^/]*)$', 1)), 'harbor') or contains(lower(coalesce(parsed.raw_title, '')), 'harbor') or contains(lower(coalesce(scraped.title, '')), 'harbor')")

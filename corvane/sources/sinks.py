@@ -6,7 +6,7 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,29 @@ def envelope(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("1").alias("schema_version"), F.lit(kind).alias("kind"), data.alias("data")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+# The kinds of reports by command.
+REPORTS = {"scan": "pipeline_report", "scrape": "pipeline_report", "analyze": "analysis_report", "rename": "execution_report", "dedup": "execution_report", "organize": "execution_report"}
+
+
+def report(spark: SparkSession, command: str, summary: DataFrame, entries: DataFrame, **more: object) -> DataFrame:
+    """One JSON text: the report of a command, with its summary (one row) and its entries in the order of their first column.
+
+    All entries go into one text, so this is for the results that a person reads; use envelope() for one text per row.
+    """
+    listed = entries.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in entries.columns]))).alias("entries"))
+    row = summary.select(F.struct("*").alias("summary")).join(F.broadcast(listed))  # one row each
+    head = [F.lit("1").alias("schema_version"), F.lit(REPORTS[command]).alias("kind"), F.lit(command).alias("command")]
+    return row.select(F.to_json(F.struct(*head, "summary", "entries", *[F.lit(v).alias(k) for k, v in more.items()]), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_log(df: DataFrame, folder: str) -> None:
     """Appends rows to a log of operations, each with the time of the write."""
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(folder)
 
 
+OUTCOMES = ("executed", "blocked", "guarded", "skipped", "errors")
+
+
 def carry_out(plans: DataFrame, dry_run: bool = True) -> dict[str, int]:
     """Moves or links files as a plan (old_path, new_path, action) says, one by one as they arrive, and counts the outcomes.
 
@@ -29,18 +47,76 @@ def carry_out(plans: DataFrame, dry_run: bool = True) -> dict[str, int]:
     counts = {"planned": 0, "done": 0, "errors": 0}
     for row in plans.select("old_path", "new_path", "action").toLocalIterator():
         counts["planned"] += 1
-        old, new = Path(row.old_path), Path(row.new_path)
-        if dry_run:
-            continue
-        if not old.exists() or new.exists():
-            counts["errors"] += 1
-            continue
+        if not dry_run:
+            counts["done" if _moved(row.old_path, row.new_path, row.action) else "errors"] += 1
+    return counts
+
+
+def _moved(old_path: str, new_path: str, action: str = "Move") -> bool:
+    old, new = Path(old_path), Path(new_path)
+    if not old.exists() or new.exists():
+        return False
+    try:
         new.parent.mkdir(parents=True, exist_ok=True)
-        if row.action == "HardLink":
+        if action == "HardLink":
             os.link(old, new)
-        elif row.action == "SymLink":
+        elif action == "SymLink":
             new.symlink_to(old)
         else:
             shutil.move(old, new)
-        counts["done"] += 1
+    except OSError:
+        return False
+    return True
+
+
+def rename(plans: DataFrame, dry_run: bool = True) -> dict[str, int]:
+    """Renames files, then their subtitles, then their folders, the deepest first, and counts the outcomes.
+
+    plans: old_path, new_path, subtitles and folders (arrays of old_path and new_path), conflicts (array).  Plans with conflicts are
+    blocked as a whole.  A plan whose paths are equal only renames folders.  With dry_run all others count as executed.
+    """
+    counts = dict.fromkeys(OUTCOMES, 0)
+    folders: dict[str, str] = {}
+    for row in plans.select("old_path", "new_path", "subtitles", "folders", "conflicts").toLocalIterator():
+        if row.conflicts:
+            counts["blocked"] += 1
+            continue
+        moves = ([(row.old_path, row.new_path)] if row.old_path != row.new_path else []) + [(s.old_path, s.new_path) for s in row.subtitles or []]
+        for old, new in moves:
+            counts["executed" if dry_run or _moved(old, new) else "errors"] += 1
+        folders |= {f.old_path: f.new_path for f in row.folders or []}
+    for old in sorted(folders, key=lambda p: (-p.count("/"), p)):
+        counts["executed" if dry_run or _moved(old, folders[old]) else "errors"] += 1
     return counts
+
+
+def remove_duplicates(groups: DataFrame, action: str = "Trash", target: str = "", dry_run: bool = True) -> dict[str, int]:
+    """Puts away the files of groups (path, is_keep, guarded) that aren't kept, and counts the outcomes.
+
+    action: `Trash` and `Move` move them into the target folder, `Report` only counts.  Files of guarded groups stay, unless only a report is
+    asked for.  Without a target they are skipped.
+    """
+    counts = dict.fromkeys(OUTCOMES, 0)
+    for row in groups.filter("not is_keep").select("path", "guarded").toLocalIterator():
+        if row.guarded and action != "Report":
+            counts["guarded"] += 1
+        elif dry_run or action == "Report":
+            counts["executed"] += 1
+        elif not target:
+            counts["skipped"] += 1
+        else:
+            counts["executed" if _moved(row.path, str(Path(target, Path(row.path).name))) else "errors"] += 1
+    return counts
+
+
+def remove_empty_folders(plans: DataFrame) -> int:
+    """Removes the folders that moved files (old_path) left empty, the last in order first, and counts them."""
+    gone = 0
+    folders = plans.select(F.regexp_replace("old_path", r"/?[^/]*$", "").alias("dir")).distinct().orderBy(F.desc("dir"))
+    for row in folders.toLocalIterator():
+        try:
+            os.rmdir(row.dir)
+            gone += 1
+        except OSError:
+            continue
+    return gone
