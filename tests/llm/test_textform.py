@@ -24,7 +24,7 @@ def test_disguises(text, plain):
     assert plain_form(plain) == plain
 
 
-@pytest.mark.parametrize("text", ["Plain title - 2", "Мост", "星空：海辺！", "double  space", "", "Hôtel", "Idle Α Storm"])
+@pytest.mark.parametrize("text", ["Plain title - 2", "Мост", "星空：海辺！", "double  space", "", "Hôtel", "Idle Α Storm", "Ьatman", "ᏣᎳᎩ", "zяmn"])
 def test_plain_stays(text):
     assert plain_form(text) == text
 
