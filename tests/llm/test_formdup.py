@@ -1,4 +1,4 @@
-from corvane.llm.formdup import collapse, copies
+from corvane.llm.formdup import collapse, copies, nested_structure
 
 LINES = [
     (1, "raw_title=Two Rivers; path=/a/b.mkv; year=1990"),
@@ -29,3 +29,14 @@ def test_long_line(spark):
     long = "raw_title=" + "ab " * 100_000
     df = spark.createDataFrame([(1, long), (2, long.upper())], "id bigint, line string")
     assert [tuple(r) for r in copies(df, "id", "line").collect()] == [(1, 2)]
+
+
+def test_nested_records(spark):
+    lines = [
+        '{"a": {"x": 1, "y": [1, {"p": "Q", "r": null}]}, "b": "c"}', '{"B": " C.", "A": {"Y": ["1", {"R": "", "p": "q"}], "x ": "1"}}', '{"a": {"x": 1, "y": [{"p": "Q", "r": null}, 1]}, "b": "c"}',
+        '{"a": {"x": 1, "y": [1, 1]}}', '{"a": {"x": 1, "y": [1]}}', '{"a": {"x": 1, "x": 1, "y": [1]}}', '{"a": {}}', '{"a": []}', '{"a": ""}', "a=", '{"a": "x [1]"}', "A = x1", '{"a": {"x": 1, "y": [1]}', '{"a": "x1y1"}',
+        '{"k": ' * 2000 + "1" + "}" * 2000, '{"K": ' * 2000 + '"1"' + "}" * 2000, '{"a": ["straße"]}', '{"a": ["STRASSE"]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "key bigint, line string")
+    assert {tuple(r) for r in copies(df, "key", "line").collect()} == {(0, 1), (4, 5), (8, 9), (10, 11), (12, 13), (14, 15)}  # a line that is no whole object is read as text
+    assert nested_structure('{"a": 1}') is None and nested_structure("[{}]") is None and nested_structure(None) is None and nested_structure('{"a": [}') is None
