@@ -128,16 +128,33 @@ def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.representatives(*_duplicates(spark, sf_dir), MERGED_FIELDS, values=True).filter("field <> 'record'")
 
 
-def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of scraped title, year and original title judged true for each group, by the sources' inferred quality."""
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sources say of each group's title, year and original title."""
     items = survivor.valid_items(table(spark, sf_dir, "duplicate_item")).select("content_id", "item_index")
     fields = ["title", "year", "title_original"]
     files = table(spark, sf_dir, "media_item").filter("scraped is not null").select(F.col("id").alias("item_index"), F.col("scraped.source").alias("source"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f"scraped.{f}").cast("string")).alias("value")) for f in fields])).alias("c"))
-    claims = items.join(files.filter("c.value <> ''"), "item_index").select(F.col("content_id").alias("entity"), "c.field", "c.value", "source")
-    judged, _ = survivor.truth(claims)
+    return items.join(files.filter("c.value <> ''"), "item_index").select(F.col("content_id").alias("entity"), "c.field", "c.value", "source")
+
+
+def p6_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of scraped title, year and original title judged true for each group, by the sources' inferred quality."""
+    judged, _ = survivor.truth(_claims(spark, sf_dir))
     return judged.filter("probability > 0.5").select(F.col("entity").alias("content_id"), "field", "value", F.round("probability", 6).alias("probability"), "stated", "denied")
 
 
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inferred quality of each source."""
+    _, quality = survivor.truth(_claims(spark, sf_dir))
+    return quality.select("source", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
+
+
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the value chosen by the fixed ladder is the one that the model finds likeliest, by field."""
+    judged, _ = survivor.truth(_claims(spark, sf_dir))
+    chosen = p6_merged(spark, sf_dir).filter("field in ('title', 'year')").withColumnRenamed("content_id", "entity")
+    return survivor.agreement(chosen, judged.filter("field in ('title', 'year')"))
+
+
 # -- 7: filling containers -----------------------------------------------------------------------
 
 
@@ -215,7 +232,7 @@ def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject", F.round("weight", 3).alias("weight")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p7_packed, p7_fill, p8_mix, p8_shares, p8_filled, p8_filled_shares, p9_found, p9_mixtures, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_titles, p3_found, p3_groups, p4_found, p4_records, p5_found, p5_matches, p5_best_files, p6_found, p6_merged, p6_truth, p6_sources, p6_agreement, p7_packed, p7_fill, p8_mix, p8_shares, p8_filled, p8_filled_shares, p9_found, p9_mixtures, p9_corpus)}
 
 _LINES = r"""
 with told as (
@@ -261,7 +278,28 @@ link as (select distinct a.class_id a, b.class_id b from pair join class a on a.
 both_ways as (select a, b from link union select b, a from link),
 reach as (select class_id a, class_id b from class union select r.a, l.b from reach r join both_ways l on l.a = r.b)
 """
+
+
+def _model(rounds: int = 8) -> str:
+    """The rounds of expectation-maximisation, one after the other."""
+    out = """
+with valid as (select distinct content_id, item_index from duplicate_item where content_id is not null and item_index is not null),
+said as (select distinct id, scraped.source s, unnest(['title', 'year', 'title_original']) field, trim(unnest([scraped.title, scraped."year"::varchar, scraped.title_original])) v from media_item where scraped is not null),
+told as (select distinct content_id e, field, v, s from valid join said on id = item_index where v <> '' and s is not null),
+seen as materialized (select v.e, v.field, v.v, sp.s, t.s is not null states from (select distinct e, field, v from told) v join (select distinct e, field, s from told) sp on sp.e = v.e and sp.field = v.field left join told t on t.e = v.e and t.field = v.field and t.v = v.v and t.s = sp.s),
+q0 as (select distinct s, 0.8::double sens, 0.9::double spec from seen)"""
+    for i in range(rounds + 1):
+        out += f""",
+j{i} as materialized (select e, field, v, 1 / (1 + exp(-(sum(ln(case when states then sens else 1 - sens end) - ln(case when states then 1 - spec else spec end)) + ln(0.4::double / 0.6::double)))) p, sum(states::int) stated, sum((not states)::int) denied from seen join q{i} using (s) group by e, field, v)"""
+        if i < rounds:
+            out += f""",
+q{i + 1} as materialized (select s, (sum(p * states::int) + 8) / (sum(p) + 10) sens, (sum((1 - p) * (1 - states::int)) + 9) / (sum(1 - p) + 10) spec from seen join j{i} using (e, field, v) group by s)"""
+    return out
+
+
 ORACLE = {
+    "p6_truth": _model() + " select e content_id, field, v as value, round(p, 6) probability, stated::bigint stated, denied::bigint denied from j8 where p > 0.5",
+    "p6_sources": _model() + " select s source, round(sens, 6) sensitivity, round(spec, 6) specificity from q8",
     "p3_found": _WORD_SETS + "select a_id, b_id from pair",
     "p3_groups": _WORD_SETS + "select id, (select min(b) from reach where a = class_id) group_id, (select count(*) from both_ways l where l.a = class_id) n_links from class",
     "p4_found": _LINES + "select first_id, line_id copy_id from grouped where line_id > first_id",

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from corvane.session import cut
 
 
+#: Sources whose quality is broadcast, at most (about a megabyte).
+FEW_SOURCES = 10_000
+
+
 def known(number: Column) -> Column:
     """NaN as null."""
     number = number.cast("double")
@@ -81,9 +85,9 @@ def truth(claims: DataFrame, rounds: int = 8, prior_true: tuple[float, float] =
     Returns (entity, field, value, probability, stated, denied) for every claimed value, and the sources' quality
     (source, sensitivity, specificity).  All values with a probability over one half may be kept.
 
-    The observations are counted once: for each value, how many sources of each kind state or deny it.  They are written
-    to a checkpoint and the rounds read that.  A round shuffles one partial sum per source and partition; sources are as
-    many as the table of quality has rows, which is joined, and broadcast only where the optimizer finds it small.
+    The observations are written once to a checkpoint, parted by value, and the rounds read that.  Sources are counted first: up to
+    FEW_SOURCES, their quality is broadcast and no round shuffles by source; with more it is joined.  A round shuffles one partial sum per
+    source and partition.
     """
     told = claims.filter("entity is not null and field is not null and value is not null and source is not null").select("entity", "field", "value", "source").distinct()
     speakers = told.select("entity", "field", "source").distinct()
@@ -91,11 +95,13 @@ def truth(claims: DataFrame, rounds: int = 8, prior_true: tuple[float, float] =
     seen = values.join(speakers, ["entity", "field"]).join(told.withColumn("states", F.lit(True)), ["entity", "field", "value", "source"], "left").withColumn("states", F.coalesce("states", F.lit(False)))
     seen = cut(seen)
     share = prior_true[0] / sum(prior_true)
-    quality = seen.select("source").distinct().select("source", F.lit(sensitivity[0] / sum(sensitivity)).alias("sensitivity"), F.lit(specificity[0] / sum(specificity)).alias("specificity"))
+    sources = seen.select("source").distinct()
+    few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    quality = sources.select("source", F.lit(sensitivity[0] / sum(sensitivity)).alias("sensitivity"), F.lit(specificity[0] / sum(specificity)).alias("specificity"))
     for i in range(rounds + 1):
         p_true = F.when(F.col("states"), F.col("sensitivity")).otherwise(1 - F.col("sensitivity"))
         p_false = F.when(F.col("states"), 1 - F.col("specificity")).otherwise(F.col("specificity"))
-        judged = seen.join(quality, "source").groupBy("entity", "field", "value").agg(F.sum(F.log(p_true) - F.log(p_false)).alias("odds"), F.sum(F.col("states").cast("int")).alias("stated"), F.sum((~F.col("states")).cast("int")).alias("denied"))
+        judged = seen.join(F.broadcast(quality) if few else quality, "source").groupBy("entity", "field", "value").agg(F.sum(F.log(p_true) - F.log(p_false)).alias("odds"), F.sum(F.col("states").cast("int")).alias("stated"), F.sum((~F.col("states")).cast("int")).alias("denied"))
         judged = judged.select("entity", "field", "value", (1 / (1 + F.exp(-(F.col("odds") + F.log(F.lit(share / (1 - share))))))).alias("probability"), "stated", "denied")
         if i == rounds:
             return judged, quality
@@ -104,3 +110,17 @@ def truth(claims: DataFrame, rounds: int = 8, prior_true: tuple[float, float] =
         counted = both.groupBy("source").agg(F.sum(p * s).alias("tp"), F.sum(p).alias("t"), F.sum((1 - p) * (1 - s)).alias("tn"), F.sum(1 - p).alias("f"))
         quality = cut(counted.select("source", ((F.col("tp") + sensitivity[0]) / (F.col("t") + sum(sensitivity))).alias("sensitivity"), ((F.col("tn") + specificity[0]) / (F.col("f") + sum(specificity))).alias("specificity")))
     raise AssertionError
+
+
+def agreement(chosen: DataFrame, judged: DataFrame) -> DataFrame:
+    """(field, groups, same, other, only_chosen, only_judged): how often a choice is the value that the model finds likeliest.
+
+    chosen: (entity, field, value), one value each.  judged: (entity, field, value, probability); of equal probabilities the
+    choice counts as the likeliest if it is one of them.
+    """
+    likely = judged.groupBy("entity", "field").agg(F.max("probability").alias("best"))
+    held = chosen.select("entity", "field", F.trim("value").alias("value")).join(judged.select("entity", "field", "value", "probability"), ["entity", "field", "value"], "left")
+    both = held.join(likely, ["entity", "field"], "full")
+    has, told = F.col("value").isNotNull(), F.col("best").isNotNull()
+    same = F.coalesce(F.col("probability") >= F.col("best") - 1e-9, F.lit(False))
+    return both.groupBy("field").agg(F.count("*").alias("groups"), F.count_if(same).alias("same"), F.count_if(has & told & ~same).alias("other"), F.count_if(has & ~told).alias("only_chosen"), F.count_if(~has & told).alias("only_judged"))

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from corvane.llm.survivor import representatives, strategy, truth, valid_items
+from corvane.llm.survivor import agreement, representatives, strategy, truth, valid_items
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -38,3 +38,21 @@ def test_truth(spark):
     q = {r.source: r for r in quality.collect()}
     assert q["good"].sensitivity > 0.9 > 0.3 > q["liar"].sensitivity
     assert q["good"].specificity > q["liar"].specificity
+
+
+def test_agreement(spark):
+    judged = spark.createDataFrame([("a", "t", "x", 0.9), ("a", "t", "y", 0.2), ("b", "t", "x", 0.5), ("b", "t", "y", 0.5), ("c", "t", "z", 0.7), ("d", "t", "q", 0.1)], "entity string, field string, value string, probability double")
+    chosen = spark.createDataFrame([("a", "t", "y"), ("b", "t", " y "), ("d", "t", "other"), ("e", "t", "m")], "entity string, field string, value string")
+    assert [tuple(r) for r in agreement(chosen, judged).collect()] == [("t", 5, 1, 2, 1, 1)]
+
+
+def test_truth_with_many_sources(spark, monkeypatch):
+    from corvane.llm import survivor
+
+    rows = [(f"e{i}", "f", f"v{i % 3}", f"s{j}") for i in range(20) for j in range(5) if (i + j) % 4]
+    df = spark.createDataFrame(rows, "entity string, field string, value string, source string")
+    told = lambda: sorted((r.entity, r.value, round(r.probability, 9)) for r in survivor.truth(df)[0].collect())
+    few = told()
+    monkeypatch.setattr(survivor, "FEW_SOURCES", 2)
+    assert told() == few
+    assert survivor.truth(df.limit(0))[0].count() == 0
