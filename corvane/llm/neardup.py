@@ -8,14 +8,15 @@ never exceeds that budget for a similar pair, and a trie join under the budget l
 1. Records with equal sets form a class; one of each class goes on.
 2. Words are ordered from rare to frequent.  Similar sets share one of their first |A| - ceil(t |A|) + 1 words,
    which routes them to the trie of that word.  A word in very many sets routes by pairs of words instead: the
-   second common word lies among one more of the first words.  So no trie holds the records of a frequent word alone.
+   second common word lies among one more of the first words.  Pairs in very many sets route by three words, and so on, as
+   counted over all sets, so no trie holds more than `hot` sets but those too small to share another word.
 3. In each trie, node pairs are traversed together from the root, adding up the bits in which they differ, and
    pruned once the budget is exceeded.  All tries of a task are traversed at once, one bit a step, in arrays;
    node pairs of few records are compared outright.
 4. The pairs left, each once, are confirmed on the words themselves.
 
 The words counted as frequent are those in more than total / 200 000 sets, so they are at most 200 000 whatever the
-number of records; they are all that is broadcast.
+number of records, as are the chains of words counted as hot; they are all that is broadcast.
 """
 
 from __future__ import annotations
@@ -44,30 +45,44 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def route(hashes: np.ndarray, starts: np.ndarray, t: float, keys: np.ndarray, counts: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the tries that each set belongs to.
+def chains(hashes: np.ndarray, starts: np.ndarray, t: float, keys: np.ndarray, counts: np.ndarray, hot: int, deeper: list[np.ndarray], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, key, routes) of the chains of one word, of two words, and so on; routes: whether the row goes to the trie of that key.
 
-    hashes: the words of all rows, starts: where each row begins (and the end).  keys, counts: the frequent words.
+    hashes: the words of all rows, starts: where each row begins (and the end).  keys, counts: the frequent words.  deeper:
+    sorted keys of the hot chains of two words, of three and so on; hot chains go on, others end.  most: the longest chains to make.
+
+    Where d words are common, the i-th of them in order lies among the first n - need + i words of a set, as at least need - i follow.  A row
+    that needs no more than d words may have a partner by those alone, so it goes to a hot chain's trie, too.
     """
     sizes = np.diff(starts)
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
     freq = np.where(keys[at] == hashes, counts[at], 0) if len(keys) else np.zeros(len(hashes), np.int64)
     order = np.lexsort((hashes, freq, row))
-    h, f, place = hashes[order], freq[order], _ranges(sizes)
+    h, f, begin = hashes[order], freq[order], starts[:-1]
     need = np.ceil(t * sizes - 1e-9).astype(np.int64)
-    first = sizes - need + 1
-    second = sizes - np.maximum(need, 2) + 1  # where two words are common, the first of them lies here
-    rare = f < hot
-    single = (place < first[row]) & (rare | (need[row] < 2))
-    rows, out = [row[single]], [h[single]]
-    at = np.flatnonzero((place < second[row]) & ~rare)
-    later = second[row[at]] - place[at]  # the other one lies among one more of the first words
-    left, right = np.repeat(at, later), np.repeat(at, later) + 1 + _ranges(later)
-    rows.append(row[left])
-    with np.errstate(over="ignore"):
-        out.append(h[left] * np.int64(-7046029254386353131) ^ (h[right] + np.int64(1442695040888963407)))
-    return np.concatenate(rows), np.concatenate(out)
+    last = np.flatnonzero(_ranges(sizes) < (sizes - need + 1)[row])  # where a chain's last word stands
+    key, is_hot = h[last], f[last] >= hot
+    d = 1
+    while len(last):
+        owner = row[last]
+        yield owner, key, ~is_hot | (need[owner] <= d)
+        if d == most or not is_hot.any():
+            return
+        last, key, owner = last[is_hot], key[is_hot], owner[is_hot]
+        later = np.maximum(sizes[owner] - np.maximum(need[owner], d + 1) + d - (last - begin[owner]), 0)
+        following = np.repeat(last, later) + 1 + _ranges(later)
+        with np.errstate(over="ignore"):
+            key = np.repeat(key, later) * np.int64(-7046029254386353131) ^ (h[following] + np.int64(1442695040888963407))
+        last, d = following, d + 1
+        known = deeper[d - 2] if d - 2 < len(deeper) else key[:0]
+        is_hot = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+
+
+def route(hashes: np.ndarray, starts: np.ndarray, t: float, keys: np.ndarray, counts: np.ndarray, hot: int, deeper: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """(row, key) of the tries that each set belongs to; see chains()."""
+    parts = [(r[m], k[m]) for r, k, m in chains(hashes, starts, t, keys, counts, hot, deeper)] or [(np.zeros(0, np.int64), hashes[:0])]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([k for _, k in parts])
 
 
 def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -127,13 +142,43 @@ def _pairs(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray, same:
         done = upto
 
 
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an Arrow array of lists, and where each list begins (and the end)."""
+    starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), starts - starts[0]
+
+
+def _hot_chains(hashed: DataFrame, t: float, keys: np.ndarray, counts: np.ndarray, hot: int) -> list[np.ndarray]:
+    """The sorted keys of the chains of two words, of three and so on that are in `hot` sets at least; FREQUENT_WORDS of a length at most."""
+    import pyarrow as pa
+
+    deeper: list[np.ndarray] = []
+    while True:
+        sent = hashed.sparkSession.sparkContext.broadcast((keys, counts, deeper))
+        length = len(deeper) + 2
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent, length=length) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    every = list(chains(*_flat(batch.column(0)), t, *sent.value[:2], hot, sent.value[2], length))
+                    k, n = np.unique(every[-1][1], return_counts=True) if len(every) == length else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
+
+        counted = cut(hashed.select("h").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")))
+        least = max(hot, -(-(counted.agg(F.sum("n")).first()[0] or 0) // FREQUENT_WORDS))
+        found = counted.filter(F.col("n") >= least).select("k").toArrow()["k"].to_numpy()
+        if not len(found):
+            return deeper
+        deeper = [*deeper, np.sort(found)]
+
+
 def similar_sets(sets: DataFrame, key: str, words: str, t: float, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """The sets (key, words) whose similarity is at least t: (links, members).
 
     members: (id, class_id) of every record with words, class_id being the smallest key with the same set.
     links: (a, b, common, total) between class ids, a < b, each once.  Together they hold every similar pair; records
     with equal sets are similar and are not listed as links.  Records without a key or without words have no partner.
-    Repeated rows of one key count once.  hot: a word in so many sets routes by pairs.
+    Repeated rows of one key count once.  hot: a word in so many sets routes by pairs, a pair in so many by three words, and so on.
     """
     import pyarrow as pa
 
@@ -144,18 +189,17 @@ def similar_sets(sets: DataFrame, key: str, words: str, t: float, hot: int = 20_
     least = max(16, -(-total // FREQUENT_WORDS))
     counted = classes.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy("h").count().filter(F.col("count") >= least)
     found = sorted((r[0], r[1]) for r in counted.collect())
-    frequent = classes.sparkSession.sparkContext.broadcast((np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)))
+    keys, counts = np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+    hashed = classes.select(F.col("class_id").cast("bigint").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    deeper = _hot_chains(hashed, t, keys, counts, hot) if len(counts) and counts.max() >= hot else []
+    frequent = classes.sparkSession.sparkContext.broadcast((keys, counts, deeper))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
-            starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = starts - starts[0]
-            hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row, out = route(hashes, starts, t, keys, counts, hot)
+            hashes, starts = _flat(batch.column(1))
+            row, out = route(hashes, starts, t, *frequent.value[:2], hot, frequent.value[2])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(ids[row]), pa.array(np.diff(starts)[row].astype(np.int32)), pa.array(sketches(hashes, starts)[row].view(np.int64))], names=["k", "id", "n", "sketch"])
 
@@ -182,7 +226,6 @@ def similar_sets(sets: DataFrame, key: str, words: str, t: float, hot: int = 20_
         if held:
             yield from out(held)
 
-    hashed = classes.select(F.col("class_id").cast("bigint").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     tries = hashed.mapInArrow(routed, "k bigint, id bigint, n int, sketch bigint").repartition("k").sortWithinPartitions("k")
     candidates = tries.mapInArrow(joined, "a bigint, b bigint").distinct()
     one, two = classes.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from corvane.llm import neardup
 from corvane.llm.neardup import groups_of, pairs_of, similar_sets, trie_join
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,3 +80,35 @@ def test_trie_holds_every_pair_in_budget(rows):
     share = 0.3 / 1.7
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if key[i] == key[j] and int(sketch[i] ^ sketch[j]).bit_count() <= share * (size[i] + size[j]) + 1e-9 and min(size[i], size[j]) >= 0.7 * max(size[i], size[j]) - 1e-9}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hot_pairs_of_words_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = {i: {"hot", "pair"} | set(rng.sample([f"m{j}" for j in range(9)], 3)) | {f"r{rng.randrange(400)}" for _ in range(rng.randrange(3))} for i in range(400)}
+    sets |= {1000 + i: {"hot", "pair"} | ({f"x{i}"} if i else set()) for i in range(12)} | {2000 + i: {f"w{(i * 7 + j) % 50}" for j in range(8)} for i in range(50)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, words array<string>")
+    depths = []
+    real = neardup._hot_chains
+    monkeypatch.setattr(neardup, "_hot_chains", lambda *a: depths.append(real(*a)) or depths[-1])
+    for t in (0.5, 0.7, 0.8):
+        links, members = similar_sets(df, "id", "words", t, hot=20)
+        assert {(r.a, r.b) for r in pairs_of(links, members).collect()} == brute(sets, t), t
+    assert max(map(len, depths)) >= 2
+
+
+def test_tries_are_bounded():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(np.concatenate([rng.integers(0, 6, 4), 1000 + rng.integers(0, 30, 8)])).astype(np.int64) for _ in range(3000)]
+    hashes, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    keys, counts = np.unique(hashes, return_counts=True)
+    hot, deeper = 60, []
+    while True:
+        every = list(neardup.chains(hashes, starts, 0.8, keys, counts, hot, deeper, len(deeper) + 2))
+        if len(every) < len(deeper) + 2:
+            break
+        k, n = np.unique(every[-1][1], return_counts=True)
+        if not (n >= hot).any():
+            break
+        deeper.append(k[n >= hot])
+    _, key = neardup.route(hashes, starts, 0.8, keys, counts, hot, deeper)
+    assert np.unique(key, return_counts=True)[1].max() < hot and deeper
