@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,16 +165,24 @@ def slim(a: str, b: str, year_a: int | None, year_b: int | None, kind: int) -> f
 
 
 def _sketch(name: str) -> int:
-    """Parity of the letters (low 32 bits) and of the pairs of letters (high 32 bits) of a name."""
+    """Parity of the letters (low 32 bits) and of the pairs of letters (high 32 bits) of a name.
+
+    An edit changes two letters at most (a replacement), and six pairs (a swap of neighbours, three pairs giving way to three).
+    """
     flat = name.replace(" ", "")
     out = 0
     for c in flat:
         out ^= 1 << (ord(c) % 31)
     for c, d in zip(flat, flat[1:], strict=False):
-        out ^= 1 << (32 + (ord(c) * 31 + ord(d)) % 31)
+        out ^= 1 << (32 + (ord(c) * 7 + ord(d)) % 31)
     return out
 
 
+def _edits(length: np.ndarray) -> np.ndarray:
+    """Edits that confidence() and slim() may admit, at most, between names of which the shorter one has so many letters."""
+    return np.where(length >= 20, 3, np.where(length >= 7, 2, 1))
+
+
 READING = "side int, name string, year int, kind int"
 
 
@@ -227,6 +235,7 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
     partitions, are broadcast and stand beside the readings of the other partitions.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     ordered = cut(_keyed(rows).repartitionByRange("sort").sortWithinPartitions("sort", "side", "name", "year"))
     columns = ["sort", "name", "year", "kind", "mark"]
@@ -243,13 +252,14 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "at", "i", *columns])
 
     edge = ordered.mapInArrow(ends, "part int, at int, i int, sort string, name string, year int, kind int, mark bigint").toArrow().sort_by([("part", "ascending"), ("at", "ascending"), ("i", "ascending")])
-    sent = rows.sparkSession.sparkContext.broadcast({c: edge[c].to_pylist() for c in ["part", "at", *columns]})
+    sides = [edge.filter(pc.equal(edge["at"], at)) for at in (0, 1)]
+    sent = rows.sparkSession.sparkContext.broadcast([{c: x[c].to_pylist() for c in ["part", *columns]} for x in sides])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, edges = TaskContext.get().partitionId(), sent.value
+        part, (heads, tails) = TaskContext.get().partitionId(), sent.value
         done: set[tuple] = set()
-        beside = lambda keep: {c: [edges[c][i] for i in keep] for c in columns}
-        right = beside([i for i, p in enumerate(edges["part"]) if p < part and edges["at"][i] == 1][-window:])
+        upto = bisect_left(tails["part"], part)
+        right = {c: tails[c][max(upto - window, 0) : upto] for c in columns}
         start, waiting = 0, []  # the number of right readings dropped; left readings, and how many right ones stand before each
 
         def pairs(left: pa.RecordBatch, before: np.ndarray) -> pa.RecordBatch:
@@ -258,13 +268,16 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
             group = lambda keys: np.array([k[0] for k in keys], "U1")
             mark, year, kinds = left.column("mark").to_numpy().view(np.uint64), code(years), group(left.column("sort").to_pylist())
             others, other_year, other_kinds = np.array(right["mark"], np.int64).view(np.uint64), code(right["year"]), group(right["sort"])
+            letters = lambda names: np.array([len(n) - n.count(" ") for n in names], np.int64)
+            length, other_length = letters(name), letters(right["name"])
             low, out = np.uint64(0xFFFFFFFF), []
             for step in range(-window, window):
                 at = before - start + step
                 i = np.flatnonzero((at >= 0) & (at < len(others)))
                 j = at[i]
                 x = mark[i] ^ others[j]
-                near = (kinds[i] == other_kinds[j]) & ((year[i] < 0) | (other_year[j] < 0) | (np.abs(year[i] - other_year[j]) <= 1)) & (np.bitwise_count(x & low) <= 6) & (np.bitwise_count(x >> np.uint64(32)) <= 12)
+                most = _edits(np.minimum(length[i], other_length[j]))
+                near = (kinds[i] == other_kinds[j]) & ((year[i] < 0) | (other_year[j] < 0) | (np.abs(year[i] - other_year[j]) <= 1)) & (np.bitwise_count(x & low) <= 2 * most) & (np.bitwise_count(x >> np.uint64(32)) <= 6 * most)
                 for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
                     what = (name[p], years[p], right["name"][q], right["year"][q], right["kind"][q])
                     if what in done:
@@ -294,9 +307,9 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
             drop = (waiting[0][1][0] if waiting else start + len(right["sort"])) - window - start
             if drop > 0:
                 start, right = start + drop, {c: v[drop:] for c, v in right.items()}
-        after = beside([i for i, p in enumerate(edges["part"]) if p > part and edges["at"][i] == 0][:window])
+        begin = bisect_right(heads["part"], part)
         for c in columns:
-            right[c] += after[c]
+            right[c] += heads[c][begin : begin + window]
         for left, before in waiting:
             yield pairs(left, before)
 
