@@ -91,11 +91,13 @@ def lookups(items: DataFrame, catalogue: DataFrame, most: int = 5) -> DataFrame:
     once = marked.groupBy("q").agg(*[F.first(c).alias(c) for c in question])
     asked = once.withColumn("form", F.explode(F.array_distinct(F.transform(titles.variants(F.col("title")), titles.match_form)))).filter("form <> ''")
     named = catalogue.select(*[F.col(c).alias(f"c_{c}") for c in catalogue.columns]).withColumn("form", F.explode(F.array_distinct(F.array_compact(F.array(titles.match_form(F.col("c_title")), titles.match_form(F.col("c_original"))))))).filter("form <> ''")
-    met = asked.join(named, "form").filter("year is null or c_year is null or abs(year - c_year) <= 1").drop("form").dropDuplicates(["q", "c_id"])
+    met = asked.join(named, "form").filter("year is null or c_year is null or abs(year - c_year) <= 1").drop("form")
+    # what has no id is one by its title and year
+    met = met.withColumn("c_key", F.coalesce(F.concat(F.lit("id:"), F.col("c_id").cast("string")), F.concat(F.lit("title:"), F.col("c_title"), F.lit(":"), F.coalesce("c_year", F.lit(0)).cast("string")))).dropDuplicates(["q", "c_key"])
     scored = met.withColumn("score", candidate_score(*[F.col(c) for c in ("title", "year", "season", "media_type", "seen", "c_title", "c_original", "c_year", "c_id", "c_rating")]))
-    w = W.partitionBy("q").orderBy(F.desc("score"), "c_id")
+    w = W.partitionBy("q").orderBy(F.desc("score"), F.col("c_id").asc_nulls_last(), "c_key")
     best = scored.withColumn("rank", F.row_number().over(w)).withColumn("gap", (F.col("score") - F.lead("score").over(w)).cast("float")).filter(F.col("rank") <= most)
-    return marked.join(best.drop(*question), "q").drop("q")
+    return marked.join(best.drop(*question, "c_key"), "q").drop("q")
 
 
 def companions(files: DataFrame, others: DataFrame) -> DataFrame:

@@ -150,6 +150,22 @@ def search(items: DataFrame, text: str, *columns: Column) -> DataFrame:
     return items.filter(hit)
 
 
+class Searches:
+    """Searches over one listing, each kept until the listing changes."""
+
+    def __init__(self) -> None:
+        self._held: dict[tuple, DataFrame] = {}
+
+    def find(self, generation: int, rows: DataFrame, text: str, *columns: Column) -> DataFrame:
+        """search(), cached by generation, text and columns; results of other generations are let go.  A blank text finds all."""
+        for key in [k for k in self._held if k[0] != generation]:
+            self._held.pop(key).unpersist()
+        key = (generation, text.strip().lower(), *map(str, columns))
+        if key not in self._held:
+            self._held[key] = (search(rows, text.strip(), *columns) if text.strip() else rows).cache()
+        return self._held[key]
+
+
 def tree(items: DataFrame) -> DataFrame:
     """(dir, files, bytes, first, last): the folders with what they hold."""
     return items.groupBy(parent(F.col("path")).alias("dir")).agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.min("path").alias("first"), F.max("path").alias("last"))
@@ -165,3 +181,12 @@ def receipt(outcomes: DataFrame) -> DataFrame:
     """One row of counts of the outcomes (outcome, assets) of a run: executed, blocked, guarded, skipped, errors and assets written."""
     of = lambda name: F.count_if(F.col("outcome") == name)
     return outcomes.agg(*[of(n).alias(n) for n in ("executed", "blocked", "guarded", "skipped", "errors")], F.coalesce(F.sum("assets"), F.lit(0)).alias("assets"))
+
+
+def pipeline_summary(items: DataFrame, stages: int, flag: bool | None = None) -> DataFrame:
+    """One row: stage_count, item_count and scraped_items.
+
+    flag: for a scan, whether it looked items up; then all items are reported as looked up, or none.  Without it, those that were are counted.
+    """
+    looked_up = F.count_if(F.col("scraped").isNotNull()) if flag is None else F.when(F.lit(flag), F.count("*")).otherwise(0)
+    return items.agg(F.lit(stages).alias("stage_count"), F.count("*").alias("item_count"), looked_up.cast("bigint").alias("scraped_items"))

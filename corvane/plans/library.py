@@ -115,7 +115,7 @@ def _plain_sql(x: str) -> str:
 
 @query(
     _ITEM
-    + rf""", f as (select id, coalesce(parsed.raw_title, '') t, parsed.year y, parsed.season s, parsed.episode e, list_reverse(list_filter(string_split(path, '/')[:-2], lambda x: x <> '')) d from item where parsed is not null and path is not null),
+    + rf""", f as (select id, coalesce(parsed.raw_title, '') t, coalesce(parsed.confidence, 0::float) conf, parsed.year y, parsed.season s, parsed.episode e, list_reverse(list_filter(string_split(path, '/')[:-2], lambda x: x <> '')) d from item where parsed is not null and path is not null),
 m as (select *, e is null and regexp_matches(trim(t), '(?i)^S(\d{{1,2}})E(\d{{1,3}})(?:[\s._-].*|\s*\(\d+\))?$') both_, e is null and regexp_matches(trim(t), '(?i)^(?:E|EP)?(\d{{1,3}})(?:[\s._-].*|\s*\(\d+\))?$') alone from f),
 n as (select *, case when both_ then coalesce(s, regexp_extract(trim(t), '(?i)^S(\d{{1,2}})E', 1)::int) else s end s1,
   case when both_ then regexp_extract(trim(t), '(?i)^S\d{{1,2}}E(\d{{1,3}})', 1)::int when alone then regexp_extract(trim(t), '(?i)^(?:E|EP)?(\d{{1,3}})', 1)::int else e end e1, coalesce({_plain_sql("t")}, t) t1 from m),
@@ -124,14 +124,16 @@ found as (select id, arg_min(try_cast(coalesce(nullif(regexp_extract(dir, '(?i)S
   arg_min(try_cast(regexp_extract(dir, '[\[(\s](\d{{4}})[\])\s]', 1) as int), lvl) filter (try_cast(regexp_extract(dir, '[\[(\s](\d{{4}})[\])\s]', 1) as int) between 1900 and 2030) fy,
   arg_min({_plain_sql("dir")}, lvl) filter (lvl < 2 and {_plain_sql("dir")} is not null) ft from up group by id)
 select id, case when (trim(t1) = '' or regexp_matches(trim(t1), '(?i)^(?:(?:s\d{{1,2}}(?:e\d{{1,3}})?|e\d{{1,3}}|ep?\d{{1,3}}|\d{{1,3}})(?:\s*\(\d+\))?|(?:s\d{{1,2}}e\d{{1,3}}|e\d{{1,3}}|ep?\d{{1,3}})(?:[\s._-]+.*)?|s\d{{1,2}}e\d.*)$') or {_NOISY.format("trim(t1)")}) then coalesce(ft, t1) else t1 end raw_title,
-  coalesce(y, fy) "year", coalesce(s1, fs) season, e1 episode from n left join found using (id)"""
+  coalesce(y, fy) "year", coalesce(s1, fs) season, e1 episode,
+  round(greatest(conf, case when s1 is distinct from s or e1 is distinct from e then 0.72::float else 0 end, case when s1 is null and fs is not null then 0.84::float else 0 end, case when y is null and fy is not null then 0.80::float else 0 end,
+    case when (trim(t1) = '' or regexp_matches(trim(t1), '(?i)^(?:(?:s\d{{1,2}}(?:e\d{{1,3}})?|e\d{{1,3}}|ep?\d{{1,3}}|\d{{1,3}})(?:\s*\(\d+\))?|(?:s\d{{1,2}}e\d{{1,3}}|e\d{{1,3}}|ep?\d{{1,3}})(?:[\s._-]+.*)?|s\d{{1,2}}e\d.*)$') or {_NOISY.format("trim(t1)")}) and ft is not null then 0.76::float else 0 end)::double, 6) confidence from n left join found using (id)"""
 )
 def infer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, years and seasons that names lack, from the folders above."""
     rows = items(spark, sf_dir, "id", "path", F.col("parsed")).filter("parsed is not null and path is not null")
     p = F.col("parsed")
     known = context.infer(F.coalesce(p["raw_title"], F.lit("")), p["year"], p["season"], p["episode"], F.coalesce(p["confidence"], F.lit(0).cast("float")), paths.ancestors(F.col("path"), 3))
-    return rows.select("id", known.alias("c")).select("id", "c.raw_title", "c.year", "c.season", "c.episode")
+    return rows.select("id", known.alias("c")).select("id", "c.raw_title", "c.year", "c.season", "c.episode", F.round(F.col("c.confidence").cast("double"), 6).alias("confidence"))
 
 
 @query(

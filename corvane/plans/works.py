@@ -597,3 +597,39 @@ def plan_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rename_plan")
     rows = items(spark, sf_dir, "id", r["old_path"].alias("old_path"), r["new_path"].alias("new_path"), F.coalesce(F.size(r["conflicts"]), F.lit(0)).alias("conflicts"))
     return rows.join(F.broadcast(rows.agg(F.min("old_path").alias("old_path"))), "old_path", "left_semi").select("id", "new_path", F.greatest("conflicts", F.lit(0)).alias("conflicts"))
+
+
+@query(_ITEM + "select 'scan' command, 7 stage_count, count(*) item_count, count(*) scraped_items from item union all select 'scrape', 7, count(*), count(scraped) from item")
+def pipeline_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items there are and how many were looked up, as a scan that asks for it and a lookup report it."""
+    once = table(spark, sf_dir, "media_item").select("id", "path", F.when(F.col("scraped").isNotNull(), F.lit(1)).alias("scraped")).distinct()
+    return planning.pipeline_summary(once, 7, True).select(F.lit("scan").alias("command"), "*").unionByName(planning.pipeline_summary(once, 7).select(F.lit("scrape").alias("command"), "*"))
+
+
+_FIELD_SQL = """case when {p} is null and {s} is null then null when {p} is null or ({s} is not null and trusted) then 'Scraped' else 'Parsed' end {n}_origin,
+  round(case when {p} is null and {s} is null then null when {p} is null or ({s} is not null and trusted) then coalesce(stt, 0::float) else coalesce(pt, 0::float) end::double, 5) {n}_confidence"""
+
+
+@query(_ITEM + _TRUST + "select id, " + ",\n  ".join(_FIELD_SQL.format(p=p, s=s, n=n) for n, p, s in (("title", "ptitle", "stitle"), ("year", "p.year", "s.year"), ("season", "p.season", "s.season_number"), ("episode", "p.episode", "s.episode_number"))) + " from pref")
+def decision_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the title, year, season and episode of each item are taken from, and how much that is trusted."""
+    p, s, state = F.col("parsed"), F.col("scraped"), F.col("identity_resolution.confirmation_state")
+    own, looked = scoring.clamp(p["confidence"]), scoring.scraped_authority(s["confidence"], s["source"], state)
+    blank = lambda c: F.when(F.trim(c) != "", c)
+    pairs = {"title": (blank(p["raw_title"]), blank(s["title"])), "year": (p["year"], s["year"]), "season": (p["season"], s["season_number"]), "episode": (p["episode"], s["episode_number"])}
+    rows = items(spark, sf_dir, "id", *[scoring.preferred(a, own, b, looked).alias(n) for n, (a, b) in pairs.items()])
+    return rows.select("id", *[c for n in pairs for c in (F.col(f"{n}.origin").alias(f"{n}_origin"), F.round(F.col(f"{n}.confidence").cast("double"), 5).alias(f"{n}_confidence"))])
+
+
+@query(
+    _ITEM
+    + """, k as (select id, coalesce(path, '') || ':' || coalesce(file_size::varchar, '') || ':' || coalesce(floor(epoch(mtime))::bigint::varchar, '0') || ':' || coalesce(extension, '') key, content_evidence c from item), h as (select key, max(c.runtime_secs) runtime_secs from k where c is not null group by key)
+select id, h.runtime_secs, h.key is not null hit from k left join h on h.key = k.key"""
+)
+def probe_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with what was found in the content of the same file before, by path, size, time and extension."""
+    seconds = F.coalesce(F.floor(F.unix_micros(F.col("mtime").cast("timestamp")) / 1_000_000), F.lit(0))
+    c = F.col("content_evidence")
+    keyed = items(spark, sf_dir, "id", linking.cache_key(F.col("path"), F.col("file_size"), seconds, F.col("extension")).alias("key"), c["runtime_secs"].alias("runtime_secs"), c.isNotNull().alias("known"))
+    cache = keyed.filter("known").groupBy("key").agg(F.max("runtime_secs").alias("runtime_secs"), F.lit(True).alias("hit"))
+    return linking.with_cache(keyed.select("id", "key"), cache, ["key"])[0].select("id", "runtime_secs", F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -135,6 +135,13 @@ def probe(path: str) -> dict:
     return {"audio_codec": AUDIO_KINDS[ext]} if ext in AUDIO_KINDS else {}
 
 
+def backend(choice: str, dry_run: bool, external: bool) -> str:
+    """`native` or `external`: as chosen, or with `auto` the external one where it is there and the run isn't a dry one."""
+    if choice not in ("auto", "native", "external"):
+        raise ValueError(choice)
+    return ("external" if external and not dry_run else "native") if choice == "auto" else choice
+
+
 def file_quality(files: DataFrame) -> DataFrame:
     """(path, width, height, video_codec, audio_codec, audio_bitrate, duration_secs, resolution_label, quality_score) of files (path)."""
     import pandas as pd

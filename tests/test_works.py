@@ -4,7 +4,7 @@ import pytest
 from corvane.functions import evidence, identify, templates, titles
 from corvane.operators import dedup, folders, identity, linking, planning
 from corvane.operators.nested import parse_json, pivot, shred, struct_pieces
-from corvane.sources import config, files, index, probe, sinks
+from corvane.sources import assist, config, files, index, probe, sinks
 from pyspark.sql import functions as F
 
 
@@ -259,3 +259,29 @@ def test_texts(spark):
     assert [r[0] for r in df.select(titles.json_in(F.col("t"))).collect()] == ['{"a": 1}', '{"a": {"b": 2}}', ""]
     sizes = spark.createDataFrame([(5,), (2048,), (3 << 30,), (5 << 50,), (None,)], "n bigint")
     assert [r[0] for r in sizes.select(titles.human_bytes(F.col("n"))).collect()] == ["5 B", "2.0 KB", "3.0 GB", "5120.0 TB", None]
+
+
+def test_assistant(spark):
+    items = spark.createDataFrame([(1, "/a/x.mkv", "X", 2000, ["A", "B"]), (2, None, None, None, None), (3, "/c", None, None, [])], "id int, path string, t string, y int, seen array<string>")
+    asked = items.select("id", assist.question(F.col("path"), F.col("t"), F.col("y"), F.col("seen")).alias("question"))
+    assert asked.filter("id = 1").first().question.split("\n")[1:] == ["path: /a/x.mkv", "title: X", "year: 2000", "seen in it: A; B"]
+
+    def ask(questions):
+        return [None if "path" not in q else '```json\n{"title": "T", "year": 1999}\n```' if "title: X" in q else '{"title": " "}' for q in questions]
+
+    got = [(r.id, r.answer.title, r.answer.year, r.answer.source, r.answer.album) for r in assist.identified(asked, ask, 2).collect()]
+    assert got == [(1, "T", 1999, "AiAssist", None)]
+    assert [probe.backend("auto", dry, there) for dry, there in ((True, True), (False, True), (False, False))] == ["native", "external", "native"] and probe.backend("external", True, False) == "external"
+
+
+def test_candidates_without_an_id_merge_by_title_and_year(spark):
+    items = spark.createDataFrame([(1, "A.B", 2000, None, "Movie", None)], "id int, title string, year int, season int, media_type string, seen array<string>")
+    films = spark.createDataFrame([(None, "A B", None, 2000, 5.0), (None, "A B", None, 2000, 9.0), (None, "A B", None, 2001, 1.0), (7, "a b", None, None, None), (7, "x", "a b", None, None)], "id bigint, title string, original string, year int, rating double")
+    assert sorted((r.c_id or 0, r.c_year or 0) for r in linking.lookups(items, films).collect()) == [(0, 2000), (0, 2001), (7, 0)]
+
+
+def test_searches_are_kept(spark):
+    rows_, kept = spark.createDataFrame([("Alpha",), ("beta",)], "t string"), planning.Searches()
+    first = kept.find(1, rows_, " ALPHA ", F.col("t"))
+    assert first.count() == 1 and kept.find(1, rows_, "alpha", F.col("t")) is first and kept.find(1, rows_, "  ", F.col("t")).count() == 2
+    assert kept.find(2, rows_, "alpha", F.col("t")) is not first and len(kept._held) == 1
