@@ -50,9 +50,11 @@ def folder_clusters(items: DataFrame) -> DataFrame:
 JUDGED = ["title", "origin", "year", "season", "episode", "trust", "metadata_confidence", "quality_score", "version_quality", "completeness", "effective", "provenance", "version_key", "full_hash"]
 
 
-def judged(items: DataFrame, *more: Column) -> DataFrame:
+def judged(items: DataFrame, *more: Column, scored: bool = True) -> DataFrame:
     """Items with their preferred title, year, season and episode, trust, provenance, scores and version key.
 
+    scored: without it, no columns from quality_score on are made, and the folders aren't looked at.
+
     Repeated deliveries count once.  The wide structs are reduced to a few plain columns in the scan, before anything is
     shuffled.  more: other columns to carry.
     """
@@ -60,22 +62,27 @@ def judged(items: DataFrame, *more: Column) -> DataFrame:
     trust_p, trust_s = scoring.clamp(p["confidence"]), scoring.scraped_authority(s["confidence"], s["source"], state)
     blank = lambda c: F.when(F.trim(c) != "", c)
     quality, content = F.col("quality"), F.col("content_evidence")
-    narrow = items.select(
+    plain, deep = [
         "id", "path", "media_type", "file_size",
         scoring.preferred(blank(p["raw_title"]), trust_p, blank(s["title"]), trust_s).alias("t"),
         scoring.preferred(p["year"], trust_p, s["year"], trust_s)["value"].alias("year"),
         scoring.preferred(p["season"], trust_p, s["season_number"], trust_s)["value"].alias("season"),
         scoring.preferred(p["episode"], trust_p, s["episode_number"], trust_s)["value"].alias("episode"),
-        scoring.identity_trust(state).alias("trust"), F.coalesce(trust_s, trust_p, scoring.f32(0.0)).alias("known_trust"),
+        scoring.identity_trust(state).alias("trust"), F.coalesce(trust_s, trust_p, scoring.f32(0.0)).alias("known_trust"), *more,
+    ], [
         F.coalesce(quality["quality_score"], F.lit(0.0)).alias("quality_score"), scoring.version_quality(p, quality, content).alias("version_quality"),
         scoring.completeness(F.col("media_type"), F.col("path"), quality, content, F.lit("feature")).alias("completeness"),
-        *[s[c].alias(f"s_{c}") for c in ("tmdb_id", "musicbrainz_id", "openlibrary_id", "year")], F.col("hash.full_hash").alias("full_hash"), *more,
-    ).distinct()
+        *[s[c].alias(f"s_{c}") for c in ("tmdb_id", "musicbrainz_id", "openlibrary_id", "year")], F.col("hash.full_hash").alias("full_hash"),
+    ]
+    carried = items.select(*more).columns if more else []
+    if not scored:
+        rows = items.select(*plain).distinct().withColumns({"title": F.col("t.value"), "origin": F.col("t.origin"), "metadata_confidence": F.coalesce("t.confidence", "known_trust")})
+        return rows.select("id", "path", "media_type", "file_size", *JUDGED[: JUDGED.index("quality_score")], *carried)
+    narrow = items.select(*plain, *deep).distinct()
     wide = narrow.withColumn("dir", parent(F.col("path"))).join(folder_clusters(items.select("id", "path").distinct()), "dir", "left")
     wide = wide.withColumns({"title": F.col("t.value"), "origin": F.col("t.origin"), "provenance": scoring.provenance(F.col("media_type"), F.col("path"), F.coalesce("cluster", F.lit(False)))})
     wide = wide.withColumns({"metadata_confidence": F.coalesce("t.confidence", "known_trust"), "completeness": F.col("completeness") + scoring.pick(F.col("provenance"), scoring.PROVENANCE_BONUS)})
     effective = F.round(scoring.total(F.col("quality_score"), F.col("version_quality"), F.col("completeness"), 0.35 * F.col("metadata_confidence").cast("double"), 0.45 * F.col("trust").cast("double")), 9)
-    carried = [c for c in narrow.columns[narrow.columns.index("full_hash") + 1 :]]
     return wide.withColumns({"effective": effective, "version_key": version_key()}).select("id", "path", "media_type", "file_size", *JUDGED, *carried)
 
 
@@ -139,7 +146,8 @@ def keep_order(strategy: str) -> Column:
 
 def members(rated: DataFrame) -> DataFrame:
     """Rated items with content_id and kind of each group they are in: `Exact` ones of equal content and `Version` ones of one work, unless
-    all of those are equal.  An item may be in one of each; items alone are in none."""
+    all of those are equal.  An item may be in one of each; items alone are in none.  The rated items are read four times, so they are checkpointed."""
+    rated = cut(rated)
     full, version = F.col("full_hash"), F.col("version_key")
     exact = rated.filter(full.isNotNull()).withColumn("content_id", F.concat(F.lit("hash:"), full.cast("string"))).withColumn("kind", F.lit("Exact"))
     by_key = version_groups(rated).select(F.col("version_key").alias("content_id"))

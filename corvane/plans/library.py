@@ -220,7 +220,7 @@ pref as (select *, ptitle is not null or stitle is not null has_title, case when
 @query(_ITEM + _TRUST + 'select id, title, origin, y "year", sn season, ep episode from pref')
 def preferred_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each item the title, year, season and episode to trust, looked up or parsed, and where the title is from."""
-    rated = dedup.judged(table(spark, sf_dir, "media_item"))
+    rated = dedup.judged(table(spark, sf_dir, "media_item"), scored=False)
     return rated.select("id", "title", "origin", "year", "season", "episode")
 
 
@@ -507,7 +507,7 @@ def content_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named_items(spark: SparkSession, sf_dir: str, *others: Column) -> DataFrame:
     """The items with all that names are made of."""
     more = [F.col("scraped.episode_name").alias("ep_name"), *[F.col(f"scraped.{c}").alias(c) for c in ("artist", "album", "author")], F.col("parsed.media_suffix").alias("media_suffix")]
-    return dedup.judged(table(spark, sf_dir, "media_item"), *more, *others)
+    return dedup.judged(table(spark, sf_dir, "media_item"), *more, *others, scored=False)
 
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+-\s+', ' - ', 'g'), '\s+-\s*$', '', 'g'), '^\s*-\s+', '', 'g'), '  +', ' ', 'g')"

@@ -9,7 +9,7 @@ from corvane.functions import evidence, identify, paths, scoring, titles
 from corvane.operators import dedup, folders, identity, linking, planning
 from corvane.plans import library
 from corvane.plans.library import _CLEAN, _ITEM, _RENAMES, _TRUST, items, named_items
-from corvane.session import table
+from corvane.session import cut, table
 from corvane.sources import files
 
 QUERIES = {}
@@ -57,7 +57,8 @@ def _folder_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rename_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.rename_plan(named_items(spark, sf_dir))
+    """The renames, checkpointed as they are joined with what goes with them."""
+    return cut(planning.rename_plan(named_items(spark, sf_dir)))
 
 
 def _subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
