@@ -1,9 +1,9 @@
 """Filling containers of fixed capacity by harmonic classes.
 
 Items are parted into classes by reciprocal capacity: class k holds the sizes in (C / (k + 1), C / k], and a
-bin of class k is filled with exactly k of them, so whole bins need no knowledge of other items.  Items are spread over
-shards of bounded size by a hash of their key, and every shard is packed on its own: one shuffle of (key, size), no
-coordination, and no task that grows with the input.
+bin of class k is filled with exactly k of them, so whole bins need no knowledge of other items.  Pieces are spread over
+shards of bounded size by a hash of their key and place, and every shard is packed on its own: one shuffle of (key, size), no
+coordination, and no task that grows with the input, nor with the length of an item.
 
 Before a class opens bins of its own, its items are put into the space that bins of larger items left over; so
 only the last bins of a shard stay loosely filled.
@@ -68,16 +68,22 @@ def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
     return cut.select("spec_id", "capacity", "key", "part", start.alias("start"), F.least(F.col("capacity"), F.col("tokens") - start).alias("size"))
 
 
+def most_pieces(items: DataFrame, specs: DataFrame) -> int:
+    """The pieces of the spec that has the most."""
+    sized = items.filter("tokens > 0 and key is not null").join(F.broadcast(specs.filter("capacity_tokens > 0").select("spec_id", "tokenizer", "capacity_tokens").distinct()), "tokenizer")
+    return sized.groupBy("spec_id").agg(F.sum(F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def pack(items: DataFrame, specs: DataFrame, n_items: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(spec_id, bin_id, key, part, start, size): every piece with the bin it is in.
 
-    n_items: how many items there are, or about; it sets the number of shards, and with it how many bins stay loose.
+    n_items: how many pieces there are for a spec, or about; it sets the number of shards, and with it how many bins stay loose.
     No bin exceeds its capacity.  Bins are numbered by shard, so ids are unique within a spec and have gaps.
     """
     import pandas as pd
 
     shards = max(1, -(-n_items // shard_items))
-    rows = pieces(items, specs).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    rows = pieces(items, specs).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)))
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "part"], kind="stable").reset_index(drop=True)

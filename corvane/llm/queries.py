@@ -161,7 +161,8 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, specs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec")
     names = [r[0] for r in specs.select("tokenizer").filter("tokenizer is not null").distinct().collect()]
-    return packing.pack(tokens.count_tokens(docs, "doc_id", "text", names), specs, docs.count()), specs
+    sized = cut(tokens.count_tokens(docs, "doc_id", "text", names))
+    return packing.pack(sized, specs, packing.most_pieces(sized, specs)), specs
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

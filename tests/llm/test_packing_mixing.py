@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from corvane.llm.mixing import PARTS, Frames, mix, plan, schedule
-from corvane.llm.packing import fill_report, harmonic, pack
+from corvane.llm.packing import fill_report, harmonic, most_pieces, pack
 from corvane.llm.tokens import count_tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +45,9 @@ def test_pack(spark):
     used = {r.spec_id: r.used for r in fill_report(packed, specs).collect()}
     assert set(used) == {1, 2} and used[1] > 0.97
     assert pack(df.limit(0), specs, 0).count() == 0
+    assert most_pieces(df, specs) == sum(-(-n // 300) for _, _, n in items) and most_pieces(df.limit(0), specs) == 0
+    long = pack(df.filter("key = 900"), specs, 1000, shard_items=100).filter("spec_id = 1")
+    assert long.count() == 1000 and long.groupBy((F.col("bin_id") / (1 << 32)).cast("int")).count().count() == 10
 
 
 def test_schedule_is_fair():
