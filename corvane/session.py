@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -51,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint.
 
     The files go to the folder named by spark.checkpoint.dir, which all executors share.
-    Only where that is unset, as in local tests, a temporary folder is taken.
+    Only where that is unset, as in local tests, a temporary folder is taken, and removed at the end.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -60,5 +62,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -23,7 +23,7 @@ KINDS = {
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, mtime) of the files below a folder; contents are not read.  Names that begin with a dot or an underscore are left out by Spark."""
+    """(path, length, mtime) of the files below a folder; contents are not read.  On any file system; names that begin with a dot or an underscore are left out by Spark, walk() has them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("mtime"))
 
@@ -93,7 +93,7 @@ def select_media(files: DataFrame, min_bytes: int = MIN_BYTES, max_depth: int =
 
 
 def prefix_digests(files: DataFrame, prefix: int = 65536) -> DataFrame:
-    """(path, digest): the MD5 of the first bytes of each file, read where the file is; null for files that can't be read."""
+    """(path, digest): the MD5 of the first bytes of each file, read by seeking, so the file system must be mounted on every executor; null for files that can't be read."""
     import hashlib
     from collections.abc import Iterator
 
