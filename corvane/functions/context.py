@@ -14,6 +14,7 @@ TRAILING_TAGS = r"(?i)[\s._-]*(?:[\(\[]?\d{4}[\)\]]?)?(?:[\s._-]+(?:4k|2160p|108
 YEAR_AT_END = r"\s*[\(\[](\d{4})[\)\]]\s*$"
 SEASONS_AT_END = r"(?i)\s+\d+(?:-\d+)?季(?:全集)?(?:\(\d+\))?\s*$"
 ONLY_TAGS = r"(?i)^[\d\s\.\-_\(\)]*(?:hq|hdr|dv|dovi|web-?dl|bluray|remux|x26[45]|h\.?26[45]|aac|dts|atmos|2160p|1080p|720p)+[\d\s\.\-_\(\)]*$"
+# one pattern for bare marks and numbers, marks with anything behind them, and names that begin with a season and an episode
 PLACEHOLDER = r"(?i)^(?:(?:s\d{1,2}(?:e\d{1,3})?|e\d{1,3}|ep?\d{1,3}|\d{1,3})(?:\s*\(\d+\))?|(?:s\d{1,2}e\d{1,3}|e\d{1,3}|ep?\d{1,3})(?:[\s._-]+.*)?|s\d{1,2}e\d.*)$"
 SEASON_EPISODE = r"(?i)^S(\d{1,2})E(\d{1,3})(?:[\s._-].*|\s*\(\d+\))?$"
 EPISODE_ONLY = r"(?i)^(?:E|EP)?(\d{1,3})(?:[\s._-].*|\s*\(\d+\))?$"

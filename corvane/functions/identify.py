@@ -97,6 +97,7 @@ def kind_after(kind: Column, named: Column) -> Column:
 
 def reasons(named: Column) -> Column:
     """What in a name led to its reading, in order."""
+    # The texts of the reasons.
     told = lambda form, *more: F.when(named["form"] == form, F.array_compact(F.array(*more)))
     said = lambda text, c: F.when(c.isNotNull(), F.concat(F.lit(text), c.cast("string")))
     year, resolution, codec, source = said("detected year ", named["year"]), said("detected resolution tag ", named["resolution"]), said("detected codec tag ", named["codec"]), said("detected source tag ", named["source"])

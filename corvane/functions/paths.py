@@ -48,3 +48,9 @@ def ancestor_paths(path: Column) -> Column:
     parts = F.split(parent(path), "/")
     upto = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.array_join(F.slice(parts, 1, F.size(parts) - i), "/"))
     return F.when(F.size(parts) > 1, upto).otherwise(F.array().cast("array<string>"))
+
+
+def beginnings(name: Column) -> Column:
+    """The parts of a name that another file's stem may be: all of it, and what stands before a dot or a dash."""
+    parts = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.array_join(F.slice(p, 1, k), ""))
+    return F.when(name != "", let(F.split(name, "(?=[.-])"), parts)).otherwise(F.array().cast("array<string>"))

@@ -6,11 +6,11 @@ each distinct folder, not for each file, so a folder that holds a third of all f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import templates
-from corvane.functions.paths import ancestor_paths, extension, file_name, parent, raw_extension, stem
+from corvane.functions.paths import ancestor_paths, beginnings, extension, file_name, parent, raw_extension, stem
 
 # Extensions of subtitles (renamed with their file; read as text), and names of season folders.
 SUBTITLES = ["srt", "ass", "ssa", "sub", "idx", "vtt"]
@@ -68,18 +68,12 @@ def attached(plans: DataFrame, folders: DataFrame) -> DataFrame:
     return held.unionByName(alone.select(F.lit(None).cast(dict(plans.dtypes)["id"]).alias("id"), "old_path", F.col("old_path").alias("new_path"), own.alias("folder_plans")))
 
 
-def _beginnings(name: Column) -> Column:
-    """The parts of a name that another file's stem may be: all of it, and what stands before a dot or a dash."""
-    ends = F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: (i == F.length(name)) | F.substring(name, i + 1, F.lit(1)).isin(".", "-"))
-    return F.when(F.length(name) > 0, F.transform(ends, lambda i: F.substring(name, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-
-
 def subtitle_plans(plans: DataFrame, files: DataFrame) -> DataFrame:
     """(id, old_path, new_path): the subtitles that are named like a planned file, with its new name and what follows the old one.
 
     plans: id, old_path, new_path, the new path ending with the old extension.  files: path.
     """
-    subs = files.select(F.col("path").alias("sub")).distinct().filter(extension(F.col("sub")).isin(SUBTITLES)).select("sub", parent(F.col("sub")).alias("dir"), F.explode(_beginnings(stem(F.col("sub")))).alias("stem"))
+    subs = files.select(F.col("path").alias("sub")).distinct().filter(extension(F.col("sub")).isin(SUBTITLES)).select("sub", parent(F.col("sub")).alias("dir"), F.explode(beginnings(stem(F.col("sub")))).alias("stem"))
     old, ext = F.col("old_path"), raw_extension(F.col("old_path"))
     name = F.when(ext != "", F.expr("left(new_path, length(new_path) - length(ext) - 1)")).otherwise(F.col("new_path"))
     rows = plans.withColumn("ext", ext).select("id", parent(old).alias("dir"), stem(old).alias("stem"), name.alias("to"))
@@ -94,7 +88,7 @@ def external_subtitles(items: DataFrame, files: DataFrame) -> DataFrame:
     """
     subs = files.select(F.col("path").alias("subtitle")).distinct().filter(extension(F.col("subtitle")).isin(TEXT_SUBTITLES)).withColumn("dir", parent(F.col("subtitle")))
     rows = items.select("id", parent(F.col("path")).alias("dir"), stem(F.col("path")).alias("stem"))
-    named = rows.join(subs.select("subtitle", "dir", F.explode(_beginnings(stem(F.col("subtitle")))).alias("stem")), ["dir", "stem"]).select("id", "subtitle").distinct()
+    named = rows.join(subs.select("subtitle", "dir", F.explode(beginnings(stem(F.col("subtitle")))).alias("stem")), ["dir", "stem"]).select("id", "subtitle").distinct()
     single = subs.groupBy("dir").agg(F.count("*").alias("n"), F.min("subtitle").alias("subtitle")).filter("n = 1").drop("n")
     rest = rows.join(named.select("id").distinct(), "id", "left_anti").join(single, "dir").select("id", "subtitle")
     return named.unionByName(rest.distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import titles
-from corvane.functions.paths import ancestor_paths, parent, stem
+from corvane.functions.paths import ancestor_paths, beginnings, parent, stem
 
 # Points of a candidate.
 EXACT_TITLE, PART_TITLE, SAME_YEAR, NEAR_YEAR, OTHER_YEAR = 1.2, 0.7, 0.45, 0.12, -0.25
@@ -106,8 +106,7 @@ def companions(files: DataFrame, others: DataFrame) -> DataFrame:
     The join is on folder and on each beginning of the other's name that may be a stem, so it stays an equi-join.
     """
     name = stem(F.col("path"))
-    ends = F.filter(F.sequence(F.lit(1), F.length("n")), lambda i: (i == F.length("n")) | F.substring("n", i + 1, F.lit(1)).isin(".", "-"))
-    cut = others.select(F.col("path").alias("companion"), parent(F.col("path")).alias("dir"), name.alias("n")).filter("n <> ''").select("companion", "dir", F.explode(F.transform(ends, lambda i: F.substring("n", F.lit(1), i))).alias("stem"))
+    cut = others.select(F.col("path").alias("companion"), parent(F.col("path")).alias("dir"), F.explode(beginnings(name)).alias("stem"))
     return files.select("id", parent(F.col("path")).alias("dir"), name.alias("stem"), "path").join(cut, ["dir", "stem"]).filter("path <> companion").select("id", "companion")
 
 

@@ -475,12 +475,34 @@ def container_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode("t").alias("pos", "title"))
 
 
-@query()
+_FORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(trim({0}), '^[-:|"'']+|[-:|"'']+$', '', 'g'), '[._]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+_MAY = "(length({0}) between 2 and 64 and not starts_with(lower({0}), 'episode ') and not starts_with(lower({0}), 'season ') and not contains(lower({0}), 'subtitle') and not contains(lower({0}), 'dialogue') and not contains(lower({0}), 'commentary') and regexp_matches({0}, '\\p{{L}}'))"
+_ASCII = "regexp_full_match({0}, '[\\x00-\\x7f]*')"
+_HAN = "regexp_matches({0}, '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}]')"
+_PATTERNS = [f"trim(regexp_extract(l, '{p}', 1))" for p in library._LINE_FORMS]
+
+
+@query(
+    _ITEM
+    + rf""", lines as (select 'item:' || id key, parsed.raw_title || ' - S' || {_digits("parsed.season")} || 'E' || {_digits("parsed.episode")} l from item where parsed.season is not null and parsed.episode is not null and parsed.raw_title is not null
+  union select 'film:' || id, title || ' / ' || original_title from tmdb_movie where title is not null and original_title is not null),
+e as (select *, case when regexp_matches(l, '(?i)S\d{{1,2}}E\d{{1,3}}') then regexp_extract(l, '(?i)S\d{{1,2}}E(\d{{1,3}})', 1)::int else coalesce(nullif(regexp_extract(l, '(?i)(?:Episode|EP|E)\s*(\d{{1,3}})', 1), ''), nullif(regexp_extract(l, '第\s*(\d{{1,3}})\s*集', 1), ''))::int end ep, trim(string_split_regex(l, '[-|:]')[1]) pre from lines),
+raw as (select key, unnest([{", ".join(_PATTERNS[:-4])}, case when ep is not null and strlen(pre) between 4 and 48 and not contains(lower(pre), 'episode') and not contains(pre, ep::varchar) then pre else '' end, {", ".join(_PATTERNS[-4:])}]) x, unnest(range(15)) o from e),
+cuts as (select key, l, unnest([' / ', ' | ', ' - ', ' – ', ' — ', '·', '：', ':']) sep, unnest(range(8)) k from lines),
+sides as (select key, k, {_FORM.format("l[:instr(l, sep) - 1]")} a, {_FORM.format("l[instr(l, sep) + length(sep):]")} b from cuts where instr(l, sep) > 0),
+pairs as (select * from sides where {_MAY.format("a")} and {_MAY.format("b")} and ({_ASCII.format("a")} <> {_ASCII.format("b")} or {_HAN.format("a")} <> {_HAN.format("b")})),
+every as (select key, o, x from raw where x <> '' union all select key, 100 + 2 * k, a from pairs union all select key, 101 + 2 * k, b from pairs),
+f as (select key, o, {_FORM.format("x")} t from every), g as (select *, trim(regexp_replace(regexp_replace(lower(t), '[·:：\-_''"“”‘’《》()\[\]]', ' ', 'g'), '\s+', ' ', 'g')) alias from f where t <> '' and {_MAY.format("t")}),
+d as (select *, row_number() over (partition by key, alias order by o) r from g where alias <> '')
+select key, (row_number() over (partition by key order by o) - 1)::int pos, t title from d where r = 1"""
+)
 def line_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that the lines of documents name, by the forms of such lines and by pairs in two languages."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    clean = lines.select("doc_id", "lang", "line_no", evidence.clean_line(F.col("line")).alias("line")).filter("line <> ''")
-    return clean.select("doc_id", "line_no", F.posexplode(evidence.line_titles(F.col("line"), F.col("lang"))).alias("pos", "title"))
+    """Titles that lines name: of an episode's title with its number, and of a film's title in two languages."""
+    p, two = F.col("parsed"), lambda c: F.format_string("%02d", c)
+    told = items(spark, sf_dir, F.concat(F.lit("item:"), F.col("id").cast("string")).alias("key"), F.when(p["season"].isNotNull() & p["episode"].isNotNull(), F.concat(p["raw_title"], F.lit(" - S"), two(p["season"]), F.lit("E"), two(p["episode"]))).alias("line"))
+    films = table(spark, sf_dir, "tmdb_movie").select(F.concat(F.lit("film:"), F.col("id").cast("string")).alias("key"), F.concat("title", F.lit(" / "), "original_title").alias("line")).distinct()
+    lines = told.unionByName(films).filter("line is not null")
+    return lines.select("key", F.posexplode(evidence.line_titles(F.col("line"), F.lit(None).cast("string"))).alias("pos", "title"))
 
 
 # -- duplicates ----------------------------------------------------------------------------------

@@ -1,6 +1,8 @@
 import json
 
-from corvane.operators.nested import groups_of, json_pieces, leaf_paths, parse_json, pivot, shred
+from corvane.operators.nested import events, groups_of, json_pieces, leaf_paths, parse_json, pivot, shred
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 SCHEMA = "id bigint, pos string, rec struct<a:int,pos:string,items:array<struct<n:string,deep:array<int>,m:struct<x:double>>>,tags:array<string>>, list array<struct<owner:string>>"
@@ -48,3 +50,61 @@ def test_json_shapes(spark):
 
 def test_deep_text():
     assert parse_json("[" * 100_000) == [] and parse_json('{"a": {"b": [[1, 2], [3]]}}')[1:] == [("a.b", [0], []), ("a.b", [0, 0], [("value", "1")]), ("a.b", [0, 1], [("value", "2")]), ("a.b", [1], []), ("a.b", [1, 0], [("value", "3")])]
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20)
+
+
+def rebuilt(kinds, values):
+    """The value that events stand for."""
+    at = -1
+
+    def one():
+        nonlocal at
+        at += 1
+        if kinds[at] == "[":
+            out = []
+            while kinds[at + 1] != "]":
+                out.append(one())
+            at += 1
+            return out
+        if kinds[at] == "{":
+            found = {}
+            while kinds[at + 1] != "}":
+                at += 1
+                key = values[at]
+                found[key] = one()
+            at += 1
+            return found
+        return values[at]
+
+    return one()
+
+
+def plain(value):
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [plain(v) for v in value]
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES, st.sampled_from([None, 1]), st.booleans())
+def test_events_read_what_was_written(value, indent, ascii_):
+    text = json.dumps(value, indent=indent, ensure_ascii=ascii_)
+    assert rebuilt(*events(text)) == plain(value)
+    if isinstance(value, (dict, list)):  # text in text
+        kinds, values = events(json.dumps({"a": text, "b": 1}), unwrap=True)
+        assert kinds[1:3] == ["k", "t"] and values[2][0] == text and values[values[2][1]] == "b"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet='{}[]",:\\ntue0159.-+e \t', max_size=14) | VALUES.map(json.dumps).flatmap(lambda t: st.integers(0, max(len(t) - 1, 0)).map(lambda i: t[:i] + t[i + 1 :])))
+def test_events_refuse_what_is_no_json(text):
+    try:
+        json.loads(text)
+        whole = True
+    except ValueError:
+        whole = False
+    assert (events(text) is not None) == whole
