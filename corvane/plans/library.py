@@ -83,14 +83,14 @@ formed as (select *, case
   when regexp_matches(c, '(?i).*\[([^\[\]]+?)\s+(\d{1,2})(?:st|nd|rd|th)\s+Season\].*?\[(\d{1,3})\](?:[.\[\s_-]|$)') then 'bracket_en'
   when my is not null then 'movie' else 'fallback' end form,
   nullif(concat_ws('.', resolution, source, codec, audio, release_group), '') suffix from tags),
-parts as (select *, case form when 'sxxexx' then '(?i)(.+?)[.\s_-]+S(\d{1,2})\s*E(\d{1,3})' when 'nxnn' then '(?i)(.+?)[.\s_-]+(\d{1,2})x(\d{1,3})' end pat from formed)
-select id, case when form in ('sxxexx', 'nxnn') then regexp_replace(regexp_replace(trim(case form when 'sxxexx' then regexp_extract(c, '(?i)(.+?)[.\s_-]+S(\d{1,2})\s*E(\d{1,3})', 1) else regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{1,2})x(\d{1,3})', 1) end), '[.\-_ ]+$', ''), '\s+', ' ', 'g')
+parts as (select *, case form when 'sxxexx' then regexp_extract(c, '(?i)(.+?)[.\s_-]+S(\d{1,2})\s*E(\d{1,3})', ['t', 's', 'e']) when 'nxnn' then regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{1,2})x(\d{1,3})', ['t', 's', 'e'])
+  when 'bracket_zh' then regexp_extract(c, '(?i).*\[([^\[\]]+?)\s*第(\d{1,2})季\].*?\[(\d{1,3})\](?:[.\[\s_-]|$)', ['t', 's', 'e']) when 'bracket_en' then regexp_extract(c, '(?i).*\[([^\[\]]+?)\s+(\d{1,2})(?:st|nd|rd|th)\s+Season\].*?\[(\d{1,3})\](?:[.\[\s_-]|$)', ['t', 's', 'e']) end got from formed)
+select id, case when got is not null then regexp_replace(regexp_replace(trim(got.t), '[.\-_ ]+$', ''), '\s+', ' ', 'g')
     when form = 'movie' then regexp_replace(regexp_replace(trim(regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{4})', 1)), '[.\-_ ]+$', ''), '\s+', ' ', 'g')
     else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b(1080[pi]|2160[pi]|720[pi]|4[UK])\b', ' ', 'g'), '(?i)\b(H\.?26[45]|HEVC|AV1|x26[45]|x264)\b', ' ', 'g'),
       '(?i)\b(WEB-?DL|BluRay|Remux|HDTV|CAM|WEBRip|BDRip|BRRip)\b', ' ', 'g'), '(?i)\b(AAC|FLAC|DTS|Atmos|DD5\.?1)\b', ' ', 'g'), '-[A-Za-z0-9]+$', ' '), '\s+', ' ', 'g')) end raw_title,
   case when form = 'movie' then my else y end "year",
-  case form when 'sxxexx' then regexp_extract(c, '(?i)(.+?)[.\s_-]+S(\d{1,2})\s*E(\d{1,3})', 2)::int when 'nxnn' then regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{1,2})x(\d{1,3})', 2)::int end season,
-  case form when 'sxxexx' then regexp_extract(c, '(?i)(.+?)[.\s_-]+S(\d{1,2})\s*E(\d{1,3})', 3)::int when 'nxnn' then regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{1,2})x(\d{1,3})', 3)::int end episode,
+  got.s::int season, got.e::int episode,
   resolution, codec, source, release_group, case when form = 'movie' and trim(regexp_extract(c, '(?i)(.+?)[.\s_-]+(\d{4})(.*)$', 3)) = '' then null else suffix end media_suffix, form,
   case form when 'sxxexx' then 0.96 when 'nxnn' then 0.95 when 'movie' then 0.92 when 'fallback' then 0.55 else 0.97 end::float confidence
 from parts"""
@@ -103,6 +103,22 @@ def identify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", identify.identify(paths.stem(F.col("path"))).alias("p")).select("id", "p.*")
 
 
+_BRACKETS = r""", told as (select id, replace(replace(parsed.raw_title, '[', ''), ']', '') t, parsed.season s, parsed.episode e from item where parsed.raw_title is not null and parsed.season is not null and parsed.episode is not null),
+named as (select 'zh:' || id id, '[Sub][' || t || ' 第' || s || '季][' || lpad(e::varchar, greatest(2, length(e::varchar))::int, '0') || '][1080p]' stem from told union all select 'en:' || id, '[Sub] [' || t || ' ' || s || 'th Season][' || e || '].1080p.x264-GRP' from told),
+"""
+
+
+@query(_ITEM + _BRACKETS + _NAMES.split("\n", 2)[2])
+def bracket_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names in brackets say, made of the titles, seasons and episodes of the items."""
+    p = F.col("parsed")
+    told = items(spark, sf_dir, "id", F.translate(p["raw_title"], "[]", "").alias("t"), p["season"].alias("s"), p["episode"].alias("e")).filter("t is not null and s is not null and e is not null")
+    zh = F.concat(F.lit("[Sub]["), "t", F.lit(" 第"), F.col("s").cast("string"), F.lit("季]["), F.format_string("%02d", "e"), F.lit("][1080p]"))
+    en = F.concat(F.lit("[Sub] ["), "t", F.lit(" "), F.col("s").cast("string"), F.lit("th Season]["), F.col("e").cast("string"), F.lit("].1080p.x264-GRP"))
+    names = told.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).alias("id"), x.alias("n")) for k, x in (("zh", zh), ("en", en))])).alias("r")).select("r.*")
+    return names.select("id", identify.identify(F.col("n")).alias("p")).select("id", "p.*")
+
+
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '(?i)[\s._-]*(?:[\(\[]?\d{{4}}[\)\]]?)?(?:[\s._-]+(?:4k|2160p|1080p|720p|hdr|dv|dovi|高码|低码|web-?dl|bluray|remux|h265|x265|x264|aac|dts|atmos))+\s*$', ''), '\s*[\(\[](\d{{4}})[\)\]]\s*$', ''), '(?i)\s+\d+(?:-\d+)?季(?:全集)?(?:\(\d+\))?\s*$', ''), '[._]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _NOISY = r"({0} like '202%' or regexp_matches({0}, '(?i)^[\d\s\.\-_\(\)]*(?:hq|hdr|dv|dovi|web-?dl|bluray|remux|x26[45]|h\.?26[45]|aac|dts|atmos|2160p|1080p|720p)+[\d\s\.\-_\(\)]*$') or (regexp_matches({0}, '^[\x00-\x7f]*$') and length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')) <= 3))"
 _NAMED = r"not ({0} like '.%') and not regexp_matches(trim({0}), '(?i)^(?:season\s*\d{{1,2}}|s\d{{1,2}}|e\d{{1,3}}|ep?\d{{1,3}}|complete|\d{{4}}|\d{{1,3}})$')"

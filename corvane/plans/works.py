@@ -447,7 +447,7 @@ def scrape_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- names and content ---------------------------------------------------------------------------
 
 
-@query(_ITEM + library._NAMES.replace("select id, case when form in", ", told as (select id, case when form in", 1) + """)
+@query(_ITEM + library._NAMES.replace("select id, case when got is", ", told as (select id, case when got is", 1) + """)
 select t.id, case when season is not null or episode is not null then 'TvShow' else media_type end kind, array_to_string(list_filter(case form
   when 'sxxexx' then ['matched TV pattern SxxExx', 'detected year ' || "year", 'detected resolution tag ' || resolution, 'detected codec tag ' || codec] when 'nxnn' then ['matched TV pattern xxXyy', 'detected year ' || "year", 'detected source tag ' || source]
   when 'bracket_zh' then ['matched bracketed Chinese season/episode pattern', 'detected release group ' || release_group] when 'bracket_en' then ['matched bracketed English season/episode pattern', 'detected resolution tag ' || resolution]
