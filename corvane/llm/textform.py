@@ -43,6 +43,8 @@ _HYPHEN = re.compile("[‐‑‒⁃−]")
 _WIDE_PUNCTUATION = re.compile("[！-／：-＠［-｀｛-｠]+")
 _EAST = re.compile("[⺀-⿟々-〇ぁ-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+#: Letters that may stand for those of another alphabet; words without any are left alone.
+_FOREIGN = re.compile("[" + re.escape("".join(_OTHERS)) + "\u0370-\u052f\u1c80-\u1c8f\u1d26-\u1d2b\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
 _ASCII_PLAIN = "^[\\x20-\\x7e]*$"
 
 
@@ -66,7 +68,7 @@ def _unmixed(m: re.Match) -> str:
     The alphabet is that of the letters that none else can stand for, then that of the greater number, then Latin.
     """
     word = m[0]
-    if word.isascii():
+    if word.isascii() or not _FOREIGN.search(word):
         return word
     parts = [unicodedata.normalize("NFD", c) for c in word]
     scripts = [script(p[0]) for p in parts]
@@ -108,7 +110,7 @@ def plain_form(text: str | None) -> str | None:
         text = "".join([*parts, _ordinary(text[at:])])
     else:
         text = _ordinary(text)
-    return _WORD.sub(_unmixed, text)
+    return _WORD.sub(_unmixed, text) if _FOREIGN.search(text) else text
 
 
 def _folded(plain: str) -> str:

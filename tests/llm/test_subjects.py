@@ -97,3 +97,19 @@ def test_mixtures_alone(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     plain = [i for i, text, _ in docs if all(x in " ".join(FILLER) for x in text.split(". "))]
     assert None not in got and sum(w <= got.get(i, set()) for i, w in want.items()) >= 0.99 * len(want) and not any(i in got for i in plain)
+
+
+def test_queries_on_stored_tables(spark, tmp_path):
+    from corvane.llm import queries
+
+    docs, labels, want = corpus(300, 5)
+    docs += [(5000 + i, text, source) for i, (_, text, source) in enumerate(docs[:40])]
+    want |= {5000 + i: want[docs[i][0]] for i in range(40)}
+    for name, rows, schema in (("documents", docs, "doc_id bigint, text string, source string"), ("subject_label", labels, "doc_id bigint, subject string, rater string"), ("subject_area", [("law", ""), ("sport", "")], "subject string, note string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {(r.doc_id, r.subject) for r in queries.p9_found(spark, str(tmp_path)).collect()}
+    true = {(i, x) for i, w in want.items() for x in w}
+    assert len(found & true) >= 0.98 * len(true) and len(found - true) <= 0.02 * len(found)
+    counts = {r.subject: r.documents for r in queries.p9_corpus(spark, str(tmp_path)).collect()}
+    assert counts == {x: sum(s == x for _, s in found) for x in ("law", "sport")}
+    assert {r.doc_id for r in queries.p9_mixtures(spark, str(tmp_path)).collect()} >= {i for i, _ in found & true}

@@ -42,3 +42,18 @@ def test_columns(spark):
     assert normalise(rows, "t").count() == 6
     assert sorted(r.id for r in disguised(rows, "t").collect()) == [3, 3, 5]
     assert normalise(rows.limit(0), "t").count() == 0
+
+
+def test_queries_on_stored_tables(spark, tmp_path):
+    from corvane.llm import queries
+
+    titles = [text for text, _ in CASES] + [plain for _, plain in CASES] + [None, "", "Plain"]
+    spark.createDataFrame([(i, (t,)) for i, t in enumerate(titles)], "id bigint, parsed struct<raw_title:string>").write.parquet(f"{tmp_path}/media_item.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(titles)] * 2, "id bigint, original_title string").write.parquet(f"{tmp_path}/tmdb_movie.parquet")
+    spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(titles)], "id string, title string").write.parquet(f"{tmp_path}/mb_recording.parquet")
+    bad = [i for i, (text, plain) in enumerate(CASES) if text != plain]
+    want = {(tab, key) for i in bad for tab, key in (("media_item", str(i)), ("tmdb_movie", str(i)), ("mb_recording", f"r{i}"))}
+    got = queries.p2_found(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    made = {(r.tab, r.row_key): (r.plain, r.key) for r in queries.p2_titles(spark, str(tmp_path)).collect()}
+    assert len(made) == 3 * len(titles) and all(made["media_item", str(i)][0] == CASES[i][1] == made["media_item", str(i + len(CASES))][0] for i in bad)
