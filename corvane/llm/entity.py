@@ -18,6 +18,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -89,6 +90,7 @@ def sort_keys(name: str, year: int | None, spread: int) -> set[str]:
     return keys
 
 
+@lru_cache(maxsize=1 << 16)
 def numbers_in(name: str) -> str:
     return " ".join(sorted(w for w in name.split(" ") if w.isdigit()))
 
@@ -105,18 +107,29 @@ def distance(a: str, b: str, most: int) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
-    before, last = [], list(range(len(b) + 1))
+    if most == 1:
+        return 1 if len(a) == len(b) and (len(a) == 1 or len(a) == 2 and a == b[::-1]) else 2
+    far, width = most + 1, len(b)
+    before, last = [], [j if j <= most else far for j in range(width + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+        row = [far] * (width + 1)
+        row[0] = least = i if i <= most else far
+        for j in range(max(1, i - most), min(width, i + most) + 1):  # further off the diagonal lie more edits than that
+            y = b[j - 1]
+            d = last[j - 1] + (x != y)
+            if last[j] < d:
+                d = last[j] + 1
+            if row[j - 1] < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < d:
+                d = before[j - 2] + 1
+            row[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
         before, last = last, row
-    return min(last[-1], most + 1)
+    return min(last[-1], far)
 
 
 def allowed(length: int) -> int:
@@ -164,17 +177,23 @@ def slim(a: str, b: str, year_a: int | None, year_b: int | None, kind: int) -> f
     return None if d > most else 0.6 * (1 - d / max(len(x), len(y))) + 0.3 + 0.1
 
 
-def _sketch(name: str) -> int:
-    """Parity of the letters (low 32 bits) and of the pairs of letters (high 32 bits) of a name.
+def _sketches(names: list[str]) -> np.ndarray:
+    """Parity of the letters (low 32 bits) and of the pairs of letters (high 32 bits) of each name, without its spaces.
 
     An edit changes two letters at most (a replacement), and six pairs (a swap of neighbours, three pairs giving way to three).
     """
-    flat = name.replace(" ", "")
-    out = 0
-    for c in flat:
-        out ^= 1 << (ord(c) % 31)
-    for c, d in zip(flat, flat[1:], strict=False):
-        out ^= 1 << (32 + (ord(c) * 7 + ord(d)) % 31)
+    flat = [n.replace(" ", "") for n in names]
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    out = np.zeros(len(flat), np.uint64)
+    some = sizes > 0
+    if some.any():
+        code = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts = (np.cumsum(sizes) - sizes)[some]
+        bits = np.left_shift(np.uint64(1), code % np.uint64(31))
+        pairs = np.left_shift(np.uint64(1), np.uint64(32) + (code[:-1] * np.uint64(7) + code[1:]) % np.uint64(31))
+        pairs[starts[1:] - 1] = 0  # the last letter of one name and the first of the next are no pair
+        bits[:-1] ^= pairs
+        out[some] = np.bitwise_xor.reduceat(bits, starts)
     return out
 
 
@@ -214,8 +233,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             side, name, year, _ = (c.to_pylist() for c in batch.columns)
-            at, keys, marks = [], [], [_sketch(n) for n in name]
-            marks = [m - (1 << 64) if m >= 1 << 63 else m for m in marks]
+            at, keys, marks = [], [], _sketches(name).view(np.int64)
             for i, (s, n, y) in enumerate(zip(side, name, year, strict=True)):
                 for k in sort_keys(n, y, 1 if s == 0 else 0):
                     at.append(i)
@@ -243,10 +261,10 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, last = TaskContext.get().partitionId(), [], []
         for batch in batches:
-            found = [r for r in zip(*[batch.column(c).to_pylist() for c in ["side", *columns]], strict=True) if r[0] == 1]
-            first += found[: window - len(first)]
-            last = [*last, *found][-window:]
-        rows_ = [(part, at, i, *r[1:]) for at, side in enumerate((first, last)) for i, r in enumerate(side)]
+            found = batch.select(columns).filter(pc.equal(batch.column("side"), 1))
+            first += found.slice(0, window - len(first)).to_pylist()
+            last = [*last, *found.slice(max(found.num_rows - window, 0)).to_pylist()][-window:]
+        rows_ = [(part, at, i, *r.values()) for at, side in enumerate((first, last)) for i, r in enumerate(side)]
         cols = list(zip(*rows_, strict=True)) or [()] * 8
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "at", "i", *columns])
@@ -384,11 +402,11 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, cols + 1) if owner[j] and weight[owner[j] - 1, j - 1] > 0]
 
 
-#: Cells of the largest table of weights that one task holds (32 MB).
-CELLS = 4_000_000
+#: Cells of the largest table of weights that one task holds (72 MB).
+CELLS = 9_000_000
 
 
-def one_to_one(edges: DataFrame, most: int = 400, epsilon: float | None = None) -> DataFrame:
+def one_to_one(edges: DataFrame, most: int = 3000, epsilon: float | None = None) -> DataFrame:
     """(left, right, confidence): the matches kept if each side may be matched once, with the greatest total confidence.
 
     edges: (left bigint, right bigint, confidence), repeated pairs count once with their greatest confidence.  The connected

@@ -2,8 +2,11 @@ import itertools
 import random
 
 import numpy as np
+from corvane.llm import entity
 from corvane.llm.entity import assign, confidence, distance, match, names_of, neighbours, one_to_one, words_of
 from corvane.llm.queries import p5_best_files
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 FILMS = [(1, "The Silent Harbor", None, 1990), (2, "The Silent Harbor", None, 2010), (3, "Karen: The Iron Door", "Дом (Karens House)", 2001), (4, "Velofin", None, 1980), (5, "Velofin 2", None, 1984), (6, "Été de Velomar", None, None), (7, None, None, 1999), (8, "", "", None)]
 ITEMS = [(1, "silent.harbor.the", 1990), (2, "The_Silnet_Harbor", 2010), (3, "The Silent Harbor", 2000), (4, "Karen", 2001), (5, "karens house", None), (6, "Velofin II", 1984), (7, "Velofin", 1984), (8, "Ete.de.Velomar", 1970), (9, None, 1990), (10, "...", 1990), (11, "Unrelated Thing", 1990), (1, "silent.harbor.the", 1990), (12, "The Silent Harbor Directors Cut", 1990), (13, "ＳＩＬＥＮＴ Hаrbor", 1991)]
@@ -108,3 +111,33 @@ def test_slips_in_short_names(spark):
     a, b = (spark.createDataFrame(x, "id bigint, title string, year int") for x in (items, films))
     got = {r.left_key: r.right_key for r in match(a, b, "id", "id", "year", "year", ["title"], ["title"]).collect()}
     assert got == {1: 1, 2: 2, 6: 3}
+
+
+def edits(a, b):
+    """Edits with swaps of neighbours, by the whole table."""
+    t = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+    return t[-1][-1]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(0, 4))
+def test_distance_is_the_whole_tables(a, b, most):
+    assert entity.distance(a, b, most) == min(edits(a, b), most + 1)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab cdé字", max_size=8), max_size=12))
+def test_sketches_are_within_the_edits(names):
+    marks = entity._sketches(names)
+    one = lambda n: sum(1 << i for i in range(31) if sum(ord(c) % 31 == i for c in n) % 2) | sum(1 << 32 + i for i in range(31) if sum((ord(c) * 7 + ord(d)) % 31 == i for c, d in zip(n, n[1:], strict=False)) % 2)
+    flat = [n.replace(" ", "") for n in names]
+    assert marks.tolist() == [one(n) for n in flat]
+    for i, a in enumerate(flat):
+        for j, b in enumerate(flat[:i]):
+            x, d = int(marks[i]) ^ int(marks[j]), edits(a, b)
+            assert (x & 0xFFFFFFFF).bit_count() <= 2 * d and (x >> 32).bit_count() <= 6 * d
