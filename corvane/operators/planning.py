@@ -190,3 +190,24 @@ def pipeline_summary(items: DataFrame, stages: int, flag: bool | None = None) ->
     """
     looked_up = F.count_if(F.col("scraped").isNotNull()) if flag is None else F.when(F.lit(flag), F.count("*")).otherwise(0)
     return items.agg(F.lit(stages).alias("stage_count"), F.count("*").alias("item_count"), looked_up.cast("bigint").alias("scraped_items"))
+
+
+# Confidences below which a reading, looked-up metadata and a name are doubtful.
+DOUBTFUL_NAME, DOUBTFUL_AUTHORITY, DOUBTFUL_TITLE = 0.6, 0.72, 0.6
+
+
+def doubts(parsed: Column, scraped: Column, authority: Column, plan: Column) -> Column:
+    """What speaks against an item's identity and its plan, as `stage: doubt` texts in order.
+
+    parsed, scraped: what its name and a source say; authority: how far the source is trusted; plan: its stored rename plan.
+    """
+    f = lambda x: F.lit(x).cast("float")
+    said = lambda stage, doubt, when: F.when(when, F.lit(f"{stage}: {doubt}"))
+    none = parsed["year"].isNull() & parsed["season"].isNull() & parsed["episode"].isNull()
+    return F.array_compact(
+        F.array(
+            said("identify", "nothing read", parsed.isNull()), said("identify", "low confidence", parsed["confidence"] < f(DOUBTFUL_NAME)), said("identify", "no year and no episode", parsed.isNotNull() & none),
+            said("lookup", "nothing found", scraped.isNull()), said("lookup", "low authority", authority < f(DOUBTFUL_AUTHORITY)), said("lookup", "weak source", scraped["source"].isin("Guess", "AiAssist")),
+            said("rename", "low title confidence", plan.isNotNull() & (F.coalesce(plan["decision"]["title_confidence"], f(0.0)) < f(DOUBTFUL_TITLE))), said("rename", "conflicts", F.size(plan["conflicts"]) > 0),
+        )
+    )

@@ -656,3 +656,17 @@ def probe_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = items(spark, sf_dir, "id", linking.cache_key(F.col("path"), F.col("file_size"), seconds, F.col("extension")).alias("key"), c["runtime_secs"].alias("runtime_secs"), c.isNotNull().alias("known"))
     cache = keyed.filter("known").groupBy("key").agg(F.max("runtime_secs").alias("runtime_secs"), F.lit(True).alias("hit"))
     return linking.with_cache(keyed.select("id", "key"), cache, ["key"])[0].select("id", "runtime_secs", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query(
+    _ITEM
+    + """, a as (select id, parsed p, scraped s, rename_plan r, least(greatest((scraped.confidence + case scraped.source when 'LocalNfo' then 0.08 when 'Tmdb' then 0.06 when 'MusicBrainz' then 0.06 when 'OpenLibrary' then 0.06 when 'AiAssist' then -0.05 when 'Guess' then -0.12 else 0 end::float)::float, 0::float), 1::float) au from item)
+select distinct id, array_to_string(list_filter([case when p is null then 'identify: nothing read' end, case when p.confidence < 0.6::float then 'identify: low confidence' end, case when p is not null and p.year is null and p.season is null and p.episode is null then 'identify: no year and no episode' end,
+  case when s is null then 'lookup: nothing found' end, case when s.confidence is not null and au < 0.72::float then 'lookup: low authority' end, case when s.source in ('Guess', 'AiAssist') then 'lookup: weak source' end,
+  case when r is not null and coalesce(r.decision.title_confidence, 0::float) < 0.6::float then 'rename: low title confidence' end, case when len(r.conflicts) > 0 then 'rename: conflicts' end], lambda x: x is not null), '; ') doubts from a"""
+)
+def item_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks against the identity of each item and against its plan."""
+    s = F.col("scraped")
+    told = planning.doubts(F.col("parsed"), s, scoring.scraped_authority(s["confidence"], s["source"]), F.col("rename_plan"))
+    return items(spark, sf_dir, "id", F.array_join(told, "; ").alias("doubts"))

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.titles import shortened
+
 
 def envelope(df: DataFrame, kind: str) -> DataFrame:
     """One JSON text per row: schema_version, kind and data, null fields kept."""
@@ -31,6 +33,16 @@ def report(spark: SparkSession, command: str, summary: DataFrame, entries: DataF
     return row.select(F.to_json(F.struct(*head, "summary", "entries", *[F.lit(v).alias(k) for k, v in more.items()]), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def text_table(df: DataFrame, rows: int = 20, width: int = 40) -> str:
+    """The first rows as text in columns, long values cut with an ellipsis, numbers to the right; the last line says if there are more."""
+    cells = [F.when(F.col(f"`{c}`").isNull(), "-").otherwise(shortened(F.col(f"`{c}`").cast("string"), width)) for c in df.columns]
+    found = [[str(x) for x in r] for r in df.select(*cells).limit(rows + 1).collect()]
+    shown, numbers = found[:rows], {i for i, (_, t) in enumerate(df.dtypes) if t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
+    wide = [max(map(len, column)) for column in zip(df.columns, *shown, strict=True)]
+    line = lambda row: "  ".join(x.rjust(w) if i in numbers else x.ljust(w) for i, (x, w) in enumerate(zip(row, wide, strict=True))).rstrip()
+    return "\n".join([line(df.columns), "  ".join("-" * w for w in wide), *map(line, shown), *(["…"] if len(found) > rows else [])])
+
+
 def write_log(df: DataFrame, folder: str) -> None:
     """Appends rows to a log of operations, each with the time of the write."""
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(folder)

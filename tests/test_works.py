@@ -285,3 +285,15 @@ def test_searches_are_kept(spark):
     first = kept.find(1, rows_, " ALPHA ", F.col("t"))
     assert first.count() == 1 and kept.find(1, rows_, "alpha", F.col("t")) is first and kept.find(1, rows_, "  ", F.col("t")).count() == 2
     assert kept.find(2, rows_, "alpha", F.col("t")) is not first and len(kept._held) == 1
+
+
+def test_text_table(spark):
+    df = spark.createDataFrame([(1, "a long name of a file"), (20, None), (3, "x")], "n int, `the name` string")
+    assert sinks.text_table(df, 2, 8).split("\n") == [" n  the name", "--  --------", " 1  a long …", "20  -", "…"]
+    assert sinks.text_table(df.limit(0)) == "n  the name\n-  --------"
+
+
+def test_dialogue(spark):
+    text = "[Events]\nFormat: Layer, Start\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\i1}Hello, there{\\i0}\\NFriend\n Dialogue: 0,a,b,c,d,e,f,g,h,Second\nDialogue: 0,short\nComment: 0,a,b,c,d,e,f,g,h,No"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(evidence.spoken_lines(F.col("t"), dialogue=True).alias("l")).collect()
+    assert [r.l for r in got] == [["Hello, there Friend", "Second"], []]
