@@ -172,7 +172,7 @@ def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int =
     p = plan(available, {s: x for s, (x, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total)
     rows = [(s, float(p.quota[s]), available[s]) for s in p.quota]
     table = spark.createDataFrame(rows, "source string, quota double, available bigint")
-    streams = streamed(sized, sum(d for _, d in found.values())).join(F.broadcast(table), "source")
+    streams = streamed(sized.filter(F.col("source").isin(list(p.quota))), sum(d for _, d in found.values())).join(F.broadcast(table), "source")
     middle = F.col("at") + F.col("tokens") / 2
     last = F.floor((F.col("quota") - middle) / F.col("available")).cast("int")
     used = streams.filter(middle <= F.col("quota")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("copy"))

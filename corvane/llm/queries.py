@@ -301,6 +301,14 @@ q{i + 1} as materialized (select s, (sum(p * states::int) + 8) / (sum(p) + 10) s
 ORACLE = {
     "p6_truth": _model() + " select e content_id, field, v as value, round(p, 6) probability, stated::bigint stated, denied::bigint denied from j8 where p > 0.5",
     "p6_sources": _model() + " select s source, round(sens, 6) sensitivity, round(spec, 6) specificity from q8",
+    "p6_agreement": _model()
+    + ", "
+    + _ITEMS.strip().removeprefix("with ")
+    + """,
+chosen as (select content_id e, field, trim(value) v from best where field in ('title', 'year')), likely as (select e, field, max(p) top from j8 where field in ('title', 'year') group by e, field),
+held as (select c.e, c.field, c.v, j8.p from chosen c left join j8 on j8.e = c.e and j8.field = c.field and j8.v = c.v),
+both_sides as (select coalesce(h.field, l.field) field, h.v, l.top, coalesce(h.p >= l.top - 1e-9, false) same from held h full join likely l on h.e = l.e and h.field = l.field)
+select field, count(*) groups, count_if(same) same, count_if(v is not null and top is not null and not same) other, count_if(v is not null and top is null) only_chosen, count_if(v is null and top is not null) only_judged from both_sides group by field""",
     "p3_found": _WORD_SETS + "select a_id, b_id from pair",
     "p3_groups": _WORD_SETS + "select id, (select min(b) from reach where a = class_id) group_id, (select count(*) from both_ways l where l.a = class_id) n_links from class",
     "p4_found": _LINES + "select first_id, line_id copy_id from grouped where line_id > first_id",
