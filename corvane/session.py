@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,3 +66,8 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has no more rows than that, else as it is.  Runs a job that stops after so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -158,3 +158,10 @@ def test_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.id, r.named.raw_title) for r in out.collect()) == [(1, "F"), (2, "S"), (3, "G")]
     assert incremental.counts_by_window(spark.read.parquet(land)).count() == 3
+
+
+def test_small_tables_are_counted_before_they_are_sent(spark):
+    from corvane.session import small
+
+    plan = lambda n: spark.range(100).join(small(spark.range(n).hint("merge") if n > 5 else spark.range(n), 5), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(5).lower() and "broadcast" not in plan(6).lower()
