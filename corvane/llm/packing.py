@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import small
+
 SHARD_ITEMS = 50_000
 
 
@@ -58,10 +60,10 @@ def harmonic(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity, key, part, start, size): items cut into pieces of the capacity only where they exceed it.
 
-    items: (key, tokenizer, tokens).  specs: (spec_id, tokenizer, capacity_tokens), a small table; specs without a positive
+    items: (key, tokenizer, tokens).  specs: (spec_id, tokenizer, capacity_tokens), broadcast if it is small; specs without a positive
     capacity hold nothing.  Items without tokens take no space and have no piece.
     """
-    sized = items.filter("tokens > 0 and key is not null").join(F.broadcast(specs.filter("capacity_tokens > 0").distinct()), "tokenizer")
+    sized = items.filter("tokens > 0 and key is not null").join(small(specs.filter("capacity_tokens > 0").distinct()), "tokenizer")
     whole = F.sequence(F.lit(0), ((F.col("tokens") - 1) / F.col("capacity_tokens")).cast("int"))
     cut = sized.select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity"), "key", "tokens", F.explode(whole).alias("part"))
     start = F.col("part").cast("bigint") * F.col("capacity")
@@ -70,7 +72,7 @@ def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
 
 def most_pieces(items: DataFrame, specs: DataFrame) -> int:
     """The pieces of the spec that has the most."""
-    sized = items.filter("tokens > 0 and key is not null").join(F.broadcast(specs.filter("capacity_tokens > 0").select("spec_id", "tokenizer", "capacity_tokens").distinct()), "tokenizer")
+    sized = items.filter("tokens > 0 and key is not null").join(small(specs.filter("capacity_tokens > 0").select("spec_id", "tokenizer", "capacity_tokens").distinct()), "tokenizer")
     return sized.groupBy("spec_id").agg(F.sum(F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("n")).agg(F.max("n")).first()[0] or 0
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import entity, formdup, mixing, neardup, packing, subjects, survivor, textform, tokens
-from corvane.session import cut, table
+from corvane.session import cut, small, table
 
 MERGED_FIELDS = ["title", "year", "rating", "overview"]
 
@@ -186,7 +186,7 @@ def _mixed(spark: SparkSession, sf_dir: str, filled: bool = False) -> tuple[Data
     if not filled:
         return mixing.mix(spark, sized, targets)
     sized = cut(sized)
-    total = sized.filter("key is not null and tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0]
+    total = sized.filter("key is not null and tokens > 0").join(small(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0]
     return mixing.mix(spark, sized, targets, total=float(total or 0))
 
 
