@@ -589,7 +589,7 @@ def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, size = F.col("rename_plan"), lambda c: F.coalesce(F.size(c), F.lit(0))
     narrow = items(spark, sf_dir, "id", r.isNotNull().alias("r"), size(r["conflicts"]).alias("c"), size(r["subtitle_plans"]).alias("s"), size(r["directory_plans"]).alias("d"))
     plans = narrow.agg(F.count_if("r").alias("renames"), F.count_if(F.col("c") > 0).alias("renames_blocked"), F.sum(F.greatest("s", F.lit(0))).alias("subtitles"), F.sum(F.greatest("d", F.lit(0))).alias("folders"))
-    return groups.join(F.broadcast(plans))  # one row each
+    return groups.withColumn("one", F.lit(1)).join(plans.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
 
 
 @query("with " + _VALID + ", m as (select distinct id, path from media_item) select distinct v.content_id from valid v join m on m.id = v.item_index where contains(lower(v.content_id), 'harbor') or contains(lower(regexp_extract(m.path, '([^/]*)$', 1)), 'harbor')")

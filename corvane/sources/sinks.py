@@ -28,7 +28,8 @@ def report(spark: SparkSession, command: str, summary: DataFrame, entries: DataF
     All entries go into one text, so this is for the results that a person reads; use envelope() for one text per row.
     """
     listed = entries.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in entries.columns]))).alias("entries"))
-    row = summary.select(F.struct("*").alias("summary")).join(F.broadcast(listed))  # one row each
+    one = F.lit(1).alias("one")
+    row = summary.select(F.struct("*").alias("summary"), one).join(listed.select("entries", one), "one")  # one row each
     head = [F.lit("1").alias("schema_version"), F.lit(REPORTS[command]).alias("kind"), F.lit(command).alias("command")]
     return row.select(F.to_json(F.struct(*head, "summary", "entries", *[F.lit(v).alias(k) for k, v in more.items()]), {"ignoreNullFields": "false"}).alias("value"))
 
