@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -270,14 +269,14 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "at", "i", *columns])
 
     edge = ordered.mapInArrow(ends, "part int, at int, i int, sort string, name string, year int, kind int, mark bigint").toArrow().sort_by([("part", "ascending"), ("at", "ascending"), ("i", "ascending")])
-    sides = [edge.filter(pc.equal(edge["at"], at)) for at in (0, 1)]
-    sent = rows.sparkSession.sparkContext.broadcast([{c: x[c].to_pylist() for c in ["part", *columns]} for x in sides])
+    sides = [edge.filter(pc.equal(edge["at"], at)).select(["part", *columns]).combine_chunks() for at in (0, 1)]
+    sent = rows.sparkSession.sparkContext.broadcast(sides)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, (heads, tails) = TaskContext.get().partitionId(), sent.value
         done: set[tuple] = set()
-        upto = bisect_left(tails["part"], part)
-        right = {c: tails[c][max(upto - window, 0) : upto] for c in columns}
+        upto = int(np.searchsorted(tails["part"].to_numpy(), part))
+        right = tails.select(columns).slice(max(upto - window, 0), min(window, upto)).to_pydict()
         start, waiting = 0, []  # the number of right readings dropped; left readings, and how many right ones stand before each
 
         def pairs(left: pa.RecordBatch, before: np.ndarray) -> pa.RecordBatch:
@@ -325,9 +324,9 @@ def neighbours(rows: DataFrame, window: int = 12) -> DataFrame:
             drop = (waiting[0][1][0] if waiting else start + len(right["sort"])) - window - start
             if drop > 0:
                 start, right = start + drop, {c: v[drop:] for c, v in right.items()}
-        begin = bisect_right(heads["part"], part)
+        following = heads.select(columns).slice(int(np.searchsorted(heads["part"].to_numpy(), part, side="right")), window).to_pydict()
         for c in columns:
-            right[c] += heads[c][begin : begin + window]
+            right[c] += following[c]
         for left, before in waiting:
             yield pairs(left, before)
 
