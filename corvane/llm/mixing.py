@@ -6,8 +6,9 @@ slot ceil((j + 1) / w); taking the block with the earliest deadline in every slo
 any point each source is less than one block off its share.  A source's weight is the exact fraction of its blocks among all.
 
 A mix of many blocks is cut into frames.  The blocks that don't divide evenly among the frames are spread over them by a
-schedule of their own, and each frame is scheduled by what it holds; frames that hold the same are computed once.  As
-frames add to the deviation, blocks are a quarter as large as the deviation that is asked for.
+schedule of their own, and each frame is scheduled by what it holds; frames that hold the same are computed once, all of them at
+once in arrays.  As frames add to the deviation, blocks are a quarter as large as the deviation that is asked for.  There are at most
+MOST_FRAMES frames, so the schedule that is sent has a bound: two numbers for each frame and source, two bytes for each slot of each kind of frame.
 
 Positions in a stream are prefix sums in two levels: within hash buckets of bounded size, and over the sums of
 the buckets.  So a source that holds a third of all documents is no longer in one task than any other.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut
 
-#: Blocks in a frame, about.
-FRAME = 16_384
+#: Blocks in a frame, about, and frames in a mix at most.
+FRAME = 2_048
+MOST_FRAMES = 65_536
 #: Blocks that a schedule may be off at most; three at the edges and inside of frames.
 PARTS = 4
 BUCKET_ITEMS = 50_000
@@ -54,6 +56,26 @@ def schedule(weights: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def schedules(held: np.ndarray) -> np.ndarray:
+    """The source in each slot of each period, -1 behind its end: schedule() for many at once.
+
+    held: periods by sources, in the order of their names; how many slots a source has.
+    """
+    never = np.iinfo(np.int64).max
+    period = held.sum(1)
+    rows, placed = np.arange(len(held)), np.zeros(held.shape, np.int64)
+    release, deadline = np.zeros(held.shape, np.int64), np.where(held > 0, -(-period[:, None] // np.maximum(held, 1)), never)
+    out = np.full((len(held), int(period.max(initial=0))), -1, np.int16)
+    for t in range(out.shape[1]):
+        ready = np.where(release <= t, deadline, never)
+        s = ready.argmin(1)
+        out[:, t] = np.where(ready[rows, s] < never, s, -1)
+        n = placed[rows, s] = placed[rows, s] + 1
+        w = np.maximum(held[rows, s], 1)
+        release[rows, s], deadline[rows, s] = n * period // w, np.where(n < held[rows, s], -(-(n + 1) * period // w), never)
+    return out
+
+
 @dataclass(frozen=True)
 class Frames:
     """The schedule of all blocks.  blocks: how many each source has."""
@@ -68,16 +90,16 @@ class Frames:
 
     @cached_property
     def _made(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
-        n = max(1, -(-sum(self.blocks.values()) // self.size))
-        over = {s: b % n for s, b in self.blocks.items()}
-        extra, total = schedule(over), sum(over.values())
-        held = {s: np.full(n, b // n, np.int64) + np.bincount(np.array(extra[s], np.int64) * n // max(total, 1), minlength=n) for s, b in self.blocks.items()}
+        n, names = max(1, -(-sum(self.blocks.values()) // self.size)), sorted(self.blocks)
+        extra = schedule({s: self.blocks[s] % n for s in names})
+        total = sum(map(len, extra.values()))
+        held = {s: np.full(n, self.blocks[s] // n, np.int64) + np.bincount(np.array(extra[s], np.int64) * n // max(total, 1), minlength=n) for s in names}
         first = {s: np.concatenate([[0], np.cumsum(x)]) for s, x in held.items()}
-        what, kind = np.unique(np.stack([held[s] for s in self.blocks], axis=1), axis=0, return_inverse=True)
-        tables = [schedule(dict(zip(self.blocks, row.tolist(), strict=True))) for row in what]
+        what, kind = np.unique(np.stack([held[s] for s in names], axis=1), axis=0, return_inverse=True)
+        placed = schedules(what)
         start = np.concatenate([[0], np.cumsum(sum(held.values()))])[:-1]
-        flat = {s: np.array([x for t in tables for x in t[s]], np.int64) for s in self.blocks}
-        at = {s: np.concatenate([[0], np.cumsum([len(t[s]) for t in tables])]).astype(np.int64) for s in self.blocks}
+        flat = {s: np.nonzero(placed == i)[1].astype(np.uint16 if placed.shape[1] <= 1 << 16 else np.int64) for i, s in enumerate(names)}
+        at = {s: np.concatenate([[0], np.cumsum(what[:, i])]) for i, s in enumerate(names)}
         return first, start, kind.ravel(), flat, at
 
     def slots(self, source: str, number: np.ndarray) -> np.ndarray:
@@ -164,6 +186,7 @@ def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int =
     documents are all used as often as each other, give or take one.  Sources without documents are reported with 0.
     Documents are never split: the last one of a source is used if more than half of it is within the quota.  A source is
     off its share by less than a block and the longest document, as that begins in one block and may end in a later one.
+    block: tokens; in a mix of more than FRAME * MOST_FRAMES / PARTS blocks, they are as much larger as it has more.
     """
     sized = cut(sized.filter("key is not null and source is not null and tokens > 0").select("key", "source", F.col("tokens").cast("bigint").alias("tokens")))
     wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.filter("source is not null").orderBy(F.desc("target_share")).collect()[::-1]}
@@ -177,7 +200,7 @@ def mix(spark: SparkSession, sized: DataFrame, targets: DataFrame, block: int =
     last = F.floor((F.col("quota") - middle) / F.col("available")).cast("int")
     used = streams.filter(middle <= F.col("quota")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
     place = F.col("at") + F.col("copy") * F.col("available")
-    part = max(block // PARTS, 1)
+    part = max(block // PARTS, 1, int(-(-sum(p.quota.values()) // (FRAME * MOST_FRAMES))))
     mixed = scheduled(used.select("source", place.alias("place"), "key", "copy", "tokens"), Frames({s: max(1, int(-(-q // part))) for s, q in p.quota.items()}), part)
     reached = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("key").alias("documents"), F.sum(F.when(F.col("copy") == 0, F.col("tokens"))).alias("once"), (F.max("copy") + 1).alias("most_copies"))
     aims = spark.createDataFrame([(s, float(x), available.get(s, 0)) for s, (x, _) in wanted.items()], "source string, target_share double, available bigint")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from corvane.llm.mixing import PARTS, Frames, mix, plan, schedule
+from corvane.llm.mixing import PARTS, Frames, mix, plan, schedule, schedules
 from corvane.llm.packing import fill_report, harmonic, most_pieces, pack
 from corvane.llm.tokens import count_tokens
 from hypothesis import given, settings
@@ -86,6 +86,22 @@ def test_frames_hold_under_any_shares():
             assert abs(off).max() < PARTS
 
 
+def test_schedules_are_the_same_at_once():
+    rng = np.random.default_rng(1)
+    held = np.concatenate([rng.integers(0, 30, (40, 5)), [[0, 0, 0, 0, 0], [7, 0, 0, 0, 0], [1, 1, 1, 1, 1], [500, 1, 1, 0, 3]]])
+    for row, made in zip(held, schedules(held), strict=True):
+        want = schedule({str(i): int(w) for i, w in enumerate(row)})
+        assert [np.flatnonzero(made == i).tolist() for i in range(5)] == list(want.values()) and (made[row.sum() :] == -1).all()
+
+
+def test_a_mix_of_very_many_blocks_is_sent_small():
+    rng = random.Random(0)
+    frames = Frames({f"s{i}": int(rng.uniform(0.01, 1) * 65_536 * 2048 / 9) for i in range(9)})
+    frames.made()
+    first, start, kind, flat, at = frames._made
+    assert len(kind) <= 65_536 and sum(x.nbytes for d in (first, flat, at) for x in d.values()) + start.nbytes + kind.nbytes < 32 << 20
+
+
 def test_plan():
     p = plan({"a": 100, "b": 100, "c": 0}, {"a": 0.6, "b": 0.2, "c": 0.2}, {"a": 1, "b": 3, "c": 9})
     assert set(p.quota) == {"a", "b"} and abs(p.quota["a"] - 100) < 1e-6 and abs(p.quota["b"] - 100 / 3) < 1e-6
