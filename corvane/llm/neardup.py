@@ -16,7 +16,9 @@ never exceeds that budget for a similar pair, and a trie join under the budget l
 4. The pairs left, each once, are confirmed on the words themselves.
 
 The words counted as frequent are those in more than total / 200 000 sets, so they are at most 200 000 whatever the
-number of records, as are the chains of words counted as hot; they are all that is broadcast.
+number of records, as are the chains of words counted as hot; they are all that is broadcast.  Joins sort both sides:
+the sizes estimated for arrays and for what Python returns are far too low, and the driver would get classes and
+candidates as broadcasts.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ def words_of(*texts: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """df marked for a join that sorts both sides, whatever size is estimated for it; never broadcast."""
+    return df.hint("merge")
+
+
 def _ranges(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for every n in counts, one after the other."""
     ends = np.cumsum(counts)
@@ -167,6 +174,7 @@ def _hot_chains(hashed: DataFrame, t: float, keys: np.ndarray, counts: np.ndarra
         counted = cut(hashed.select("h").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")))
         least = max(hot, -(-(counted.agg(F.sum("n")).first()[0] or 0) // FREQUENT_WORDS))
         found = counted.filter(F.col("n") >= least).select("k").toArrow()["k"].to_numpy()
+        sent.destroy()
         if not len(found):
             return deeper
         deeper = [*deeper, np.sort(found)]
@@ -188,8 +196,8 @@ def similar_sets(sets: DataFrame, key: str, words: str, t: float, hot: int = 20_
     total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
     least = max(16, -(-total // FREQUENT_WORDS))
     counted = classes.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy("h").count().filter(F.col("count") >= least)
-    found = sorted((r[0], r[1]) for r in counted.collect())
-    keys, counts = np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+    found = counted.toArrow().sort_by("h")
+    keys, counts = found["h"].to_numpy(), found["count"].to_numpy()
     hashed = classes.select(F.col("class_id").cast("bigint").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     deeper = _hot_chains(hashed, t, keys, counts, hot) if len(counts) and counts.max() >= hot else []
     frequent = classes.sparkSession.sparkContext.broadcast((keys, counts, deeper))
@@ -230,9 +238,9 @@ def similar_sets(sets: DataFrame, key: str, words: str, t: float, hot: int = 20_
     candidates = tries.mapInArrow(joined, "a bigint, b bigint").distinct()
     one, two = classes.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
-    links = candidates.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("wa") + F.size("wb") - common).alias("total")).filter(F.col("common") / F.col("total") >= t)
+    links = candidates.join(_sorted(one), "a").join(_sorted(two), "b").select("a", "b", common.alias("common"), (F.size("wa") + F.size("wb") - common).alias("total")).filter(F.col("common") / F.col("total") >= t)
     several = classes.filter("last > class_id").select("digest", "class_id")
-    members = rows.select("id", "digest").join(several, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")).distinct()
+    members = rows.select("id", "digest").join(_sorted(several), "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")).distinct()
     return links, members
 
 
@@ -242,8 +250,8 @@ def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
     whole = shared.unionByName(shared.select(F.col("class_id").alias("id"), "class_id")).distinct()
     left = whole.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
     right = whole.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    between = links.select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    within = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    between = links.select("a", "b").join(_sorted(left), "a", "left").join(_sorted(right), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    within = left.join(_sorted(right), F.col("a") == F.col("b")).filter("x < y").select("x", "y")
     return between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
@@ -258,12 +266,12 @@ def groups_of(links: DataFrame, members: DataFrame) -> DataFrame:
     label = cut(label)
     changed = 1
     while changed:
-        near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        passed = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "low").alias("low"))
-        jumped = passed.join(label.select(F.col("node").alias("low"), F.col("label").alias("far")), "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new"))
+        near = edges.join(_sorted(label.select(F.col("node").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("low"))
+        passed = label.join(_sorted(near.withColumnRenamed("a", "node")), "node").select("node", "label", F.least("label", "low").alias("low"))
+        jumped = passed.join(_sorted(label.select(F.col("node").alias("low"), F.col("label").alias("far"))), "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new"))
         jumped = cut(jumped)
         changed = jumped.filter("new <> label").limit(1).count()
         label = jumped.select("node", F.col("new").alias("label"))
     degree = edges.groupBy("a").agg(F.count("*").alias("n_links")).select(F.col("a").alias("class_id"), "n_links")
-    named = members.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
+    named = members.join(_sorted(label.withColumnRenamed("node", "class_id")), "class_id", "left").join(_sorted(degree), "class_id", "left")
     return named.select("id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -63,6 +63,21 @@ def test_groups(spark):
     assert {r.id: r.group_id for r in groups_of(links, members).collect()} == {i: find(i) for i in root}
 
 
+def test_no_join_is_broadcast(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    real = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df: plan(df) or real(df))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    df = spark.range(60).selectExpr("id", "transform(sequence(0, 9), i -> concat('w', if(i < 8, id div 6, id div 3), '_', i)) words")
+    links, members = similar_sets(df, "id", "words", 0.6, hot=5)
+    for out, rows in ((links, 10), (pairs_of(links, members), 150), (groups_of(links, members), 60)):
+        plan(out)
+        assert out.count() == rows
+    assert len(plans) >= 6 and sum(p.count("SortMergeJoin") for p in plans) >= 10
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(70)], "a bigint, b bigint")
     members = spark.createDataFrame([(i, i) for i in range(71)] + [(500, 3), (600, 600)], "id bigint, class_id bigint")
